@@ -32,16 +32,16 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total_bytes:
     sizes = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).cast("double").alias("size"))
     weight = F.lit(1.0) if weights is None else F.coalesce(F.from_json(F.lit(json.dumps(weights)), "map<string,double>")[F.col("mix_source")], F.lit(0.0))
     sizes = cut(sizes.select("*", weight.alias("weight")).where("weight > 0"))
-    whole = sizes.agg(F.sum("size").alias("all_bytes"), F.sum("weight").alias("all_weights"))
-    budget = F.col("all_bytes") if total_bytes is None else F.lit(float(total_bytes))
-    rate = F.when(F.col("size") > 0, F.col("weight") / F.col("all_weights") * budget / F.col("size")).otherwise(1.0)
+    all_bytes, all_weights = sizes.agg(F.sum("size"), F.sum("weight")).first()
+    budget = F.lit(float(all_bytes or 0) if total_bytes is None else float(total_bytes))
+    rate = F.when(F.col("size") > 0, F.col("weight") / F.lit(float(all_weights or 1)) * budget / F.col("size")).otherwise(1.0)
     parts = F.greatest(F.ceil(F.col("rate") / split), F.lit(1)).cast("int")
     mean = F.col("rate") / F.col("parts")
     cdf = F.expr(f"""aggregate(sequence(1, cast(ceil({split} + 12 * sqrt({split}) + 30) as int)),
         named_struct('p', exp(-mean), 'c', exp(-mean), 'out', array(exp(-mean))),
         (s, k) -> named_struct('p', s.p * mean / k, 'c', s.c + s.p * mean / k, 'out', array_append(s.out, s.c + s.p * mean / k)),
         s -> s.out)""")
-    return sizes.crossJoin(F.broadcast(whole)).select("mix_source", rate.alias("rate")).select("*", parts.alias("parts")).select("*", mean.alias("mean")).select("mix_source", "parts", cdf.alias("cdf"))
+    return sizes.select("mix_source", rate.alias("rate")).select("*", parts.alias("parts")).select("*", mean.alias("mean")).select("mix_source", "parts", cdf.alias("cdf"))
 
 
 def uniform(*parts) -> object:
@@ -82,7 +82,7 @@ pmf AS (
 cdf AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
 draw AS (
     SELECT d.*, p.part, ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || (p.part + 1)::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-    FROM documents d JOIN part s ON d.source IS NOT DISTINCT FROM s.source, range(0, 1000) p(part) WHERE p.part < s.parts
+    FROM documents d JOIN part s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(0, s.parts)) p(part)
 ),
 copies AS (
     SELECT d.*, d.part * 1000000 + c.k + 1 AS copy_id FROM draw d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source WHERE c.c <= d.u

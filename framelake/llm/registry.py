@@ -5,12 +5,16 @@ from __future__ import annotations
 from framelake.llm.decontaminate import op10_decontaminate
 from framelake.llm.language import op9_language
 from framelake.llm.mixing import OP4_SQL, op4_mix
+from framelake.llm.neardup import op7_near_duplicates
+from framelake.llm.substring import OP1_SQL, op1_substring
 from framelake.llm.tokens import op3_tokens
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op3_tokens": op3_tokens,
     "op4_mix": op4_mix,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op4_mix": OP4_SQL}
+SQL = {"op1_substring": OP1_SQL, "op4_mix": OP4_SQL}
