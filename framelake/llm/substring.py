@@ -98,15 +98,15 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """Of docs (doc_id, text_key, text): doc_id, text_key and spans, an array of (start, end) of removed words, unmerged."""
     runs = docs.where("doc_id IS NOT NULL").mapInArrow(_runs(window, gram), RUNS)
     shared = runs.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
-    found = keep(runs.join(shared, "gram", "left_semi"))
+    found = keep(runs.join(keep(shared), "gram", "left_semi"))
     distinct = keep(found.groupBy("gram", "run_a", "run_b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key", "start", "n")).alias("copy")))
     several = distinct.groupBy("gram").count().where("count > 1").select("gram")
-    listed = distinct.join(several, "gram", "left_semi").groupBy(F.col("copy.doc_id").alias("doc_id"), F.col("copy.text_key").alias("text_key"))
+    listed = distinct.join(keep(several), "gram", "left_semi").groupBy(F.col("copy.doc_id").alias("doc_id"), F.col("copy.text_key").alias("text_key"))
     listed = listed.agg(F.collect_list(F.struct("copy.start", "copy.n", "run_a", "run_b", "least")).alias("runs"))
     windows = keep(docs.dropDuplicates(["doc_id", "text_key"]).join(listed, ["doc_id", "text_key"]).select("text", "runs").mapInArrow(_windows(window), WINDOWS))
-    minima = windows.groupBy("win_a", "win_b").agg(F.min("least").alias("first_doc"))
-    earlier = windows.join(minima, ["win_a", "win_b"]).where("first_doc < least").groupBy("run_a", "run_b").agg(F.collect_list(F.struct("at", "first_doc")).alias("earlier"))
-    known = distinct.select("run_a", "run_b", "least").join(earlier, ["run_a", "run_b"], "left")
+    minima = windows.groupBy("win_a", "win_b").agg(F.min("least").alias("first_doc"), F.max("least").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    earlier = windows.join(keep(minima), ["win_a", "win_b"]).where("first_doc < least").groupBy("run_a", "run_b").agg(F.collect_list(F.struct("at", "first_doc")).alias("earlier"))
+    known = keep(distinct.select("run_a", "run_b", "least").join(earlier, ["run_a", "run_b"], "left"))
     spans = F.expr(f"""CASE WHEN doc_id > least THEN array(named_struct('a', start, 'b', start + n + {window - 1}))
         ELSE transform(filter(earlier, e -> e.first_doc < doc_id), e -> named_struct('a', start + e.at, 'b', start + e.at + {window})) END""")
     per_run = found.join(known, ["run_a", "run_b"]).select("doc_id", "text_key", spans.alias("spans")).where("size(spans) > 0")
