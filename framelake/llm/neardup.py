@@ -9,9 +9,11 @@ reach `similarity`. No pair that reaches it has a match further off the diagonal
 alignment is kept to that band (bit-parallel, a machine word for 64 cells).
 
 Exact copies meet first, by a 128-bit hash of their words; only one of them gives keys. Within a key no pairs of all members
-are made: each member is compared with a hub, the member with the most company. Where that leaves members of one key in
-different classes, the rest is compared in rounds: small keys at once, large ones by a new hub each round, taken
-from the smallest class. That ends when each key is one class or all its members have been compared.
+are made: each member is compared with a hub, the member with the most company. The members of keys that this leaves in
+several classes are keyed anew by an exact prefix filter over their shingles, rarest first, with positions: two of them meet
+where the shingles from there on could still be enough, which texts with a frequent passage alone, and far copies
+of one text, do not reach. Rounds of up to HUBS members a key outside its largest class are compared with the members of
+other classes and leave the key, until no key is open.
 Classes are the connected components of the verified links.
 
 Defined cases: rows without id or words form no class (class_id is the row's own id); texts under five words are one shingle;
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.llm.common import MASK, U, WORD_BASE, WORD_BASE_2, Rolling, column, cut, find_words, hash_words, keep, mix, signed, slices, table, text_key
 
@@ -36,8 +39,8 @@ TABLES = 40
 PICKS = 6
 #: Shingles below which the prefix filter's keys are given, and from which Order MinHash's are: pairs of either side meet.
 SMALL, LARGE = 32, 24
-#: Members of a key up to which the rest of its pairs is compared at once.
-AT_ONCE = 24
+#: Members of a key that are compared with its other classes in one round.
+HUBS = 512
 
 SKETCH = "doc_id long, text_key long, words_a long, words_b long, n int, keys array<long>"
 
@@ -185,6 +188,32 @@ def _verify(size: int, similarity: float):
     return run
 
 
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = column(batch, "node")
+            for at, to, data, offsets in slices(column(batch, "text")):
+                starts, ends, first = find_words(data, offsets)
+                words = hash_words(data, starts, ends)
+                found = [labelled(shingles(words[first[i] : first[i + 1]], size)) for i in range(to - at)]
+                rows = np.repeat(np.arange(at, to), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(rows)), pa.array(signed(np.concatenate(found)))], ["node", "h"])
+
+    return run
+
+
+def rare_keys(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """key, node, n, at: of each node (of n shingles) the rarest shingles by their place, one more than a similar one may lack."""
+    some = texts.join(nodes, "node", "left_semi")
+    kind = T.StructType([texts.schema["node"], T.StructField("h", T.LongType())])
+    rows = keep(some.mapInArrow(_shingle_rows(size), kind))
+    often = keep(rows.groupBy("h").agg(F.count("*").alias("often")))
+    each = rows.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
+    take = F.size("all") - F.ceil(F.lit(similarity) * F.size("all") - 1e-9).cast("int") + 1
+    placed = each.select("node", F.size("all").alias("n"), F.posexplode(F.slice("all", 1, take)).alias("at", "x"))
+    return placed.where("x.often > 1").select(F.col("x.h").alias("key"), "node", "n", "at")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the least node of each connected component, for the nodes of links (a, b)."""
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -199,7 +228,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, picks: int = PICKS, at_once: int = AT_ONCE) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after these verified links (a, b)."""
+    a = labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    between = keep(links.join(a, "a").join(b, "b").where("comp_a != comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    moves = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return keep(labels.join(moves, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """The members, with comp, of keys in which more than one class is left; None if there are none."""
+    at = members.join(labels, "node")
+    keys = keep(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
+    return None if keys.isEmpty() else keep(at.join(keys, "key").select(*members.columns, "comp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, picks: int = PICKS, hubs_a_round: int = HUBS) -> DataFrame:
     """One row a row of docs: doc_id, text_key (of the text) and class_id, the least id of its class."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     sketched = keep(rows.mapInArrow(sketch(size, similarity, tables, picks), SKETCH))
@@ -207,8 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = keep(known.groupBy("words_a", "words_b").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), F.first("keys").alias("keys")))
     keyed = classes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
-    members = keyed.join(shared, "key").distinct()
-    members = keep(members)
+    members = keep(keyed.join(keep(shared), "key").distinct())
     weights = members.groupBy("node").agg(F.sum("company").alias("weight"))
     members = keep(members.join(weights, "node").select("key", "node", "weight"))
     wanted = weights.select(F.col("node.doc_id").alias("doc_id"), F.col("node.text_key").alias("text_key"))
@@ -221,33 +267,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return keep(both.mapInArrow(_verify(size, similarity), pairs.select("a", "b").schema))
 
     hubs = members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
-    pairs = keep(members.join(hubs, "key").where("a != node").select("a", F.col("node").alias("b")).distinct())
-    tested, links = pairs, verified(pairs)
-    labels = components(links)
-    while True:
-        at = members.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("comp", "node").alias("comp"))
-        open_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n")
-        left = keep(at.join(open_keys, "key"))
-        if left.isEmpty():
-            break
-        few = left.where(F.col("n") <= at_once)
-        other = few.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        here = few.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        at_last = other.join(here, "key").where("comp_a != comp_b AND a < b").select("a", "b")
-        many = left.where(F.col("n") > at_once)
-        smallest = many.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("best")).groupBy("key")
-        hubs = smallest.agg(F.min_by(F.struct(F.col("best.node").alias("node"), "comp"), F.struct("n", "comp")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.comp").alias("comp_a"))
-        by_hub = many.join(hubs, "key").where("comp != comp_a").select("a", F.col("node").alias("b"))
-        fresh = at_last.union(by_hub).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = keep(fresh.join(done, ["a", "b"], "left_anti"))
-        members = keep(many.join(hubs, "key").where("node != a").select("key", "node", "weight"))
+    pairs = keep(members.join(keep(hubs), "key").where("a != node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    labels = merged(weights.select("node", F.col("node").alias("comp")), verified(pairs))
+    tested = pairs
+    members, left = None, _open(members.select("key", "node"), labels)
+    while left is not None:
+        if members is None:
+            members = keep(rare_keys(left.select("node").distinct(), texts, size, similarity))
+            left = _open(members, labels)
+            continue
+        sizes = keep(left.groupBy("key", "comp").agg(F.count("*").alias("many")))
+        largest = keep(sizes.groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("largest")))
+        minor = keep(sizes.join(largest, "key").where("comp != largest").select("key", "comp"))
+        deal = F.pmod(F.xxhash64("node"), F.lit(hubs_a_round))
+        hubs = left.join(minor, ["key", "comp"]).groupBy("key", deal).agg(F.min(F.struct("node", "comp", "n", "at")).alias("hub"))
+        hubs = keep(hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.comp").alias("comp_a"), F.col("hub.n").alias("n_a"), F.col("hub.at").alias("at_a")))
+        reach = F.expr(f"comp != comp_a AND least(n - at, n_a - at_a) >= {similarity / (1 + similarity)!r} * (n + n_a) - 1e-9")
+        fresh = left.join(hubs, "key").where(reach).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = keep(fresh.join(tested, ["a", "b"], "left_anti"))
+        members = keep(left.join(hubs, (left["key"] == hubs["key"]) & (left["node"] == hubs["a"]), "left_anti").select("key", "node", "n", "at"))
         if not pairs.isEmpty():
-            tested = keep(tested.union(pairs))
-            more = verified(pairs)
-            if not more.isEmpty():
-                links = keep(links.union(more))
-                labels = components(links)
+            tested = tested.union(pairs)
+            labels = merged(labels, verified(pairs))
+        left = _open(members, labels)
     named = classes.join(labels, "node", "left").select("words_a", "words_b", F.coalesce("comp.doc_id", "node.doc_id").alias("class_id"))
     found = known.select("doc_id", "text_key", "words_a", "words_b").join(named, ["words_a", "words_b"]).select("doc_id", "text_key", "class_id")
     rest = sketched.where("doc_id IS NULL OR n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"))
