@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, language, mixing
-from framelake.llm.common import checkpoint_dir, table
+from framelake.llm import decontaminate, language, mixing, neardup, substring
+from framelake.llm.common import checkpoint_dir, table, text_key
 
 #: Python models and searches decide in most stages: their results are tested against brute force instead.
 ORACLE_SQL = None
@@ -22,13 +22,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~F.col("rejected")).select(docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class, once. Rows without id or words are of no class and stay."""
+    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
+    stay = classes.where("doc_id = class_id").select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key")).distinct()
+    keyed = docs.withColumn("stay_key_of_row", text_key())
+    kept = keyed.join(stay, (F.col("doc_id") == F.col("stay_id")) & (F.col("stay_key_of_row") == F.col("stay_key")), "left_semi").dropDuplicates(["doc_id", "stay_key_of_row"])
+    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated windows out of all but their first document; a text of which nothing is left goes."""
+    found = substring.remove(docs, out="repeats")
+    cut = F.col("repeats.n_removed") > 0
+    left = found.where(~cut | (F.col("repeats.n_removed") < F.col("repeats.n_words")))
+    text = F.when(cut, F.col("repeats.kept_text")).otherwise(F.col("text"))
+    return _with_text(left, docs.columns, cut, text)
+
+
+def _with_text(found: DataFrame, columns: list[str], changed, text) -> DataFrame:
+    """The columns, with this text and its length where it has changed."""
+    return found.select(*(text.alias(c) if c == "text" else F.when(changed, F.length(text).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in columns))
+
+
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the removal spans out of texts; a text of which nothing is left goes."""
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), out="decontaminated")
     hit = F.col("decontaminated.n_hit") > 0
     text = F.when(hit, F.col("decontaminated.clean_text")).otherwise(F.col("text"))
     left = found.where(~hit | (F.length(F.trim("decontaminated.clean_text")) > 0))
-    return left.select(*(text.alias("text") if c == "text" else F.when(hit, F.length("decontaminated.clean_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return _with_text(left, docs.columns, hit, text)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("substrings", cut_repeats),
     ("decontaminate", remove_benchmark),
     ("mix", mix_sources),
 ]

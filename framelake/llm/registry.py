@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from framelake.llm.ann import op5_neighbours
 from framelake.llm.decontaminate import op10_decontaminate
 from framelake.llm.language import op9_language
+from framelake.llm.lm_score import op6_lm_score
 from framelake.llm.mixing import OP4_SQL, op4_mix
 from framelake.llm.neardup import op7_near_duplicates
 from framelake.llm.substring import OP1_SQL, op1_substring
 from framelake.llm.tokens import op3_tokens
+from framelake.llm.warc import op8_warc
 
 QUERIES = {
     "op1_substring": op1_substring,
     "op3_tokens": op3_tokens,
     "op4_mix": op4_mix,
+    "op5_neighbours": op5_neighbours,
+    "op6_lm_score": op6_lm_score,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }
