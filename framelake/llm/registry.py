@@ -9,11 +9,13 @@ from framelake.llm.lm_score import op6_lm_score
 from framelake.llm.mixing import OP4_SQL, op4_mix
 from framelake.llm.neardup import op7_near_duplicates
 from framelake.llm.substring import OP1_SQL, op1_substring
+from framelake.llm.suffix import op2_suffix
 from framelake.llm.tokens import op3_tokens
 from framelake.llm.warc import op8_warc
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op2_suffix": op2_suffix,
     "op3_tokens": op3_tokens,
     "op4_mix": op4_mix,
     "op5_neighbours": op5_neighbours,
