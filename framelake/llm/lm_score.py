@@ -109,7 +109,7 @@ def learn(docs: DataFrame, text_col: str = "text", word_bits: int = WORD_BITS, p
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled quality 1. Background: all documents."""
+    """Target: the documents labelled quality 1. Background: all documents. The labels grow with them, so they are never broadcast."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return score(docs, learn(docs.join(good, "doc_id", "left_semi")), learn(docs)).drop("text")
+    return score(docs, learn(docs.join(good.hint("merge"), "doc_id", "left_semi")), learn(docs)).drop("text")
