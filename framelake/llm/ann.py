@@ -29,10 +29,11 @@ from framelake.llm.common import column, keep, table
 TOP = 20
 SAMPLE = 4096
 SMALL = 2048
-PART_ROWS = 1024
-MOST_PARTS = 64
+#: Parts for each square root of rows, and at most.
+PARTS = 1 / 14
+MOST_PARTS = 128
 BLOCK_ROWS = 2048
-COVER = 0.99
+COVER = 0.95
 NEIGHBOURS = 10
 
 
@@ -151,7 +152,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
             yield k, row_ids[pick[chosen]], exact[chosen]
 
 
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, sample: int = SAMPLE, small: int = SMALL, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS, block_rows: int = BLOCK_ROWS, cover: float = COVER) -> DataFrame:
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, sample: int = SAMPLE, small: int = SMALL, part_share: float = PARTS, most_parts: int = MOST_PARTS, block_rows: int = BLOCK_ROWS, cover: float = COVER) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where is_query holds, their nearest among all rows but their own."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable("v"))
     n = rows.count()
@@ -160,7 +161,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     lengths = drawn.column("v").combine_chunks().value_lengths().to_numpy() if drawn.num_rows else np.zeros(0, np.int64)
     d = int(np.bincount(lengths).argmax()) if len(lengths) else 1
     rows = rows.where(F.size("v") == d)
-    parts = 1 if n <= small else max(2, min(most_parts, ceil(n / part_rows)))
+    parts = 1 if n <= small else max(2, min(most_parts, ceil(n**0.5 * part_share)))
     router, probes = None, 1
     if parts > 1:
         x = matrix(drawn.column("v").combine_chunks().filter(pa.array(lengths == d)), d)[:sample]
