@@ -4,10 +4,11 @@ Learning takes a bounded sample of labelled rows: of each language about `sample
 id, and of each the first `sample_chars` characters. Joined, they are the language's raw-content zstandard
 dictionary of at most `dict_bytes`. A prediction reads the whole text, lower-cased and with all but letters turned into
 spaces, in pieces of `piece_bytes`; the sizes of all pieces are summed for each language. A narrow margin between the
-two smallest sizes is rejected: the best label stands in `lang_pred`, and `rejected` is set.
+two smallest sizes is rejected: the best label stands in `lang_pred`, and `rejected` is set. Under `judged_bytes` sizes are too
+coarse for a margin to tell anything (a byte is the least difference), so short texts are labelled and not rejected.
 
-Defined cases: null texts and texts without a letter are `und`, score 0 and rejected; ties go to the first language by name
-and are rejected; with no labelled rows everything is `und`; with one language its score is 1.
+Defined cases: null texts and texts without a letter are `und`, score 0 and rejected; ties go to the language with most labelled
+rows, then the first by name; with no labelled rows everything is `und`; with one language its score is 1.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ SAMPLE_CHARS = 2048
 PIECE_BYTES = 1024
 LEVEL = 6
 #: Relative difference of the two smallest sizes below which a text is rejected.
-MARGIN = 0.0025
+MARGIN = 0.001
+JUDGED_BYTES = 512
 #: With DICT_BYTES this bounds the model at 56 MB.
 MAX_LANGUAGES = 512
 
@@ -45,7 +47,7 @@ def in_fold(id_col: str = "doc_id"):
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A raw-content dictionary for each language. What reaches the driver is bounded by the parameters and MAX_LANGUAGES."""
+    """A raw-content dictionary for each language, those with most labelled rows first. What reaches the driver is bounded by the parameters and MAX_LANGUAGES."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -56,7 +58,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 40))
     rows = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col), draw, F.substring(F.col(text_col), 1, sample_chars)).collect()
     model = {}
-    for lang in sorted(counts):
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         parts: dict[str, None] = {}
         for _, _, text in sorted((r for r in rows if r[0] == lang), key=lambda r: (r[1], r[2]))[: 2 * sample_docs]:
             if mine := letters(text):
@@ -70,27 +72,27 @@ class Classifier:
     def __init__(self, model: dict[str, bytes], level: int = LEVEL, piece_bytes: int = PIECE_BYTES):
         import zstandard
 
-        self.langs, self.piece, self.engines = sorted(model), piece_bytes, []
+        self.langs, self.piece, self.engines = list(model), piece_bytes, []
         for lang in self.langs:
             shared = zstandard.ZstdCompressionDict(model[lang].ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             shared.precompute_compress(level=level)
             self.engines.append(zstandard.ZstdCompressor(dict_data=shared, level=level, write_content_size=False))
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(label, score, margin)"""
+    def predict(self, text: str | None) -> tuple[str, float, float, int]:
+        """(label, score, margin, bytes judged)"""
         data = letters(text).encode()
         if not data or not self.langs:
-            return "und", 0.0, 0.0
+            return "und", 0.0, 0.0, 0
         pieces = [data[i : i + self.piece] for i in range(0, len(data), self.piece)]
         sizes = [sum(len(e.compress(p)) for p in pieces) for e in self.engines]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
-            return self.langs[0], 1.0, 1.0
+            return self.langs[0], 1.0, 1.0, len(data)
         second = min(s for k, s in enumerate(sizes) if k != best)
-        return self.langs[best], (second - sizes[best]) / second, (second - sizes[best]) / sizes[best]
+        return self.langs[best], (second - sizes[best]) / second, (second - sizes[best]) / sizes[best], len(data)
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, level: int = LEVEL, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, judged_bytes: int = JUDGED_BYTES, level: int = LEVEL, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """docs with lang_pred, score and rejected; columns of these names that docs had are replaced."""
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -100,7 +102,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
         judge = Classifier(shared.value, level, piece_bytes)
         for batch in batches:
             found = [judge.predict(t.as_py()) for t in column(batch, text_col)]
-            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == "und" or x[2] < margin for x in found], pa.bool_())]
+            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == "und" or (x[2] < margin and x[3] >= judged_bytes) for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
     return docs.mapInArrow(run, schema)
