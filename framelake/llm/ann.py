@@ -32,7 +32,7 @@ SMALL = 2048
 #: Parts for each square root of rows, and at most.
 PARTS = 1 / 14
 MOST_PARTS = 128
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 COVER = 0.95
 NEIGHBOURS = 10
 
