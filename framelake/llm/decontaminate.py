@@ -1,10 +1,9 @@
 """Benchmark decontamination: an FM-index over each shard of documents, searched backwards.
 
-A task gathers documents into shards of about `shard_words` words. A shard is indexed as words: suffixes sorted
-to the depth of a window, the Burrows-Wheeler sequence of that order in a wavelet matrix, and the positions
-of every `sample`-th word kept. Each window of the benchmark is sought by backward search (two ranks a word),
-its occurrences are located by stepping to a kept position, and overlapping occurrences merge into removal spans.
-Ordering to the depth of a window is enough, since no pattern is longer.
+A task gathers documents into shards of about `shard_words` words. A shard is indexed as words: its suffixes are sorted,
+the Burrows-Wheeler sequence of that order stands in a wavelet matrix, and the places of every `sample`-th word and of
+the documents' begins are kept. Each window of the benchmark is sought by backward search (two ranks a word),
+its occurrences are located by stepping to a kept place, and overlapping occurrences merge into removal spans.
 
 Documents are not shuffled: a task holds one shard and the benchmark's windows. The windows go out in blocks of
 at most `block_words` words, a bound that does not depend on the corpus; a larger benchmark takes several passes.
@@ -76,28 +75,52 @@ class WaveletMatrix:
         return symbol, at
 
 
+def suffix_order(words: np.ndarray) -> np.ndarray:
+    """Places of the text in the order of their suffixes, by doubling; each 0 is a symbol of its own, in order of place.
+
+    After three rounds over all places only those that are not yet told apart are sorted again.
+    """
+    ends = np.flatnonzero(words == 0)
+    rank = words.astype(np.int64) + len(ends)
+    rank[ends] = np.arange(len(ends))
+    n, reach = len(words), 1
+    for _ in range(3):
+        key = rank * (n + len(ends) + int(words.max(initial=0)) + 2)
+        key[: max(n - reach, 0)] += rank[reach:] + 1
+        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        rank = (np.cumsum(counts) - counts)[inverse]
+        reach *= 2
+    left = np.flatnonzero(counts[inverse] > 1)
+    while len(left):
+        key = rank[left] * (n + 1) + rank[left + reach]
+        o = np.argsort(key, kind="stable")
+        left, key = left[o], key[o]
+        old = rank[left]
+        at = np.arange(len(left))
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        cell = np.concatenate([[True], key[1:] != key[:-1]])
+        begin = np.maximum.accumulate(np.where(cell, at, 0))
+        rank[left] = old + begin - np.maximum.accumulate(np.where(group, at, 0))
+        alone = cell & np.append(cell[1:], True)
+        left = left[~alone]
+        reach *= 2
+    order = np.empty(n, dtype=np.int64)
+    order[rank] = np.arange(n)
+    return order
+
+
 class FMIndex:
-    """words: symbols from 1; 0 ends a document. Answers patterns of up to `depth` symbols."""
-
-    def __init__(self, words: np.ndarray, symbols: int, depth: int = WINDOW, sample: int = SAMPLE):
-        n = len(words)
-        rank, reach = words.astype(np.int64), 1
-        while reach < depth:
-            step = min(reach, depth - reach)
-            key = rank * (int(rank.max(initial=0)) + 2)
-            key[: n - step] += rank[step:] + 1
-            distinct, rank = np.unique(key, return_inverse=True)
-            reach += step
-            if len(distinct) == n:
-                break
-        order = np.argsort(rank, kind="stable")
-        self.n, bits = n, max(1, int(symbols).bit_length())
+    """words: symbols from 1; 0 ends a document, and the last one is 0."""
+
+    def __init__(self, words: np.ndarray, symbols: int, sample: int = SAMPLE):
+        order = suffix_order(words)
+        self.n, bits = len(words), max(1, int(symbols).bit_length())
         self.tree = WaveletMatrix(words[order - 1].astype(np.int64), bits)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=symbols + 1))])
-        self.marks = np.flatnonzero(order % sample == 0)
+        # Kept places: every sample-th, and the begins of documents, so that no step crosses an end.
+        self.marked = (order % sample == 0) | (words[order - 1] == 0)
+        self.marks = np.flatnonzero(self.marked)
         self.places = order[self.marks]
-        self.marked = np.zeros(n, dtype=bool)
-        self.marked[self.marks] = True
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of rows of each pattern (a row of `patterns`, as long as `lengths` says)."""
@@ -169,7 +192,7 @@ def search_shard(words: list[np.ndarray], windows: list[tuple[np.ndarray, list[s
     patterns = np.zeros((len(use), int(lengths[use].max())), dtype=np.int64)
     for k, i in enumerate(use):
         patterns[k, : lengths[i]] = ids[begin[i] : begin[i] + lengths[i]] + 1
-    index = FMIndex(text, len(vocabulary), depth=max(2, patterns.shape[1]), sample=sample)
+    index = FMIndex(text, len(vocabulary), sample)
     lo, hi = index.search(patterns, lengths[use])
     counts = np.maximum(hi - lo, 0)
     which = np.repeat(np.arange(len(use)), counts)
