@@ -13,7 +13,7 @@ def one(spark, value, column):
     return spark.createDataFrame([(value,)], "x string").select(column(F.col("x")).alias("y")).first()[0]
 
 
-@pytest.mark.parametrize(("value", "unit"), [("E0" * 150, "E0"), ("ok " * 10 + "z" * 400, "z"), ("a sane text. " * 30, "a sane text. "[0:0] or None), ("x" * 199, None), ("", None), (None, None)])
+@pytest.mark.parametrize(("value", "unit"), [("E0" * 150, "E0"), ("ok " * 10 + "z" * 400, "z"), ("a sane text. " * 30, None), ("x" * 199, None), ("", None), (None, None)])
 def test_stuck_unit(spark, value, unit):
     def plain(t):
         t = (t or "").strip()
@@ -44,7 +44,7 @@ def test_lines_and_slug(spark):
     assert one(spark, "clip_20240131_235959", text.base_slug) == "clip"
     assert one(spark, "30/0", text.frame_rate) == 30.0
     assert one(spark, "import os\nfrom a.b import c\nfrom . import d", text.python_imports) == ["a.b", "os"]
-    assert one(spark, "import a.b\nfrom c import (", text.python_imports) == ["a.b", "c"] or True
+    assert one(spark, "import a.b\nfrom c import (", text.python_imports) == ["a.b", "c"]
 
 
 def scroll(doc, view, step, noise=0.0, drop=0.0, seed=0):
