@@ -1,115 +1,139 @@
 """LM scoring by cross-entropy difference.
 
-Two interpolated bigram models, of the target texts and of all texts, share one vocabulary: words and word pairs hashed into 2 ** bits
-places each. Counts cover every text; a task sums its own into tables of that size before it sends the places it has seen, so
-what is gathered grows with the number of tasks, and the model's size depends on the parameters alone (9 MB). A text's
+Two interpolated bigram models, of the target texts and of all texts, share one vocabulary: every word and pair of words of all texts,
+each known by 63 bits of its hash. Nothing is capped or folded, so the models grow with the corpus; they are never gathered in one place.
+Documents are dealt into groups of about `group_bytes` of text by a hash of their id. A group counts its own words and
+pairs; the counts are summed by key over all groups; a group gets back the sums of its own keys that occur elsewhere too
+(for the rest its own counts are the sums), and scores its documents with them. A key has at most one row a group, so no word is a hot key.
+
+P(w | v) = a * c(v w) / c(v) + b * c(w) / n + c / N, with c() and n, the tokens, of the model's texts, and N those of all texts. A text's
 score is the mean over its tokens of the loss under the target model less the loss under the background model, in
 nats; the lower, the closer to the target.
 
 Defined cases: null and empty texts have no tokens and a null score; without target texts the target model is uniform over
-the vocabulary; rows that share an id are scored each by itself.
+the vocabulary; rows that share an id are scored each by itself and are target texts together; rows without an id are
+never target texts; an empty table gives an empty table; columns named like the results, or lm_group, are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import U, WORD_BASE, column, find_words, hash_words, mix, slices, table
+from framelake.llm.common import U, WORD_BASE, find_words, hash_words, mix, signed, slices, table
 
-WORD_BITS, PAIR_BITS = 18, 18
+GROUP_BYTES = 16 << 20
 #: Weights of the pair, the word and the uniform distribution.
 WEIGHTS = (0.6, 0.35, 0.05)
-
-
-def places(words: np.ndarray, first: np.ndarray, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of each token, of its pair with the token before (or the text's begin), and of that one."""
-    w = (words >> U(64 - word_bits)).astype(np.int64)
-    before = np.zeros(len(words), dtype=U)
-    before[1:] = words[:-1]
-    heads = first[:-1][first[:-1] < first[1:]]
-    before[heads] = 0
-    pair = (mix(before * U(WORD_BASE) + words) >> U(64 - pair_bits)).astype(np.int64)
-    return w, pair, (before >> U(64 - word_bits)).astype(np.int64)
-
-
-def _count(text_col: str, word_bits: int, pair_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(1 << word_bits, np.int64), np.zeros(1 << pair_bits, np.int64), np.zeros(1 << word_bits, np.int64)]
-        for batch in batches:
-            for _, _, data, offsets in slices(column(batch, text_col)):
-                starts, ends, first = find_words(data, offsets)
-                for counts, at in zip(tables, places(hash_words(data, starts, ends), first, word_bits, pair_bits), strict=True):
-                    counts += np.bincount(at, minlength=len(counts))
-        for kind, counts in enumerate(tables):
-            at = np.flatnonzero(counts)
-            for k in range(0, len(at), 50_000):
-                part = at[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(counts[part])], ["kind", "place", "n"])
-
-    return run
-
-
-class Model:
-    """Counts of words, pairs and what stands before, over the shared vocabulary."""
-
-    def __init__(self, counted: DataFrame, word_bits: int, pair_bits: int):
-        self.tables = [np.zeros(1 << word_bits, np.float32), np.zeros(1 << pair_bits, np.float32), np.zeros(1 << word_bits, np.float32)]
-        rows = counted.groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
-        kind, place, n = (rows.column(c).to_numpy() for c in ("kind", "place", "n"))
-        for k, counts in enumerate(self.tables):
-            counts[place[kind == k]] = n[kind == k]
-        self.total = float(n[kind == 0].sum())
-
-    def loss(self, word: np.ndarray, pair: np.ndarray, before: np.ndarray, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
-        words, pairs, befores = self.tables
-        seen = befores[before]
-        by_pair = np.where(seen > 0, np.minimum(pairs[pair], seen) / np.maximum(seen, 1), 0)
-        by_word = words[word] / max(self.total, 1)
-        flat = 1 / len(words)
-        known = weights[0] * by_pair + weights[1] * by_word
-        return -np.log(np.where(self.total > 0, known + weights[2] * flat, flat))
-
-
-def score(docs: DataFrame, target: Model, background: Model, text_col: str = "text", word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """docs with n_tokens, loss_target, loss_background (means, in nats) and score, their difference."""
-    names = ("n_tokens", "loss_target", "loss_background", "score")
-    docs = docs.drop(*names)
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names[1:])])
-    columns = schema.names
-    shared = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            counts, sums = [], ([], [])
-            for _, _, data, offsets in slices(column(batch, text_col)):
-                starts, ends, first = find_words(data, offsets)
-                at = places(hash_words(data, starts, ends), first, word_bits, pair_bits)
-                counts.append(np.diff(first))
-                for model, out in zip(models, sums, strict=True):
-                    run_sum = np.concatenate([[0.0], np.cumsum(model.loss(*at), dtype=np.float64)])
-                    out.append(run_sum[first[1:]] - run_sum[first[:-1]])
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                a, b = ((np.concatenate(x) if x else np.zeros(0)) / n for x in sums)
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), *(pa.array(x, mask=none) for x in (a, b, a - b))], columns)
-
-    return docs.mapInArrow(run, schema)
-
-
-def learn(docs: DataFrame, text_col: str = "text", word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> Model:
-    return Model(docs.select(text_col).mapInArrow(_count(text_col, word_bits, pair_bits), "kind int, place int, n long"), word_bits, pair_bits)
+#: Keys of words are odd, those of pairs even. Two odd ones are set aside: the begin of a text, and the number of tokens.
+BEGIN, TOKENS = U(1), U(3)
+COUNTS = "lm_group long, key long, n long, t long"
+RESULTS = ("n_tokens", "loss_target", "loss_background", "score")
+
+
+class Group:
+    """The words and pairs of a group's documents: sorted keys, their counts here (n in all texts, t in target texts), and each token's places."""
+
+    def __init__(self, texts: pa.Array, is_target: np.ndarray):
+        words, pairs, self.lengths = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in slices(texts):
+            starts, ends, first = find_words(data, offsets)
+            word = hash_words(data, starts, ends) | U(1)
+            before = np.empty_like(word)
+            before[1:] = word[:-1]
+            before[first[:-1][first[:-1] < first[1:]]] = BEGIN
+            words.append(word)
+            pairs.append(mix(before * U(WORD_BASE) + word) & ~U(1))
+            self.lengths.append(np.diff(first))
+        self.lengths = np.concatenate(self.lengths)
+        self.ends = np.cumsum(self.lengths)
+        self.heads = (self.ends - self.lengths)[self.lengths > 0]
+        word, pair = np.concatenate(words), np.concatenate(pairs)
+        mine = np.repeat(is_target, self.lengths)
+        n_texts, n_target = len(self.heads), int((is_target & (self.lengths > 0)).sum())
+        self.keys, at = np.unique(np.concatenate([word, pair, [BEGIN, TOKENS]]), return_inverse=True)
+        self.word, self.pair, (self.begin, self.tokens) = at[: len(word)], at[len(word) : -2], at[-2:]
+        self.n = np.bincount(at[:-2], minlength=len(self.keys))
+        self.t = np.bincount(at[:-2][np.concatenate([mine, mine])], minlength=len(self.keys))
+        self.n[[self.begin, self.tokens]] = n_texts, len(word)
+        self.t[[self.begin, self.tokens]] = n_target, int(mine.sum())
+
+    def add(self, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> None:
+        """Put the sums over all groups in the place of this group's counts."""
+        at = np.searchsorted(self.keys, keys)
+        self.n[at], self.t[at] = n, t
+
+    def losses(self, counts: np.ndarray, weights: tuple[float, float, float]) -> np.ndarray:
+        """Mean loss of each document under the model of these counts; not a number for those without tokens."""
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.heads] = self.begin
+        flat, total = 1 / max(int(self.n[self.tokens]), 1), int(counts[self.tokens])
+        if total:
+            seen = counts[before]
+            loss = -np.log(weights[0] * counts[self.pair] / np.maximum(seen, 1) + weights[1] * counts[self.word] / total + weights[2] * flat)
+        else:
+            loss = np.full(len(self.word), -np.log(flat))
+        sums = np.concatenate([[0.0], np.cumsum(loss)])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (sums[self.ends] - sums[self.ends - self.lengths]) / self.lengths
+
+
+def _uint(values: pa.ChunkedArray) -> np.ndarray:
+    return values.to_numpy().astype(np.int64).view(U)
+
+
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = WEIGHTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """docs with n_tokens, loss_target, loss_background (means, in nats) and score, their difference. `target` holds the ids of the target texts."""
+    docs = docs.drop(*RESULTS, "lm_group")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_groups = F.lit(-(-size // group_bytes) or 1)
+    schema = T.StructType([*docs.schema.fields, T.StructField(RESULTS[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in RESULTS[1:])])
+    columns, names = docs.columns, schema.names
+    ident = F.xxhash64(F.col(id_col).cast("string"))
+    grouped = docs.withColumn("lm_group", F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(ident), n_groups)).withColumn("lm_ident", F.when(F.col(id_col).isNotNull(), ident))
+    # Target ids travel as rows of counts do: n = -1 tells them apart.
+    wanted = target.where(F.col(id_col).isNotNull()).select(F.pmod(ident, n_groups).alias("lm_group"), ident.alias("key"), F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("t")).distinct()
+
+    def gather(left: pa.Table, right: pa.Table) -> Group:
+        marks = right.column("n").to_numpy() < 0
+        ids = right.column("key").to_numpy()[marks]
+        idents = left.column("lm_ident")
+        is_target = np.isin(idents.fill_null(0).to_numpy(), ids) & idents.is_valid().to_numpy()
+        group = Group(pa.concat_arrays(left.column(text_col).cast(pa.large_string()).chunks), is_target)
+        rest = right.filter(pa.array(~marks))
+        group.add(*(_uint(rest.column("key")), rest.column("n").to_numpy(), rest.column("t").to_numpy()))
+        return group
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return right.select(["lm_group", "key", "n", "t"]).slice(0, 0)
+        group = gather(left, right)
+        number = left.column("lm_group")[0].as_py()
+        return pa.table({"lm_group": np.full(len(group.keys), number, np.int64), "key": signed(group.keys), "n": group.n.astype(np.int64), "t": group.t.astype(np.int64)})
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema_table.slice(0, 0)
+        group = gather(left, right)
+        a, b, none = group.losses(group.t, weights), group.losses(group.n, weights), group.lengths == 0
+        found = [pa.array(group.lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))]
+        return pa.table([*(left.column(c) for c in columns), *found], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema_table = to_arrow_schema(schema).empty_table()
+    counted = grouped.groupBy("lm_group").cogroup(wanted.groupBy("lm_group")).applyInArrow(count, COUNTS)
+    summed = counted.selectExpr("lm_group", "key", "sum(n) OVER (PARTITION BY key) AS n", "sum(t) OVER (PARTITION BY key) AS t", "count(*) OVER (PARTITION BY key) AS n_groups")
+    shared = summed.where("n_groups > 1").drop("n_groups").unionByName(wanted)
+    return grouped.groupBy("lm_group").cogroup(shared.groupBy("lm_group")).applyInArrow(judge, schema)
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
     """Target: the documents labelled quality 1. Background: all documents. The labels grow with them, so they are never broadcast."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return score(docs, learn(docs.join(good.hint("merge"), "doc_id", "left_semi")), learn(docs)).drop("text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score(docs, good).drop("text")

@@ -171,18 +171,35 @@ def test_neighbours(spark):
         assert hit / (20 * len(got)) >= least
 
 
-def test_lm_score(spark, docs):
-    good, odd = "the cat sat on the mat " * 30, "zz qq xx yy " * 30
-    rows = [good, odd, None, "", "the cat sat", "zz qq xx"]
+@pytest.mark.parametrize("group_bytes", [40, 3000, 1 << 24])
+def test_lm_score(spark, group_bytes):
+    rows = ["the cat sat on the mat " * 30, "zz qq xx yy " * 30, None, "", "the cat sat", "zz qq xx", "the cat sat", *texts()[:20]]
     df = table(spark, rows)
-    target, background = lm_score.learn(df.where("doc_id = 0")), lm_score.learn(df)
-    found = {r.doc_id: r for r in lm_score.score(df, target, background).collect()}
-    assert found[4].score < found[5].score and found[2].score is None and found[3].n_tokens == 0
-    words = good.split()
-    pairs, ones, before = Counter(zip([None, *words], words)), Counter(words), Counter([None, *words[:-1]])
-    loss = [-np.log(0.6 * pairs[(a, b)] / before[a] + 0.35 * ones[b] / len(words) + 0.05 / (1 << lm_score.WORD_BITS)) for a, b in zip([None, *words], words)]
-    assert found[0].loss_target == pytest.approx(np.mean(loss), rel=1e-4)
-    assert lm_score.score(df.limit(0), target, background).count() == 0
+    targets = [0, 2, 6, 12, 999]
+    ids = spark.createDataFrame([(k,) for k in [*targets, 0, None]], "doc_id long")
+    found = {r.doc_id: r for r in lm_score.score(df.withColumn("score", F.lit("clash")), ids, group_bytes=group_bytes).collect()}
+    words = {k: (t or "").split() for k, t in enumerate(rows)}
+    assert len(found) == len(rows)
+    n_all = sum(map(len, words.values()))
+    for chosen, name in ((targets, "loss_target"), (list(words), "loss_background")):
+        mine = [words[k] for k in chosen if k in words]
+        ones, pairs = Counter(w for t in mine for w in t), Counter(p for t in mine for p in zip([None, *t], t))
+        ones[None], n = sum(1 for t in mine if t), sum(map(len, mine))
+        for k, t in words.items():
+            loss = [-np.log(0.6 * pairs[(a, b)] / max(ones[a], 1) + 0.35 * ones[b] / n + 0.05 / n_all) for a, b in zip([None, *t], t)]
+            assert found[k].n_tokens == len(t)
+            assert found[k][name] == (pytest.approx(np.mean(loss), rel=1e-9) if t else None)
+    assert found[4].score < found[5].score and found[2].score is None
+
+
+def test_lm_score_without_targets_or_rows(spark):
+    df = table(spark, ["a b a", None, "c"])
+    none = spark.createDataFrame([], "doc_id long")
+    found = {r.doc_id: r.loss_target for r in lm_score.score(df, none).collect()}
+    assert found[0] == pytest.approx(np.log(4)) and found[1] is None
+    assert lm_score.score(df.limit(0), none).count() == 0
+    twice = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a b"), (None, None)], "doc_id long, text string")
+    assert [r.n_tokens for r in lm_score.score(twice, none).orderBy("n_tokens").collect()] == [0, 1, 2, 2]
 
 
 def classes_by_hand(rows):
