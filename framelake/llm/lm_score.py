@@ -3,8 +3,10 @@
 Two interpolated bigram models, of the target texts and of all texts, share one vocabulary: every word and pair of words of all texts,
 each known by 63 bits of its hash. Nothing is capped or folded, so the models grow with the corpus; they are never gathered in one place.
 Documents are dealt into groups of about `group_bytes` of text by a hash of their id. A group counts its own words and
-pairs; the counts are summed by key over all groups; a group gets back the sums of its own keys that occur elsewhere too
-(for the rest its own counts are the sums), and scores its documents with them. A key has at most one row a group, so no word is a hot key.
+pairs and sends them, sorted and packed, in one block for each range of keys, of which there are as many as groups. A range adds
+up its blocks and answers each with what the other groups have counted of the same keys; with these a group scores its
+documents. A key comes at most once a block, so a range holds its even share of keys, and of a frequent word a count a group.
+Very large corpora want larger groups, so that a block still holds many keys; where it holds few, results stay the same.
 
 P(w | v) = a * c(v w) / c(v) + b * c(w) / n + c / N, with c() and n, the tokens, of the model's texts, and N those of all texts. A text's
 score is the mean over its tokens of the loss under the target model less the loss under the background model, in
@@ -22,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from framelake.llm.common import U, WORD_BASE, find_words, hash_words, mix, signed, slices, table
+from framelake.llm.common import U, WORD_BASE, find_words, hash_words, mix, slices, table
 
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Weights of the pair, the word and the uniform distribution.
 WEIGHTS = (0.6, 0.35, 0.05)
 #: Keys of words are odd, those of pairs even. Two odd ones are set aside: the begin of a text, and the number of tokens.
 BEGIN, TOKENS = U(1), U(3)
-COUNTS = "lm_group long, key long, n long, t long"
+#: A block holds `m` keys and counts; rows with range -1 name a target text, its hashed id in m.
+BLOCKS = "lm_group long, lm_range long, m long, block binary"
 RESULTS = ("n_tokens", "loss_target", "loss_background", "score")
 
 
@@ -61,10 +65,9 @@ class Group:
         self.n[[self.begin, self.tokens]] = n_texts, len(word)
         self.t[[self.begin, self.tokens]] = n_target, int(mine.sum())
 
-    def add(self, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> None:
-        """Put the sums over all groups in the place of this group's counts."""
-        at = np.searchsorted(self.keys, keys)
-        self.n[at], self.t[at] = n, t
+    def add(self, n: np.ndarray, t: np.ndarray) -> None:
+        """Add what other groups have counted, a number for each key in order."""
+        self.n, self.t = self.n + n, self.t + t
 
     def losses(self, counts: np.ndarray, weights: tuple[float, float, float]) -> np.ndarray:
         """Mean loss of each document under the model of these counts; not a number for those without tokens."""
@@ -82,54 +85,91 @@ class Group:
             return (sums[self.ends] - sums[self.ends - self.lengths]) / self.lengths
 
 
-def _uint(values: pa.ChunkedArray) -> np.ndarray:
-    return values.to_numpy().astype(np.int64).view(U)
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    import zstandard
+
+    planes = (np.ascontiguousarray(c.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(block: bytes, m: int) -> np.ndarray:
+    """The packed columns, one a row."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(-1, 8, m)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(U).reshape(-1, m)
+
+
+def _blocks(group, ranges, sizes, blocks) -> pa.Table:
+    return pa.table({"lm_group": pa.array(group, pa.int64()), "lm_range": pa.array(ranges, pa.int64()), "m": pa.array(sizes, pa.int64()), "block": pa.array(blocks, pa.binary())})
+
+
+def _send(number: int, group: Group, n_ranges: int) -> pa.Table:
+    """The group's counts, in a block for each range that has any."""
+    of = ((group.keys >> U(32)) * U(n_ranges)) >> U(32)
+    cuts = np.concatenate([np.flatnonzero(np.diff(of, prepend=of[:1] + U(1))), [len(of)]])
+    steps = [pack(np.diff(group.keys[a:b], prepend=U(0)), group.n[a:b], group.t[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return _blocks(np.full(len(steps), number), of[cuts[:-1]].astype(np.int64), np.diff(cuts), steps)
+
+
+def _answer(sent: pa.Table) -> pa.Table:
+    """For each block of a range, what other blocks have counted of its keys."""
+    sizes = sent.column("m").to_numpy()
+    found = np.concatenate([unpack(b.as_py(), m) for b, m in zip(sent.column("block"), sizes, strict=True)], axis=1)
+    ends = np.cumsum(sizes)
+    keys = found[0]
+    for a, b in zip(ends - sizes, ends, strict=True):
+        keys[a:b] = np.cumsum(keys[a:b])
+    _, at = np.unique(keys, return_inverse=True)
+    others = []
+    for own in found[1:]:
+        sums = np.zeros(at.max() + 1, U)
+        np.add.at(sums, at, own)
+        others.append(sums[at] - own)
+    answers = [pack(others[0][a:b], others[1][a:b]) for a, b in zip(ends - sizes, ends, strict=True)]
+    return _blocks(sent.column("lm_group"), sent.column("lm_range"), sent.column("m"), answers)
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = WEIGHTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs with n_tokens, loss_target, loss_background (means, in nats) and score, their difference. `target` holds the ids of the target texts."""
     docs = docs.drop(*RESULTS, "lm_group")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_groups = F.lit(-(-size // group_bytes) or 1)
+    n_groups = -(-size // group_bytes) or 1
     schema = T.StructType([*docs.schema.fields, T.StructField(RESULTS[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in RESULTS[1:])])
     columns, names = docs.columns, schema.names
+    empty = to_arrow_schema(schema).empty_table()
     ident = F.xxhash64(F.col(id_col).cast("string"))
-    grouped = docs.withColumn("lm_group", F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(ident), n_groups)).withColumn("lm_ident", F.when(F.col(id_col).isNotNull(), ident))
-    # Target ids travel as rows of counts do: n = -1 tells them apart.
-    wanted = target.where(F.col(id_col).isNotNull()).select(F.pmod(ident, n_groups).alias("lm_group"), ident.alias("key"), F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("t")).distinct()
+    grouped = docs.withColumn("lm_group", F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(ident), F.lit(n_groups))).withColumn("lm_ident", F.when(F.col(id_col).isNotNull(), ident))
+    wanted = target.where(F.col(id_col).isNotNull()).select(F.pmod(ident, F.lit(n_groups)).alias("lm_group"), F.lit(-1).cast("long").alias("lm_range"), ident.alias("m"), F.lit(None).cast("binary").alias("block")).distinct()
 
     def gather(left: pa.Table, right: pa.Table) -> Group:
-        marks = right.column("n").to_numpy() < 0
-        ids = right.column("key").to_numpy()[marks]
+        marks = right.column("lm_range").to_numpy() < 0
         idents = left.column("lm_ident")
-        is_target = np.isin(idents.fill_null(0).to_numpy(), ids) & idents.is_valid().to_numpy()
+        is_target = np.isin(idents.fill_null(0).to_numpy(), right.column("m").to_numpy()[marks]) & idents.is_valid().to_numpy()
         group = Group(pa.concat_arrays(left.column(text_col).cast(pa.large_string()).chunks), is_target)
-        rest = right.filter(pa.array(~marks))
-        group.add(*(_uint(rest.column("key")), rest.column("n").to_numpy(), rest.column("t").to_numpy()))
+        back = right.filter(pa.array(~marks)).sort_by("lm_range")
+        if back.num_rows:
+            others = np.concatenate([unpack(b.as_py(), m.as_py()) for b, m in zip(back.column("block"), back.column("m"), strict=True)], axis=1)
+            group.add(*others.astype(np.int64))
         return group
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return right.select(["lm_group", "key", "n", "t"]).slice(0, 0)
-        group = gather(left, right)
-        number = left.column("lm_group")[0].as_py()
-        return pa.table({"lm_group": np.full(len(group.keys), number, np.int64), "key": signed(group.keys), "n": group.n.astype(np.int64), "t": group.t.astype(np.int64)})
+            return _blocks([], [], [], [])
+        return _send(left.column("lm_group")[0].as_py(), gather(left, right), n_groups)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return schema_table.slice(0, 0)
+            return empty
         group = gather(left, right)
         a, b, none = group.losses(group.t, weights), group.losses(group.n, weights), group.lengths == 0
         found = [pa.array(group.lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))]
         return pa.table([*(left.column(c) for c in columns), *found], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema_table = to_arrow_schema(schema).empty_table()
-    counted = grouped.groupBy("lm_group").cogroup(wanted.groupBy("lm_group")).applyInArrow(count, COUNTS)
-    summed = counted.selectExpr("lm_group", "key", "sum(n) OVER (PARTITION BY key) AS n", "sum(t) OVER (PARTITION BY key) AS t", "count(*) OVER (PARTITION BY key) AS n_groups")
-    shared = summed.where("n_groups > 1").drop("n_groups").unionByName(wanted)
-    return grouped.groupBy("lm_group").cogroup(shared.groupBy("lm_group")).applyInArrow(judge, schema)
+    counted = grouped.groupBy("lm_group").cogroup(wanted.groupBy("lm_group")).applyInArrow(count, BLOCKS)
+    answered = counted.groupBy("lm_range").applyInArrow(_answer, BLOCKS)
+    return grouped.groupBy("lm_group").cogroup(answered.unionByName(wanted).groupBy("lm_group")).applyInArrow(judge, schema)
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
