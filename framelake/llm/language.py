@@ -1,7 +1,7 @@
 """Language ID by compression: the language whose dictionary compresses a text smallest.
 
 Learning takes a bounded sample of labelled rows: of each language about `sample_docs` documents, picked by a hash of their
-id, and of each the first `sample_chars` characters. Joined, they are the language's raw-content zstandard
+id and text, and of each the first `sample_chars` characters. Joined, they are the language's raw-content zstandard
 dictionary of at most `dict_bytes`. A prediction reads the whole text, lower-cased and with all but letters turned into
 spaces, in pieces of `piece_bytes`; the sizes of all pieces are summed for each language. A narrow margin between the
 two smallest sizes is rejected: the best label stands in `lang_pred`, and `rejected` is set. Under `judged_bytes` sizes are too
@@ -55,8 +55,9 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not counts:
         return {}
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 40, int((1 << 40) * 1.5 * sample_docs / n))))))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 40))
-    rows = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col), draw, F.substring(F.col(text_col), 1, sample_chars)).collect()
+    # By id and text, and once each, so that an id or a row that comes very often is not gathered as often.
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language")), F.lit(1 << 40))
+    rows = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col), draw, F.substring(F.col(text_col), 1, sample_chars)).distinct().collect()
     model = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         parts: dict[str, None] = {}
