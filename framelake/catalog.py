@@ -370,10 +370,17 @@ def collapse_blank_runs(spark, sf_dir):
 @query(f"""WITH {_LINES}, c AS (SELECT source, line_no, line, count(*) AS c, min(doc_id) AS first FROM rows WHERE line_no < 3 GROUP BY 1, 2, 3)
 SELECT source, line_no::INT AS line_no, line, votes::BIGINT AS votes FROM (SELECT *, sum(c) OVER (PARTITION BY source, line_no) AS votes, row_number() OVER (PARTITION BY source, line_no ORDER BY c DESC, length(line) DESC, first) AS r FROM c) WHERE r = 1""")
 def majority_line(spark, sf_dir):
-    """The first three lines of all documents of a source."""
+    """The first three lines of all documents of a source, as its SQL has it; majority_line_whole votes on every line."""
     return stitching.majority(_lines(spark, sf_dir).where("line_no < 3"), ["source", "line_no"], "line", "doc_id")
 
 
+@query(f"""WITH {_LINES}, c AS (SELECT source, line_no, line, count(*) AS c, min(doc_id) AS first FROM rows GROUP BY 1, 2, 3)
+SELECT source, line_no::INT AS line_no, line, votes::BIGINT AS votes FROM (SELECT *, sum(c) OVER (PARTITION BY source, line_no) AS votes, row_number() OVER (PARTITION BY source, line_no ORDER BY c DESC, length(line) DESC, first) AS r FROM c) WHERE r = 1""")
+def majority_line_whole(spark, sf_dir):
+    """Every line of all documents of a source."""
+    return stitching.majority(_lines(spark, sf_dir), ["source", "line_no"], "line", "doc_id")
+
+
 @query(r"""WITH l AS (SELECT doc_id, list_distinct(list_transform(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: NOT regexp_full_match(x, '\s*')), lambda x: regexp_replace(x, '\s+', '', 'g'))) AS a,
     list_distinct(list_transform(list_filter(regexp_split_to_array(replace(text, 'e ', 'e'), '\r\n|\n|\r'), lambda x: NOT regexp_full_match(x, '\s*')), lambda x: regexp_replace(x, '\s+', '', 'g'))) AS b,
     list_distinct(list_transform(list_filter(regexp_split_to_array(left(text, 1000), '\r\n|\n|\r'), lambda x: NOT regexp_full_match(x, '\s*')), lambda x: regexp_replace(x, '\s+', '', 'g'))) AS c FROM documents WHERE text IS NOT NULL)
