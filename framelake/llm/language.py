@@ -4,8 +4,9 @@ Learning takes a bounded sample of labelled rows: of each language about `sample
 id and text, and of each the first `sample_chars` characters. Joined, they are the language's raw-content zstandard
 dictionary of at most `dict_bytes`. A prediction reads the whole text, lower-cased and with all but letters turned into
 spaces, in pieces of `piece_bytes`; the sizes of all pieces are summed for each language. A narrow margin between the
-two smallest sizes is rejected: the best label stands in `lang_pred`, and `rejected` is set. Under `judged_bytes` sizes are too
-coarse for a margin to tell anything (a byte is the least difference), so short texts are labelled and not rejected.
+two smallest sizes is rejected: the best label stands in `lang_pred`, and `rejected` is set. The margin is the difference as a
+share of the smallest size beyond `free_bytes`: what a text of some 25 letters comes to by frame and literals alone, where no
+dictionary can tell anything. One rule holds for all lengths; a size up to `free_bytes` gives no evidence and is not rejected.
 
 Defined cases: null texts and texts without a letter are `und`, score 0 and rejected; ties go to the language with most labelled
 rows, then the first by name; with no labelled rows everything is `und`; with one language its score is 1.
@@ -28,9 +29,10 @@ SAMPLE_DOCS = 300
 SAMPLE_CHARS = 2048
 PIECE_BYTES = 1024
 LEVEL = 6
-#: Relative difference of the two smallest sizes below which a text is rejected.
-MARGIN = 0.001
-JUDGED_BYTES = 512
+#: Difference of the two smallest sizes, as a share of the smallest beyond FREE_BYTES, below which a text is rejected. Both are
+#: calibrated on held-out rows of sf0.1 and on texts of random letters; README has the rates.
+MARGIN = 0.06
+FREE_BYTES = 34
 #: With DICT_BYTES this bounds the model at 56 MB.
 MAX_LANGUAGES = 512
 
@@ -70,40 +72,41 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 class Classifier:
-    def __init__(self, model: dict[str, bytes], level: int = LEVEL, piece_bytes: int = PIECE_BYTES):
+    def __init__(self, model: dict[str, bytes], level: int = LEVEL, piece_bytes: int = PIECE_BYTES, free_bytes: int = FREE_BYTES):
         import zstandard
 
-        self.langs, self.piece, self.engines = list(model), piece_bytes, []
+        self.langs, self.piece, self.free, self.engines = list(model), piece_bytes, free_bytes, []
         for lang in self.langs:
             shared = zstandard.ZstdCompressionDict(model[lang].ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             shared.precompute_compress(level=level)
             self.engines.append(zstandard.ZstdCompressor(dict_data=shared, level=level, write_content_size=False))
 
-    def predict(self, text: str | None) -> tuple[str, float, float, int]:
-        """(label, score, margin, bytes judged)"""
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """(label, score, margin)"""
         data = letters(text).encode()
         if not data or not self.langs:
-            return "und", 0.0, 0.0, 0
+            return "und", 0.0, 0.0
         pieces = [data[i : i + self.piece] for i in range(0, len(data), self.piece)]
         sizes = [sum(len(e.compress(p)) for p in pieces) for e in self.engines]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
-            return self.langs[0], 1.0, 1.0, len(data)
+            return self.langs[0], 1.0, 1.0
         second = min(s for k, s in enumerate(sizes) if k != best)
-        return self.langs[best], (second - sizes[best]) / second, (second - sizes[best]) / sizes[best], len(data)
+        beyond = sizes[best] - self.free
+        return self.langs[best], (second - sizes[best]) / second, (second - sizes[best]) / beyond if beyond > 0 else float("inf")
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, judged_bytes: int = JUDGED_BYTES, level: int = LEVEL, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, free_bytes: int = FREE_BYTES, level: int = LEVEL, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """docs with lang_pred, score and rejected; columns of these names that docs had are replaced."""
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Classifier(shared.value, level, piece_bytes)
+        judge = Classifier(shared.value, level, piece_bytes, free_bytes)
         for batch in batches:
             found = [judge.predict(t.as_py()) for t in column(batch, text_col)]
-            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == "und" or (x[2] < margin and x[3] >= judged_bytes) for x in found], pa.bool_())]
+            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == "und" or x[2] < margin for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -1,8 +1,12 @@
 """Queries that read whole texts, on fixtures with cases beyond any prefix."""
 
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from framelake import catalog
+from framelake.llm import language
 
 
 def documents(spark, tmp_path, rows):
@@ -22,3 +26,14 @@ def test_majority_votes_on_every_line(spark, tmp_path):
         wanted.add((*at, max(times, key=lambda x: (times[x], len(x), -first[x])), len(seen)))
     found = {(r.source, r.line_no, r.line, r.votes) for r in catalog.QUERIES["majority_line_whole"](spark, documents(spark, tmp_path, rows)).collect()}
     assert found == wanted and ("s", 4, "longer", 2) in found and ("u", 499, "l499", 1) in found
+
+
+def test_language_rejects_junk_of_any_length_and_keeps_prose(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.learn(rows.where(~language.in_fold()))
+    draw = random.Random(3)
+    junk = [("".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)), n) for n in (40, 100, 200, 300, 512, 2000, 8000) for _ in range(40)]
+    found = language.identify(spark.createDataFrame(junk, "text string, n int"), model).groupBy("n").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()
+    assert all(r.share >= 0.75 for r in found), found
+    clean = language.identify(rows.where(language.in_fold() & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")), model)
+    assert clean.select(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.02
