@@ -398,11 +398,17 @@ _STUCK = r"""list_filter(range(1, 25), lambda u: ends_with(t, repeat(right(t, u:
 @query(rf"""SELECT doc_id, CASE WHEN length(t) >= 200 THEN right(t, ({_STUCK})::BIGINT) END AS unit
 FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN left(text, 100) || repeat('E0', 200) ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
 def degenerate_text(spark, sf_dir):
-    """A third of the texts get an end as a stuck decoder leaves it."""
+    """A third of the texts get an end as a stuck decoder leaves it, as its SQL has it; degenerate_text_whole takes texts as they are."""
     stuck = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 100), F.lit("E0" * 200))).otherwise(F.col("text"))
     return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.stuck_unit(stuck).alias("unit"))
 
 
+@query(rf"""SELECT doc_id, CASE WHEN length(t) >= 200 THEN right(t, ({_STUCK})::BIGINT) END AS unit
+FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
+def degenerate_text_whole(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.stuck_unit(F.col("text")).alias("unit"))
+
+
 _ANSWER = "CASE conv_id % 4 WHEN 0 THEN '<think>' || left(text, 9) || '</think> ' || text WHEN 1 THEN left(text, 9) || '</think>' || text WHEN 2 THEN text || '<think>' || left(text, 9) ELSE text END"
 
 
@@ -421,10 +427,19 @@ _MARKED = "CASE event_id % 4 WHEN 0 THEN ' [No Text] ' WHEN 1 THEN 'Please attac
 regexp_matches(x, '\b(no (image|video frame|picture)\b.*(provided|attached|been))|(please (attach|provide|upload).{{0,40}}(image|frame))|(i (cannot|can''t|am unable to) see (an|the|any) image)', 'is') AS refused
 FROM (SELECT event_id, x, regexp_replace(x, '^\s+|\s+$', '', 'g') AS s FROM (SELECT event_id, {_MARKED} AS x FROM events))""")
 def empty_markers_and_refusals(spark, sf_dir):
+    """Three quarters of the events get an answer of a model, as its SQL has it; markers_and_refusals_whole takes texts as they are."""
     x = F.expr(_MARKED)
     return _table(spark, sf_dir, "events").select("event_id", text.reading(x).alias("reading"), text.refuses(x).alias("refused"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN lower(s) IN ('[no text]', '[notext]', 'no text', '') THEN '' ELSE s END AS reading,
+regexp_matches(x, '\b(no (image|video frame|picture)\b.*(provided|attached|been))|(please (attach|provide|upload).{0,40}(image|frame))|(i (cannot|can''t|am unable to) see (an|the|any) image)', 'is') AS refused
+FROM (SELECT doc_id, text AS x, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL)""")
+def markers_and_refusals_whole(spark, sf_dir):
+    x = F.col("text")
+    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.reading(x).alias("reading"), text.refuses(x).alias("refused"))
+
+
 _FENCED = "CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN concat('Here: ```json', chr(10), props, chr(10), '``` done') ELSE concat('Answer ', props, ' ok') END"
 
 

@@ -28,6 +28,20 @@ def test_majority_votes_on_every_line(spark, tmp_path):
     assert found == wanted and ("s", 4, "longer", 2) in found and ("u", 499, "l499", 1) in found
 
 
+def test_stuck_ends_show_in_every_text(spark, tmp_path):
+    head = "Some clean words that a model wrote. "
+    rows = [(3, head + "xy" * 200, "s"), (6, head * 9, "s"), (9, head * 4 + "ab c" * 300 + "  \n", "s"), (1, head + "E0" * 200, "s"), (12, "z" * 199, "s"), (15, "z" * 200, "s"), (18, head * 40 + "xy" * 20, "s"), (21, None, "s"), (24, " " * 400, "s"), (27, "q" * 100 + head * 3, "s")]
+    found = {r.doc_id: r.unit for r in catalog.QUERIES["degenerate_text_whole"](spark, documents(spark, tmp_path, rows)).collect()}
+    assert found == {3: "xy", 6: None, 9: "ab c", 1: "E0", 12: None, 15: "z", 18: None, 24: None, 27: None}
+
+
+def test_markers_and_refusals_show_in_every_text(spark, tmp_path):
+    long = "A line of prose.\n" * 400
+    rows = [(0, " [No Text]\n", "s"), (4, "kept", "s"), (1, " two \n", "s"), (2, long + "I cannot see the image", "s"), (3, "Please attach one more image", "s"), (5, "no text here", "s"), (6, None, "s"), (8, "No picture\nhas been sent", "s")]
+    found = {r.doc_id: (r.reading, r.refused) for r in catalog.QUERIES["markers_and_refusals_whole"](spark, documents(spark, tmp_path, rows)).collect()}
+    assert found == {0: ("", False), 4: ("kept", False), 1: ("two", False), 2: (long + "I cannot see the image", True), 3: ("Please attach one more image", True), 5: ("no text here", False), 8: ("No picture\nhas been sent", True)}
+
+
 def test_language_rejects_junk_of_any_length_and_keeps_prose(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.learn(rows.where(~language.in_fold()))
