@@ -86,6 +86,36 @@ def test_reconstruct_retries_with_feedback(spark):
     assert [(m["filename"], m["content"], m["iteration"]) for m in made] == [("a.py", "content True", 1)] and len(noted) == 1
 
 
+def test_judge_sees_whole_files_and_the_whole_recording(spark):
+    caps = spark.createDataFrame([(1, k, f"t{k}", f"shows {k}.") for k in range(120)], "group int, frame_id long, timestamp_str string, caption string")
+    content = "".join(f"line {k}\n" for k in range(12_000))
+    asked = []
+
+    def model(system, user, max_tokens, temperature):
+        if system.startswith("Plan"):
+            return '{"files": [{"filename": "a.py"}, {"filename": "b.py"}]}'
+        if system.startswith("Judge"):
+            asked.append(user)
+            return json.dumps({"passed": "line 11999\n" not in user, "feedback": "the end is wrong"})
+        return "{}" if system.startswith("Classify") else content if system.startswith("Write") else "note"
+
+    made = flows.reconstruct(caps, model, 16_384)
+    assert made[0]["iteration"] == flows.ITERATIONS - 1 and all(len(u) <= 2 * 16_384 for u in asked)
+    first = asked[: len(asked) // flows.ITERATIONS]
+    assert all("[t0]\nshows 0." in u and "[t119]\nshows 119." in u for u in first)
+    for name in ("a.py", "b.py"):
+        shown = [x.split(" ---\n", 1)[1].split("\n[... truncated for QA")[0] for u in first for x in u.split("\n\n--- ") if x.startswith(name)]
+        assert "".join(shown).rstrip("\n") == content.rstrip("\n")
+    assert f"{len(content)} total chars in saved artifact" in first[0]
+
+
+def test_judge_thins_captions_evenly():
+    entries = [f"[{k}]\n" + "x" * 100 for k in range(50)]
+    assert flows._captions_within(entries, 10_000).count("---") == 49
+    thin = flows._captions_within(entries, 2000)
+    assert thin.startswith("[0]") and "[49]" in thin and len(thin) <= 2000 and thin.endswith("context limit ...]")
+
+
 def test_assemble_and_write(spark, tmp_path):
     files = spark.createDataFrame([("r1", "a.py", "import src.b"), ("r1", "b.py", "import os")], "folder string, src_rel string, content string")
     maps = spark.createDataFrame([("r1", "a.py", "/src/a.py", "high", ""), ("r1", "b.py", "src/b.py", "low", ""), ("r1", "c.py", "../c.py", "low", "")], "folder string, src_rel string, dst_rel string, confidence string, reasoning string")
