@@ -1,8 +1,9 @@
 """Language ID by compression: the language whose dictionary compresses a text smallest.
 
 Learning takes a bounded sample of labelled rows: of each language about `sample_docs` documents, picked by a hash of their
-id and text, and of each the first `sample_chars` characters. Joined, they are the language's raw-content zstandard
-dictionary of at most `dict_bytes`. A prediction reads the whole text, lower-cased and with all but letters turned into
+id and text, and of each an excerpt from a place picked by such a hash. Joined, they are the language's raw-content zstandard
+dictionary. `dict_bytes` bounds it: excerpts are as short as it takes for every sampled document to reach the dictionary, and
+of at most `sample_chars` characters. A prediction reads the whole text, lower-cased and with all but letters turned into
 spaces, in pieces of `piece_bytes`; the sizes of all pieces are summed for each language. A narrow margin between the
 two smallest sizes is rejected: the best label stands in `lang_pred`, and `rejected` is set. The margin is the difference as a
 share of the smallest size beyond `free_bytes`: what a text of some 25 letters comes to by frame and literals alone, where no
@@ -59,18 +60,29 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 40, int((1 << 40) * 1.5 * sample_docs / n))))))
     # By id and text, and once each, so that an id or a row that comes very often is not gathered as often.
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language")), F.lit(1 << 40))
-    rows = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col), draw, F.substring(F.col(text_col), 1, sample_chars)).distinct().collect()
+    # Twice an even share of the dictionary: what short texts leave goes to the others.
+    most = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(sample_chars, -(-2 * dict_bytes // max(1, min(n, sample_docs * 3 // 2))))))))[F.col(lang_col)]
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("place")), F.greatest(F.length(text_col) - most, F.lit(0)).cast("long") + 1).cast("int") + 1
+    rows = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col), draw, F.col(text_col).substr(place, most)).distinct().collect()
     model = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         parts: dict[str, None] = {}
         for _, _, text in sorted((r for r in rows if r[0] == lang), key=lambda r: (r[1], r[2]))[: 2 * sample_docs]:
             if mine := letters(text):
                 parts.setdefault(mine)
-        joined = "\n".join(parts).encode()[:dict_bytes]
-        model[lang] = joined or b" "
+        model[lang] = _shared_out([p.encode() for p in parts], dict_bytes) or b" "
     return model
 
 
+def _shared_out(parts: list[bytes], most: int) -> bytes:
+    """The parts, joined within `most` bytes: the longest are cut to one length, so that all are in it."""
+    left, kept = most, {}
+    for done, k in enumerate(sorted(range(len(parts)), key=lambda k: len(parts[k]))):
+        kept[k] = parts[k][: max(0, left // (len(parts) - done) - 1)].decode(errors="ignore").encode()
+        left -= len(kept[k]) + 1
+    return b"\n".join(kept[k] for k in range(len(parts)))
+
+
 class Classifier:
     def __init__(self, model: dict[str, bytes], level: int = LEVEL, piece_bytes: int = PIECE_BYTES, free_bytes: int = FREE_BYTES):
         import zstandard
