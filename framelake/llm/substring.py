@@ -4,12 +4,17 @@ A word is removed if a window over it also starts in a document with a smaller i
 
 Each window is known by the least hash among its `gram`-word grams, so equal windows are always known by the same
 one, and a document falls into runs of consecutive windows known by one gram. First the grams are counted: a run whose
-gram occurs in one document alone can't repeat. What remains is counted as whole runs, by a 128-bit Rabin-Karp hash of
+gram occurs in one document alone can't repeat. What remains is counted as whole runs, by a Rabin-Karp hash of
 all their words. Where a gram heads several different runs, their windows are hashed and counted one by one, from one
 copy of each run. So each repeated window is found, and the unique ones (nearly all) never leave their task.
 
 Groups are never gathered: counts are partial sums of minima, and rows meet them in joins that adaptive execution can
-split. What is collected belongs to a single document or run. Hashes of 128 bits decide which windows are equal.
+split. What is collected belongs to a single document or run. Two Rabin-Karp hashes modulo 2 ** 61 - 1, 122 bits, decide which
+windows are equal. Long texts are hashed in pieces that overlap by a window; runs end with a piece, and since a run that differs
+from another of its gram has its windows counted one by one, results do not depend on where pieces end.
+
+Runs that cannot repeat are told by their gram alone because sending out every window would cost 24 bytes for each word
+of the corpus (7 bytes of text): more than three times the input in one shuffle.
 
 Defined cases: null and empty texts have no words; texts under one window lose nothing; rows sharing an id are no smaller
 than each other; rows without id lose nothing, and take nothing from others.
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import WORD_BASE, WORD_BASE_2, Rolling, column, find_words, hash_words, keep, mix, rolling_min, signed, slices, table, text_key
+from framelake.llm.common import BASE_61, SPACED, WORD_BASE, Rolling, Rolling61, column, find_words, hash_words, keep, mix, rolling_min, signed, slices, table, text_key, word_slices
 
 WINDOW = 50
 GRAM = 16
@@ -39,15 +44,13 @@ def _runs(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = column(batch, "doc_id"), column(batch, "text_key")
-            for at, to, data, offsets in slices(column(batch, "text")):
-                starts, ends, first = find_words(data, offsets)
+            for rows, numbers, data, _, starts, ends, first in word_slices(column(batch, "text"), window - 1):
                 if len(starts) < window:
                     continue
                 words = hash_words(data, starts, ends)
-                one, two = Rolling(words, WORD_BASE), Rolling(words, WORD_BASE_2)
                 i = np.arange(len(words) - gram + 1)
-                least = rolling_min(mix(one.of(i, i + gram)), window - gram + 1)
-                doc = np.repeat(np.arange(to - at), np.diff(first))
+                least = rolling_min(mix(Rolling(words, WORD_BASE).of(i, i + gram)), window - gram + 1)
+                doc = np.repeat(np.arange(len(rows)), np.diff(first))
                 valid = doc[: len(least)] == doc[window - 1 :]
                 same = np.zeros(len(least), dtype=bool)
                 same[1:] = valid[1:] & valid[:-1] & (least[1:] == least[:-1]) & (doc[1 : len(least)] == doc[: len(least) - 1])
@@ -55,10 +58,11 @@ def _runs(window: int, gram: int):
                 tails = np.flatnonzero(valid & ~np.append(same[1:], False))
                 if not len(heads):
                     continue
-                a, b = one.of(heads, tails + window), two.of(heads, tails + window)
-                rows = pa.array(at + doc[heads])
+                a, b = (Rolling61(words, base).of(heads, tails + window) for base in BASE_61[1:])
+                places = pa.array(rows[doc[heads]])
+                start = heads - first[doc[heads]] + numbers[doc[heads]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(least[heads])), ids.take(rows), keys.take(rows), pa.array((heads - first[doc[heads]]).astype(np.int32)), pa.array((tails - heads + 1).astype(np.int32)), pa.array(signed(mix(a))), pa.array(signed(mix(b)))],
+                    [pa.array(signed(least[heads])), ids.take(places), keys.take(places), pa.array(start.astype(np.int32)), pa.array((tails - heads + 1).astype(np.int32)), pa.array(signed(mix(a))), pa.array(signed(mix(b)))],
                     ["gram", "doc_id", "text_key", "start", "n", "run_a", "run_b"],
                 )
 
@@ -71,21 +75,23 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = column(batch, "runs")
-            for at, to, data, offsets in slices(column(batch, "text")):
-                starts, ends, first = find_words(data, offsets)
-                words = hash_words(data, starts, ends)
-                one, two = Rolling(words, WORD_BASE), Rolling(words, WORD_BASE_2)
-                mine = lists.slice(at, to - at)
+            for rows, numbers, data, _, starts, ends, first in word_slices(column(batch, "text"), window - 1):
+                mine = lists.take(pa.array(rows))
                 flat = mine.flatten()
                 if not len(flat):
                     continue
-                sizes = np.diff(np.asarray(mine.offsets))
                 field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                n = field(1).astype(np.int64)
+                place_of = np.repeat(np.arange(len(rows)), mine.value_lengths().to_numpy())
+                # A run's windows that begin in this piece; those of its last words begin in the next one.
+                begin = field(0).astype(np.int64) - numbers[place_of]
+                here = np.diff(first)[place_of] - window + 1
+                skip = np.maximum(0, -begin)
+                n = np.maximum(0, np.minimum(field(1), here - begin) - skip)
                 run_of = np.repeat(np.arange(len(n)), n)
-                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                place = np.repeat(np.repeat(first[: to - at], sizes) + field(0), n) + off
-                a, b = one.of(place, place + window), two.of(place, place + window)
+                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + skip[run_of]
+                place = (first[place_of] + begin)[run_of] + off
+                words = hash_words(data, starts, ends)
+                a, b = (Rolling61(words, base).of(place, place + window) for base in BASE_61[1:])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(mix(a))), pa.array(signed(mix(b))), *(pa.array(field(k)[run_of]) for k in (2, 3)), pa.array(off.astype(np.int32)), pa.array(field(4)[run_of])],
                     ["win_a", "win_b", "run_a", "run_b", "at", "least"],
@@ -145,13 +151,8 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
                         np.add.at(edge, pairs.field(1).to_numpy(), -1)
                     gone = np.cumsum(edge)[:-1] > 0
                     n = int(gone.sum())
-                    s, e = starts[lo:hi], ends[lo:hi]
-                    whole = raw[offsets[i] : offsets[i + 1]]
-                    if n:
-                        stay = np.flatnonzero(~gone)
-                        kept = b" ".join(raw[a:b] for a, b in zip(s[stay].tolist(), e[stay].tolist(), strict=True))
-                    else:
-                        kept = b" ".join(whole.translate(SPACES).split())
+                    s, whole = starts[lo:hi], raw[offsets[i] : offsets[i + 1]]
+                    kept = _kept_words(data[offsets[i] : offsets[i + 1]], s - offsets[i], ends[lo:hi] - offsets[i], gone)
                     clean = None
                     if keep_text and texts[at + i].is_valid:
                         clean = whole if not n else _without(raw, s, gone, int(offsets[i]), int(offsets[i + 1]))
@@ -163,8 +164,18 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     return joined.mapInArrow(run, schema)
 
 
-#: The white space of words, as spaces.
-SPACES = bytes(0x20 if 0x09 <= i <= 0x0D else i for i in range(256))
+def _kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
+    """The words not gone, joined by one space: each with the byte after it, which becomes the space, but for the last."""
+    stay = np.flatnonzero(~gone)
+    if not len(stay):
+        return b""
+    s, e = starts[stay], ends[stay] + 1
+    e[-1] -= 1
+    edge = np.zeros(len(data) + 2, dtype=np.int8)
+    edge[s] += 1
+    edge[e] -= 1
+    mask = np.cumsum(edge, dtype=np.int8)[: len(data)].astype(bool)
+    return np.where(SPACED[data], data, np.uint8(0x20))[mask].tobytes()
 
 
 def _without(raw: bytes, starts: np.ndarray, gone: np.ndarray, begin: int, end: int) -> bytes:
