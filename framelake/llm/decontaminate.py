@@ -5,11 +5,15 @@ the Burrows-Wheeler sequence of that order stands in a wavelet matrix, and the p
 the documents' begins are kept. Each window of the benchmark is sought by backward search (two ranks a word),
 its occurrences are located by stepping to a kept place, and overlapping occurrences merge into removal spans.
 
-Documents are not shuffled: a task holds one shard and the benchmark's windows. The windows go out in blocks of
-at most `block_words` words, a bound that does not depend on the corpus; a larger benchmark takes several passes.
+Documents are not shuffled: a task holds one shard and one block of the benchmark's windows, which go out as flat arrays: 8 bytes a
+word and 20 a window at most, and the items. A block has at most `block_words` words of windows (100 MB), a bound that does not depend on
+the corpus. A shard is indexed once and searched for one block after another. A document longer than a shard is indexed in pieces that
+overlap by a window, so its index is no larger than others'.
 
-Defined cases: null and empty texts have no words and no hits; an item without words is no pattern; repeated items all
-count; rows that share a doc_id are judged each by itself; an empty benchmark hits nothing.
+Words are compared by 64-bit hashes (polynomials modulo 2 ** 61 - 1), so a false hit takes a collision within an otherwise equal window.
+
+Defined cases: null and empty texts have no words and no hits; an item without words is no pattern; a null item_id is the empty
+string; repeated items all count; rows that share a doc_id are judged each by itself; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import column, find_words, hash_words, slices, table
+from framelake.llm.common import column, find_words, hash_words, table, word_slices
 
 WINDOW = 10
 SHARD_WORDS = 600_000
 SHARD_DOCS = 20_000
-#: Words of distinct benchmark windows that one pass takes: 80 MB at most on each worker.
+#: Words of distinct benchmark windows in one block.
 BLOCK_WORDS = 10_000_000
 SAMPLE = 8
 
@@ -152,70 +156,149 @@ class FMIndex:
         return place
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    low = LOWER[data]
-    starts, ends, first = find_words(low, offsets, LETTERS)
-    return hash_words(low, starts, ends), starts, ends, first
-
-
-def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple[np.ndarray, list[str]]]:
-    """Distinct windows as word hashes, each with the ids of its items."""
-    found: dict[bytes, set[str]] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        words = words_of(data, np.array([0, len(data)]))[0]
-        for i in range(max(1, len(words) - window + 1) if len(words) else 0):
-            found.setdefault(words[i : i + window].tobytes(), set()).add(str(item))
-    return [(np.frombuffer(k, dtype=np.uint64), sorted(v)) for k, v in sorted(found.items())]
-
-
-def search_shard(words: list[np.ndarray], windows: list[tuple[np.ndarray, list[str]]], sample: int) -> list[tuple[np.ndarray, set[str]]]:
-    """For each document the hit words as a mask, and the ids of items that occur."""
-    sizes = np.array([len(w) for w in words])
-    out: list[tuple[np.ndarray, set[str]]] = [(np.zeros(k, dtype=bool), set()) for k in sizes]
-    if not windows or not sizes.sum():
-        return out
-    vocabulary, symbols = np.unique(np.concatenate(words), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.zeros(starts[-1], dtype=np.int64)
-    inside = np.ones(len(text), dtype=bool)
-    inside[starts[1:] - 1] = False
-    text[inside] = symbols + 1
-    flat = np.concatenate([w for w, _ in windows])
-    lengths = np.array([len(w) for w, _ in windows])
-    ids = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-    known = vocabulary[ids] == flat
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    use = np.flatnonzero(np.minimum.reduceat(known, begin))
-    if not len(use):
-        return out
-    patterns = np.zeros((len(use), int(lengths[use].max())), dtype=np.int64)
-    for k, i in enumerate(use):
-        patterns[k, : lengths[i]] = ids[begin[i] : begin[i] + lengths[i]] + 1
-    index = FMIndex(text, len(vocabulary), sample)
-    lo, hi = index.search(patterns, lengths[use])
-    counts = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(use)), counts)
-    rows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-    places = index.locate(rows)
-    edge = np.zeros(len(text) + 1, dtype=np.int64)
-    np.add.at(edge, places, 1)
-    np.add.at(edge, places + lengths[use][which], -1)
-    hit = np.cumsum(edge)[:-1] > 0
-    for d in np.flatnonzero(np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(words))[: len(words)]):
-        out[d] = (hit[starts[d] : starts[d] + sizes[d]], out[d][1])
-    seen = np.unique(np.stack([np.searchsorted(starts, places, side="right") - 1, which]), axis=1)
-    for d, k in seen.T:
-        out[d][1].update(windows[use[k]][1])
+RAW_LETTERS = LETTERS.copy()
+RAW_LETTERS[0x41:0x5B] = True
+
+
+class Windows:
+    """A block of distinct windows: `flat` holds their words one after another, `lengths` how many each has; window k belongs to the items owners[ends[k - 1]:ends[k]]."""
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        names: dict[str, int] = {}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for item, text in items:
+            data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+            starts, ends, _ = find_words(data, np.array([0, len(data)]), RAW_LETTERS)
+            words = hash_words(LOWER[data], starts, ends)
+            if size := min(window, len(words)):
+                number = names.setdefault("" if item is None else str(item), len(names))
+                by_length.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(words, size), number))
+        self.items = list(names)
+        flat, lengths, owners, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for size, found in sorted(by_length.items()):
+            rows = np.concatenate([w for w, _ in found])
+            item = np.repeat(np.array([k for _, k in found]), [len(w) for w, _ in found])
+            distinct, which = np.unique(rows.view(np.dtype((np.void, 8 * size))).ravel(), return_inverse=True)
+            pairs = np.unique(which * len(names) + item)
+            flat.append(np.frombuffer(distinct.tobytes(), dtype=np.uint64))
+            lengths.append(np.full(len(distinct), size, np.int32))
+            owners.append((pairs % len(names)).astype(np.int32))
+            counts.append(np.bincount(pairs // len(names), minlength=len(distinct)))
+        self.flat, self.lengths, self.owners = np.concatenate(flat), np.concatenate(lengths), np.concatenate(owners)
+        self.ends = np.cumsum(np.concatenate(counts))
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def owners_of(self, k: int) -> np.ndarray:
+        return self.owners[self.ends[k - 1] if k else 0 : self.ends[k]]
+
+
+class Shard:
+    """The index of some documents, each an array of word hashes."""
+
+    def __init__(self, words: list[np.ndarray], sample: int):
+        self.sizes = np.array([len(w) for w in words])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])
+        self.index: FMIndex | None = None
+        if not self.sizes.sum():
+            return
+        self.vocabulary, symbols = np.unique(np.concatenate(words), return_inverse=True)
+        self.text = np.zeros(self.starts[-1], dtype=np.int64)
+        inside = np.ones(len(self.text), dtype=bool)
+        inside[self.starts[1:] - 1] = False
+        self.text[inside] = symbols + 1
+        self.sample = sample
+
+    def search(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The occurrences: document, first word and window."""
+        none = (np.zeros(0, np.int64),) * 3
+        if not len(windows) or not self.sizes.sum():
+            return none
+        ids = np.minimum(np.searchsorted(self.vocabulary, windows.flat), len(self.vocabulary) - 1)
+        known = self.vocabulary[ids] == windows.flat
+        lengths = windows.lengths.astype(np.int64)
+        begin = np.cumsum(lengths) - lengths
+        use = np.flatnonzero(np.minimum.reduceat(known, begin))
+        if not len(use):
+            return none
+        if self.index is None:
+            self.index = FMIndex(self.text, len(self.vocabulary), self.sample)
+        size = lengths[use]
+        columns = np.arange(int(size.max()))
+        patterns = np.where(columns < size[:, None], ids[np.minimum(begin[use][:, None] + columns, len(ids) - 1)] + 1, 0)
+        lo, hi = self.index.search(patterns, size)
+        counts = np.maximum(hi - lo, 0)
+        which = np.repeat(np.arange(len(use)), counts)
+        rows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+        places = self.index.locate(rows)
+        document = np.searchsorted(self.starts, places, side="right") - 1
+        return document, places - self.starts[document], use[which]
+
+
+def search_shard(pieces: list[tuple[int, int, np.ndarray]], n_rows: int, blocks, sample: int, shard_words: int = SHARD_WORDS) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """For each row the hit spans of words, merged, and the ids of items that occur. pieces: row, number of the first word, words.
+
+    blocks() yields the blocks of windows. Pieces beyond shard_words form a further index, so that a long document has several.
+    """
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(n_rows)]
+    items: list[set[str]] = [set() for _ in range(n_rows)]
+    number = (np.cumsum([len(p[2]) for p in pieces]) - 1) // max(2 * shard_words, 1)
+    for k in np.unique(number):
+        _search_index([p for p, n in zip(pieces, number, strict=True) if n == k], blocks(), sample, spans, items)
+    return [(_united(s), i) for s, i in zip(spans, items, strict=True)]
+
+
+def _search_index(pieces: list[tuple[int, int, np.ndarray]], blocks: Iterator[Windows], sample: int, spans: list, items: list) -> None:
+    """Adds what one index finds."""
+    shard = Shard([w for _, _, w in pieces], sample)
+    row_of, number_of = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
+    for windows in blocks:
+        document, place, which = shard.search(windows)
+        if not len(document):
+            continue
+        row, start = row_of[document], number_of[document] + place
+        order = np.lexsort((start, row))
+        for r, a, b in zip(row[order].tolist(), start[order].tolist(), (start + windows.lengths[which])[order].tolist(), strict=True):
+            mine = spans[r]
+            if mine and a <= mine[-1][1]:
+                mine[-1] = (mine[-1][0], max(mine[-1][1], b))
+            else:
+                mine.append((a, b))
+        for r, k in np.unique(np.stack([row, which]), axis=1).T.tolist():
+            items[r].update(windows.items[x] for x in windows.owners_of(k))
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Merged again, as several blocks have added to them."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
     return out
 
 
-def _clean(text: bytes, starts: np.ndarray, edges) -> str:
-    """The text without the words between each pair of edges and what stands between them and the next word."""
-    if not len(edges):
-        return text.decode()
+def _block_values(shared: list) -> Iterator[Windows]:
+    """The blocks one after another; where there are several, each leaves memory before the next one."""
+    for block in shared:
+        yield block.value
+        if len(shared) > 1 and hasattr(block, "_value"):
+            del block._value
+
+
+def _clean(value: pa.Scalar, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words of these spans and what stands between them and the next word."""
+    if not value.is_valid:
+        return None
+    if not spans:
+        return value.as_py()
+    text = value.as_buffer().to_pybytes()
+    data = np.frombuffer(text, dtype=np.uint8)
+    starts, _, _ = find_words(data, np.array([0, len(data)]), RAW_LETTERS)
     keep, at = [], 0
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
+    for a, b in spans:
         keep.append(text[at : starts[a]])
         at = int(starts[b]) if b < len(starts) else len(text)
     return b"".join([*keep, text[at:]]).decode()
@@ -226,63 +309,65 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_co
 
     items: sorted ids, as strings, of the benchmark items with a window in the row; spans: word numbers, start and end in
     turn, of the merged removal spans; clean_text: the text without them (the text itself where nothing was hit;
-    null if not keep_text). The benchmark goes out in blocks of about block_words words of windows, a pass for each.
+    null if not keep_text). The benchmark goes out in blocks of about block_words words of windows.
     """
-    found, pending, room = docs.drop(out), [], block_words
-    passes = 0
+    shared, pending, room = [], [], block_words
+    context = docs.sparkSession.sparkContext
     for item, text in benchmark.select(id_col, text_col).toLocalIterator():
         cost = window * (len(text or "") // 2 + 1)
         if pending and cost > room:
-            found, pending, room, passes = _pass(found, windows_of(pending, window), text_col, shard_words, sample, keep_text, out, passes > 0), [], block_words, passes + 1
+            shared.append(context.broadcast(Windows(pending, window)))
+            pending, room = [], block_words
         pending.append((item, text))
         room -= cost
-    return _pass(found, windows_of(pending, window), text_col, shard_words, sample, keep_text, out, passes > 0)
-
-
-def _pass(docs: DataFrame, windows: list[tuple[np.ndarray, list[str]]], text_col: str, shard_words: int, sample: int, keep_text: bool, out: str, again: bool) -> DataFrame:
-    """again: `out` is there from an earlier block and is added to."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    shared.append(context.broadcast(Windows(pending, window)))
+    docs = docs.drop(out)
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("clean_text", T.StringType())])
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != out), T.StructField(out, kind)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, kind)])
 
-    def finish(held: list, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found, at = search_shard(words, shared.value, sample), 0
-        for part, starts, texts in held:
+    def finish(held: list, pieces: list[tuple[int, int, np.ndarray]], n_rows: int) -> Iterator[pa.RecordBatch]:
+        found, at = search_shard(pieces, n_rows, lambda: _block_values(shared), sample, shard_words), 0
+        for part, counts in held:
             mine = found[at : at + part.num_rows]
             at += part.num_rows
-            if again:
-                for (hit, items), old in zip(mine, column(part, out).to_pylist(), strict=True):
-                    items.update(old["items"])
-                    for a, b in zip(old["spans"][::2], old["spans"][1::2], strict=True):
-                        hit[a:b] = True
-            edges = [np.flatnonzero(np.diff(np.concatenate([[False], h, [False]]).astype(np.int8))) if h.any() else [] for h, _ in mine]
-            clean = [None if t is None else _clean(t, s, e) for t, s, e in zip(texts, starts, edges, strict=True)]
+            clean = [None] * part.num_rows
+            if keep_text:
+                texts = column(part, text_col)
+                clean = [_clean(texts[k], spans) for k, (spans, _) in enumerate(mine)]
             hit = pa.StructArray.from_arrays(
-                [pa.array([len(h) for h, _ in mine], pa.int64()), pa.array([int(h.sum()) for h, _ in mine], pa.int64()), pa.array([sorted(i) for _, i in mine], pa.list_(pa.string())), pa.array(edges, pa.list_(pa.int32())), pa.array(clean, pa.string())],
+                [pa.array(counts, pa.int64()), pa.array([sum(b - a for a, b in s) for s, _ in mine], pa.int64()), pa.array([sorted(i) for _, i in mine], pa.list_(pa.string())), pa.array([[x for span in s for x in span] for s, _ in mine], pa.list_(pa.int32())), pa.array(clean, pa.string())],
                 kind.names,
             )
-            stay = [k for k, name in enumerate(part.schema.names) if name != out]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in stay), hit], [*(part.schema.names[k] for k in stay), out])
+            yield pa.RecordBatch.from_arrays([*part.columns, hit], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        words: list[np.ndarray] = []
-        size = 0
+        pieces: list[tuple[int, int, np.ndarray]] = []
+        size = n_rows = 0
         for batch in batches:
-            texts = column(batch, text_col)
-            for at, to, data, offsets in slices(texts):
-                hashes, starts, _, first = words_of(data, offsets)
-                raw = data.tobytes() if keep_text else b""
-                words += [hashes[first[i] : first[i + 1]] for i in range(to - at)]
-                beginnings = [starts[first[i] : first[i + 1]] - offsets[i] for i in range(to - at)] if keep_text else [None] * (to - at)
-                whole = [raw[offsets[i] : offsets[i + 1]] if keep_text and texts[at + i].is_valid else None for i in range(to - at)]
-                held.append((batch.slice(at, to - at), beginnings, whole))
+            counts = np.zeros(batch.num_rows, dtype=np.int64)
+            # Where a shard is full, what comes of the batch so far goes on: a row is held with the shard that has its last piece.
+            begun = 0
+            for rows, numbers, data, _, starts, ends, first in word_slices(column(batch, text_col), window - 1, RAW_LETTERS):
+                hashes = hash_words(LOWER[data], starts, ends)
+                for k, (row, number) in enumerate(zip(rows.tolist(), numbers.tolist(), strict=True)):
+                    words = hashes[first[k] : first[k + 1]]
+                    counts[row] = number + len(words)
+                    pieces.append((n_rows + row - begun, number, words))
                 size += len(hashes)
-                if size >= shard_words or len(words) >= SHARD_DOCS:
-                    yield from finish(held, words)
-                    held, words, size = [], [], 0
+                done = int(rows[-1]) + 1
+                if (size >= shard_words and len(rows) > 1) or len(pieces) >= SHARD_DOCS:
+                    held.append((batch.slice(begun, done - begun), counts[begun:done]))
+                    yield from finish(held, pieces, n_rows + done - begun)
+                    held, pieces, size, n_rows, begun = [], [], 0, 0, done
+            if begun < batch.num_rows:
+                held.append((batch.slice(begun), counts[begun:]))
+                n_rows += batch.num_rows - begun
+            if size >= shard_words:
+                yield from finish(held, pieces, n_rows)
+                held, pieces, size, n_rows = [], [], 0, 0
         if held:
-            yield from finish(held, words)
+            yield from finish(held, pieces, n_rows)
 
     return docs.mapInArrow(run, schema)
 
