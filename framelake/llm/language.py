@@ -3,22 +3,23 @@
 Learning takes a bounded sample of labelled rows: of each language about `sample_docs` documents, picked by a hash of their
 id and text, and of each an excerpt from a place picked by such a hash. Joined, they are the language's raw-content zstandard
 dictionary. `dict_bytes` bounds it: excerpts are as short as it takes for every sampled document to reach the dictionary, and
-of at most `sample_chars` characters. A prediction reads the whole text, lower-cased and with all but letters turned into
-spaces, in pieces of `piece_bytes`; the sizes of all pieces are summed for each language. A narrow margin between the
+of at most `sample_chars` characters. All dictionaries together hold at most `model_bytes`: with many languages each gets its even share.
+A prediction reads the whole text, lower-cased and with all but letters and their combining marks turned into spaces, in pieces of `piece_bytes`; the sizes of all pieces are summed for each language. A narrow margin between the
 two smallest sizes is rejected: the best label stands in `lang_pred`, and `rejected` is set. The margin is the difference as a
 share of the smallest size beyond `free_bytes`: what a text of some 25 letters comes to by frame and literals alone, where no
 dictionary can tell anything. One rule holds for all lengths; a size up to `free_bytes` gives no evidence and is not rejected.
 
-Defined cases: null texts and texts without a letter are `und`, score 0 and rejected; ties go to the language with most labelled
+Defined cases: null texts and texts without a letter (digits, numerals such as one half, marks alone) are `und`, score 0 and rejected; ties go to the language with most labelled
 rows, then the first by name; with no labelled rows everything is `und`; with one language its score is 1.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +35,17 @@ LEVEL = 6
 #: calibrated on held-out rows of sf0.1 and on texts of random letters; README has the rates.
 MARGIN = 0.06
 FREE_BYTES = 34
-#: With DICT_BYTES this bounds the model at 56 MB.
-MAX_LANGUAGES = 512
+#: The bound of the learning sample: bytes of all dictionaries, and languages, those with most labelled rows.
+MODEL_BYTES = 56 << 20
+MAX_LANGUAGES = 100_000
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str | None) -> str:
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    """Letters with their marks, and single spaces; empty without any letter."""
+    kept = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return kept if any(c.isalpha() for c in kept) else ""
 
 
 def in_fold(id_col: str = "doc_id"):
@@ -49,25 +53,29 @@ def in_fold(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A raw-content dictionary for each language, those with most labelled rows first. What reaches the driver is bounded by the parameters and MAX_LANGUAGES."""
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES, model_bytes: int = MODEL_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
+    """A raw-content dictionary for each language, those with most labelled rows first. What reaches the driver is bounded by the parameters."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counts = {r[0]: r[1] for r in found.collect()}
     if not counts:
         return {}
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 40, int((1 << 40) * 1.5 * sample_docs / n))))))
+    dict_bytes = max(64, min(dict_bytes, model_bytes // len(counts)))
+    sample_docs = max(1, min(sample_docs, dict_bytes // 64))
+    by_lang = lambda numbers: F.from_json(F.lit(json.dumps(numbers)), "map<string,long>")[F.col(lang_col)]
+    share = by_lang({lang: min(1 << 40, int((1 << 40) * 1.5 * sample_docs / n)) for lang, n in counts.items()})
     # By id and text, and once each, so that an id or a row that comes very often is not gathered as often.
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language")), F.lit(1 << 40))
     # Twice an even share of the dictionary: what short texts leave goes to the others.
-    most = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(sample_chars, -(-2 * dict_bytes // max(1, min(n, sample_docs * 3 // 2))))))))[F.col(lang_col)]
+    most = by_lang({lang: min(sample_chars, -(-2 * dict_bytes // max(1, min(n, sample_docs * 3 // 2)))) for lang, n in counts.items()}).cast("int")
     place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("place")), F.greatest(F.length(text_col) - most, F.lit(0)).cast("long") + 1).cast("int") + 1
-    rows = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col), draw, F.col(text_col).substr(place, most)).distinct().collect()
-    model = {}
+    rows = known.where(draw < share).select(F.col(lang_col), draw, F.col(text_col).substr(place, most)).distinct().collect()
+    model, drawn = {}, {}
+    for r in rows:
+        drawn.setdefault(r[0], []).append(r)
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         parts: dict[str, None] = {}
-        for _, _, text in sorted((r for r in rows if r[0] == lang), key=lambda r: (r[1], r[2]))[: 2 * sample_docs]:
+        for _, _, text in sorted(drawn.get(lang, ()), key=lambda r: (r[1], r[2]))[: 2 * sample_docs]:
             if mine := letters(text):
                 parts.setdefault(mine)
         model[lang] = _shared_out([p.encode() for p in parts], dict_bytes) or b" "
