@@ -1,8 +1,10 @@
 """Token counts: texts are encoded in batches inside an Arrow function that returns lengths only.
 
-Batches hold about `batch_bytes` of text whatever the number of rows, and longer texts are cut into pieces at places where a
-token can't span: a space between two ASCII letters, which every byte-level pattern of this family starts a new
-piece of text with. Text without such a place stays whole. Pieces of one text are summed.
+Batches hold about `batch_bytes` of UTF-8 whatever the number of rows, and longer texts are cut into pieces at places where a
+token can't span, because the byte-level pattern of this family of files always starts a new piece there: a space between two
+characters that are no white space; the change from a letter to a digit or back; and ideographic punctuation after a letter. So prose of any
+script, base64 and numbers are cut; a single run of letters, of signs or of white space stays whole. Pieces of one text are summed. Only files
+whose added tokens have none of these places inside are cut.
 
 Defined cases: null and empty texts have no tokens; a special token's string inside a text counts as the library's
 default has it; rows are counted each by itself, whatever they share.
@@ -10,11 +12,12 @@ default has it; rows are counted each by itself, whatever they share.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ PIECE_CHARS = 1 << 15
 BATCH_BYTES = 1 << 18
 LIMIT = 1024
 
-SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+SAFE = regex.compile(r"(?<=\S) (?=\S)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{L})(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
@@ -36,6 +39,17 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def can_cut(path: str) -> bool:
+    """True for byte-level files without added tokens that a safe place would tear apart."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)
+    split = known.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not known.get("normalizer")
+    return bool(plain) and not any(SAFE.search(t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in known.get("added_tokens", ()))
+
+
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """Token counts of a batch by the library that the file's suffix names."""
     if path.endswith(".json"):
@@ -55,8 +69,8 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def count_tokens(text: Column, path: str, piece_chars: int = PIECE_CHARS, batch_bytes: int = BATCH_BYTES) -> Column:
-    """Tokens of each text. Only byte-level files (.json) are cut into pieces; others see whole texts."""
-    cuts = path.endswith(".json")
+    """Tokens of each text. Texts are cut into pieces only for byte-level files; others see whole texts."""
+    cuts = can_cut(path)
 
     @F.arrow_udf("long")
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -70,7 +84,7 @@ def count_tokens(text: Column, path: str, piece_chars: int = PIECE_CHARS, batch_
                     continue
                 for part in pieces(whole, piece_chars) if cuts else (whole,):
                     waiting.append((k, part))
-                    size += len(part)
+                    size += len(part.encode())
                     if size >= batch_bytes:
                         for (row, _), n in zip(waiting, count([p for _, p in waiting]), strict=True):
                             totals[row] += n
