@@ -5,7 +5,8 @@ of `chunk` bytes. A file belongs to an attempt; only the manifest rows of tasks
 executor leaves at most an unread file. Equal payloads (by SHA-1 and length) of at least `least` bytes are stored once, by the
 smallest page_id; the others are revisit records that refer to it.
 
-Reading: an archive is decompressed piece by piece. Each record becomes rows (record_id, chunk_no, data) with the byte
+Reading: an archive is decompressed piece by piece, and fails if it ends within a record or has not the number of records that the
+manifest states. Each record becomes rows (record_id, chunk_no, data) with the byte
 count and SHA-1 of the payload so far, so whoever reads the last chunk knows the digest and no record is ever held whole.
 Revisit records have one empty chunk; their digest and length come from their headers.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import checkpoint_dir, column, keep, table
+from framelake.llm.common import column, keep, new_folder, table
 
 CHUNK = 1 << 18
 LEAST = 0
@@ -100,7 +101,7 @@ def write_archives(pages: DataFrame, root: str | None = None, least: int = LEAST
     """Writes pages (page_id, url, html) and returns the manifest (path, records, bytes), one row an archive."""
     from pyarrow import fs
 
-    root = root or f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    root = root or new_folder(pages.sparkSession, "warc")
     store, path = fs.FileSystem.from_uri(root)
     store.create_dir(path, recursive=True)
     return keep(plan(pages, least).mapInArrow(_write(root, chunk), MANIFEST))
@@ -111,6 +112,8 @@ class Pieces:
 
     def __init__(self, stream, size: int):
         self.stream, self.size, self.held, self.raw, self.unpack, self.ended = stream, size, b"", b"", zlib.decompressobj(31), False
+        #: Within a gzip member.
+        self.torn = False
 
     def more(self) -> bool:
         while not self.ended:
@@ -119,19 +122,22 @@ class Pieces:
                 if not self.raw:
                     self.ended = True
                     return False
+            self.torn = True
             got = self.unpack.decompress(self.raw, self.size)
             self.raw = self.unpack.unconsumed_tail
             if self.unpack.eof:
-                self.raw, self.unpack = self.unpack.unused_data, zlib.decompressobj(31)
+                self.raw, self.unpack, self.torn = self.unpack.unused_data, zlib.decompressobj(31), False
             if got:
                 self.held += got
                 return True
         return False
 
-    def line(self) -> bytes | None:
-        """A line without its end; None at the end of the stream."""
+    def line(self, needed: bool = True) -> bytes | None:
+        """A line without its end; None at the end of the stream, which is an error where a line is needed."""
         while (at := self.held.find(b"\n")) < 0:
             if not self.more():
+                if needed or self.held or self.torn:
+                    raise ValueError("the archive ends within a record")
                 return None
         line, self.held = self.held[:at], self.held[at + 1 :]
         return line.rstrip(b"\r")
@@ -139,6 +145,8 @@ class Pieces:
     def upto(self, most: int) -> bytes:
         if not self.held and not self.more():
             raise ValueError("the archive ends within a record")
+        while len(self.held) < most and self.more():
+            pass
         part, self.held = self.held[:most], self.held[most:]
         return part
 
@@ -146,7 +154,7 @@ class Pieces:
 def records(stream, chunk: int) -> Iterator[tuple]:
     """Rows of CHUNKS."""
     source = Pieces(stream, chunk)
-    while (line := source.line()) is not None:
+    while (line := source.line(needed=False)) is not None:
         if not line:
             continue
         if not line.startswith(b"WARC/"):
@@ -190,19 +198,22 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = Tru
         data_at = names.index("data")
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([None if k == data_at and not with_data else r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
         for batch in batches:
-            for path in column(batch, "path").to_pylist():
-                rows, size = [], 0
+            for path, written in zip(column(batch, "path").to_pylist(), column(batch, "records").to_pylist(), strict=True):
+                rows, size, complete = [], 0, 0
                 with _open(path, "r") as stream:
                     for row in records(stream, chunk):
                         rows.append(row)
+                        complete += row[data_at + 1]
                         size += len(row[data_at]) if with_data else 0
                         if size >= 16 * chunk or len(rows) >= 4096:
                             yield batch_of(rows)
                             rows, size = [], 0
+                if complete != written:
+                    raise ValueError(f"{path} holds {complete} records of {written}")
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("path").repartition(n).mapInArrow(run, CHUNKS)
+    return manifest.select("path", "records").repartition(n).mapInArrow(run, CHUNKS)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
