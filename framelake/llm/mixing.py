@@ -6,11 +6,12 @@ is exploded into that many copies. A rate over `split` is drawn as the sum of eq
 has the same distribution. The copies are dealt out by a second hash and sorted by it, a global shuffle.
 
 Nothing is gathered by source but one sum, aggregated before its shuffle, so a source with most of the rows is no hot
-key. The rates are broadcast only if there are at most `most_broadcast` sources, and joined otherwise.
+key. The sources' distributions, some 1,100 bytes each, are broadcast only if they take at most `most_broadcast` bytes; otherwise
+they are joined by source and one of `salts` salts, so that a source with a third of the rows is not one task's.
 
 Defined cases: null is a source of its own and so is the empty name; without weights all sources present weigh the same; a
 source without a weight is left out if weights are given; null texts count 0 bytes; a source without any byte has
-rate 1; rows that share a doc_id draw alike; an empty table gives an empty table.
+rate 1; rows that share a doc_id draw alike and stand together, by a hash of the row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from framelake.llm.common import cut, table
 
 SEED = 17
 SPLIT = 32.0
-MOST_BROADCAST = 100_000
+MOST_BROADCAST = 16 << 20
+SALTS = 64
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total_bytes: float | None = None, source_col: str = "source", text_col: str = "text", split: float = SPLIT) -> DataFrame:
@@ -49,21 +51,26 @@ def uniform(*parts) -> object:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total_bytes: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", split: float = SPLIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total_bytes: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", split: float = SPLIT, most_broadcast: int = MOST_BROADCAST, salts: int = SALTS) -> DataFrame:
     """The copies, with docs' columns, n_copies, copy_id (part * 1000000 + number, from 1) and mix_key, their random order."""
-    docs = docs.drop("mix_source", "parts", "cdf", "copies", "n_copies", "copy_id", "mix_key")
+    docs = docs.drop("mix_source", "mix_salt", "parts", "cdf", "copies", "n_copies", "copy_id", "mix_key")
     own = [F.col(f"`{c}`") for c in docs.columns]
     by_source = rates(docs, weights, total_bytes, source_col, text_col, split)
     known = cut(by_source)
-    right = F.broadcast(known) if known.count() <= most_broadcast else known
+    takes = known.agg(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 8 * F.size("cdf") + 64)).first()[0] or 0
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.join(right, docs[source_col].eqNullSafe(right["mix_source"]))
+    if takes <= most_broadcast:
+        drawn = docs.join(F.broadcast(known), docs[source_col].eqNullSafe(known["mix_source"]))
+    else:
+        salted = known.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = docs.withColumn("row_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
+        drawn = dealt.join(salted, dealt[source_col].eqNullSafe(salted["mix_source"]) & (dealt["row_salt"] == salted["mix_salt"]))
     draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: F.struct((p - 1).alias("part"), uniform(F.lit(seed), ident, p.cast("string")).alias("u")))
     copies = F.flatten(F.transform(draws, lambda d: F.transform(F.filter(F.sequence(F.lit(1), F.size("cdf")), lambda k: F.get(F.col("cdf"), k - 1) <= d["u"]), lambda k: d["part"] * 1000000 + k)))
     counted = drawn.select(*own, copies.alias("copies"))
     rows = counted.where(F.size("copies") > 0).select(*own, F.size("copies").alias("n_copies"), F.explode(F.col("copies").cast("array<long>")).alias("copy_id"))
     keyed = rows.select("*", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), ident, F.col("copy_id").cast("string"))).alias("mix_key"))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key", F.xxhash64(*own))
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
