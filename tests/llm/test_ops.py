@@ -324,3 +324,144 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert set(docs.columns) <= set(done.columns) and 100 < done.count() < 400
     assert done.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
+THUE = [bin(i).count("1") % 2 for i in range(1024)]
+#: Two words and two texts that collide in any polynomial modulo 2 ** 64.
+THUE_WORDS = ["".join("ab"[v] for v in THUE), "".join("ba"[v] for v in THUE)]
+THUE_TEXTS = [" ".join(("left", "right")[v] for v in THUE), " ".join(("right", "left")[v] for v in THUE)]
+
+
+def test_no_collisions_by_power_of_two_modulus(spark):
+    rows = [" ".join([*(f"x{k}" for k in range(25)), w, *(f"y{k}" for k in range(25))]) for w in THUE_WORDS]
+    df = table(spark, rows)
+    assert [r.dedup.n_removed for r in substring.remove(df).collect()] == [0, 0]
+    bench = spark.createDataFrame([("it", f"x20 x21 x22 x23 x24 {THUE_WORDS[0]} y0 y1 y2 y3")], "item_id string, text string")
+    assert {r.doc_id: r.hit.n_hit for r in decontaminate.scan(df, bench).collect()} == {0: 10, 1: 0}
+    long = table(spark, THUE_TEXTS)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(long).collect()} == {0: 0, 1: 1}
+    assert [r.dedup.n_removed for r in substring.remove(spark.createDataFrame([(k, t) for k, t in enumerate(THUE_TEXTS)], "doc_id long, text string"), window=1000).collect()] == [0, 0]
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """The pieces of a long text give what the whole gives."""
+    from framelake.llm import common
+
+    draw = random.Random(8)
+    words = [f"v{draw.randrange(10**6)}" for _ in range(6000)]
+    rows = [" ".join(words), " ".join(words[1000:1200] + ["new"] * 30 + words[4000:5900]), "z" * 30_000 + " " + " ".join(words[5000:5100])]
+    whole = common.word_slices
+    monkeypatch.setattr(substring, "word_slices", lambda texts, overlap, kind=None: whole(texts, overlap, kind, 1000))
+    df = table(spark, rows)
+    found = {r.doc_id: r.dedup.n_removed for r in substring.remove(df).collect()}
+    assert found == {0: 0, 1: 200 + 1900, 2: 100}
+
+
+def test_mixing_joins_where_broadcast_is_too_large(spark):
+    df = spark.createDataFrame([(k, "x" * (1 + k % 7), f"s{k % 5}" if k % 11 else None) for k in range(500)], "doc_id long, text string, source string")
+    key = lambda r: (r.doc_id, r.copy_id, r.mix_key)
+    assert sorted(map(key, mixing.mix(df, most_broadcast=0).collect())) == sorted(map(key, mixing.mix(df).collect()))
+
+
+def test_language_letters(spark):
+    model = language.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    odd = table(spark, ["²½", "Ⅷ ①", "１２３", "́̂", "नमस्ते दुनिया", "ªword"])
+    assert [r.lang_pred == "und" for r in language.identify(odd, model).orderBy("doc_id").collect()] == [True] * 4 + [False] * 2
+    assert language.letters("नमस्ते 1 É!") == "नमस्ते é"
+
+
+def test_language_by_hand(spark):
+    """The query's rows, from sizes computed here."""
+    import zlib
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs.where(~language.in_fold()))
+    texts_of = {r.doc_id: r.text for r in docs.collect()}
+    for r in registry.QUERIES["op9_language"](spark, SF).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        plain = "".join(c if c.isalpha() or __import__("unicodedata").category(c)[0] == "M" else " " for c in (texts_of[r.doc_id] or "").lower())
+        data = " ".join(plain.split()).encode()
+        if not data:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        sizes = {}
+        for lang, shared in model.items():
+            engine = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(shared.ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language.LEVEL, write_content_size=False)
+            sizes[lang] = sum(len(engine.compress(data[k : k + language.PIECE_BYTES])) for k in range(0, len(data), language.PIECE_BYTES))
+        assert sizes[r.lang_pred] == min(sizes.values())
+        first, second = sorted(sizes.values())[:2]
+        assert r.score == pytest.approx((second - first) / second)
+
+
+def test_many_languages(spark):
+    draw = random.Random(6)
+    rows = [(k, " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(8)), f"l{k:03d}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    assert len(model) == 600
+    assert language.identify(df.limit(5), model).where("lang_pred = lang").count() == 5
+    assert sum(map(len, language.learn(df, model_bytes=60_000).values())) <= 64_000
+
+
+def test_tokens_query(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(1, "中文，没有空格。" * 400), (2, "QUJD123abc/+" * 300), (3, None), (4, ""), (5, "word " * 1024), (6, "word " * 1026), (6, "again"), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = []
+    for k, t in rows:
+        n = len(whole.encode(t or "", add_special_tokens=False))
+        want.append((k or -1, len((t or "").encode()), n, n > 1024))
+    found = [(r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.op3_tokens(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(want)
+    text = "中文，没有空格。QUJD123abc don't  stop\n1st 2nd\t3rd <|endoftext|> é1" * 30
+    cut = list(tokens.pieces(text, 7))
+    assert len(cut) > 50 and sum(len(whole.encode(p, add_special_tokens=False)) for p in cut) == len(whole.encode(text, add_special_tokens=False))
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert tokens.op3_tokens(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_warc_torn_archives(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(k, "u", f"payload {k} " * 50) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(df, f"file://{tmp_path}/a")
+    path = manifest.first().path.removeprefix("file://")
+    data = open(path, "rb").read()
+    raw = gzip.decompress(data)
+    for torn in (data[: len(data) // 2], data[:-3], gzip.compress(raw[: len(raw) // 2])):
+        open(path, "wb").write(torn)
+        with pytest.raises(Exception, match="ends within|holds"):
+            warc.read_archives(manifest).count()
+    members = data.split(b"\x1f\x8b\x08")
+    open(path, "wb").write(b"\x1f\x8b\x08".join(members[:11]))
+    with pytest.raises(Exception, match="holds 10 records of 20"):
+        warc.read_archives(manifest).count()
+    open(path, "wb").write(data)
+    assert warc.read_archives(manifest).where("last").count() == 20
+
+
+def test_decontaminate_query(spark, tmp_path):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words).upper()), (2, "w3 w4, w5"), (3, None), (4, ""), (4, "w0 " + " ".join(words[5:16]))]
+    items = [("b", " ".join(words[4:16])), ("a", "W3-w4"), (None, "w39"), ("a", "w3 w4"), ("c", None), ("d", "...")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sha = lambda ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    found = sorted(tuple(r) for r in decontaminate.op10_decontaminate(spark, str(tmp_path)).collect())
+    assert found == sorted([(1, 40, 14, 3, sha(["", "a", "b"]), True), (2, 3, 2, 1, sha(["a"]), True), (3, 0, 0, 0, sha([]), False), (4, 0, 0, 0, sha([]), False), (4, 12, 11, 1, sha(["b"]), True)])
+
+
+def test_kept_tables_are_released(spark):
+    import glob
+
+    from framelake.llm import common
+
+    since = common.mark()
+    assert common.keep(spark.range(3)).count() == 3
+    where = common._HELD[-1][1].removeprefix("file://")
+    assert glob.glob(f"{where}/*.parquet")
+    common.release(since)
+    assert not glob.glob(where)
