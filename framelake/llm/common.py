@@ -335,4 +335,13 @@ def keep(df: DataFrame) -> DataFrame:
     """Like cut(), for larger tables: a compressed Parquet table in the shared folder."""
     where = new_folder(df.sparkSession, "kept")
     df.write.option("compression", "zstd").parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    found = df.sparkSession.read.schema(df.schema).parquet(where)
+    found.kept_at = where
+    return found
+
+
+def discard(kept: DataFrame) -> None:
+    """Removes a table that keep() returned, once nothing will read it any more."""
+    at = next(k for k, (_, where) in enumerate(_HELD) if where == kept.kept_at)
+    _HELD.append(_HELD.pop(at))
+    release(len(_HELD) - 1)
