@@ -71,7 +71,7 @@ def test_substring_ids(spark):
     assert found == [(-1, 0), (1, 0), (1, 0), (1, 0), (2, 60)]
 
 
-@pytest.mark.parametrize("settings", [{}, {"most": 1}, {"bucket": 3}])
+@pytest.mark.parametrize("settings", [{}, {"most": 1}, {"most": 3, "bucket": 200}, {"bucket": 3, "run_bytes": 3000}])
 def test_suffix(docs, settings):
     data = [(t or "").encode() for t in texts()]
     seen = Counter(d[s : s + 200] for d in data for s in range(len(d) - 199))
