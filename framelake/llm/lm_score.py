@@ -2,11 +2,17 @@
 
 Two interpolated bigram models, of the target texts and of all texts, share one vocabulary: every word and pair of words of all texts,
 each known by 63 bits of its hash. Nothing is capped or folded, so the models grow with the corpus; they are never gathered in one place.
-Documents are dealt into groups of about `group_bytes` of text by a hash of their id. A group counts its own words and
-pairs and sends them, sorted and packed, in one block for each range of keys, of which there are as many as groups. A range adds
-up its blocks and answers each with what the other groups have counted of the same keys; with these a group scores its
-documents. A key comes at most once a block, so a range holds its even share of keys, and of a frequent word a count a group.
-Very large corpora want larger groups, so that a block still holds many keys; where it holds few, results stay the same.
+
+Equal texts have equal scores, so each distinct text (by SHA-256) is counted with its number of rows and of target rows. A task sends
+a text it meets again as a number only, so a text with a third of the rows arrives once a task. Texts are dealt into groups of about
+`group_bytes` by their digest, and so are the ids of target rows, by way of the digests of their texts: neither ids nor texts that come
+often make a hot group. A group counts its words and pairs and sends them, sorted and packed, in one block for each range of keys, of
+which there is one for `range_bytes` of text. A range adds up its blocks and answers each with what the other groups have counted of the same
+keys; with these a group scores its texts, and rows get their text's score by its digest. A key comes at most once a block, so a
+range holds its even share of keys, and of a frequent word a count a group.
+
+Blocks are as many as groups times ranges: 5 million at 30 GB. For many terabytes raise both sizes with the memory of a task, so that
+a block still holds many keys; results stay the same.
 
 P(w | v) = a * c(v w) / c(v) + b * c(w) / n + c / N, with c() and n, the tokens, of the model's texts, and N those of all texts. A text's
 score is the mean over its tokens of the loss under the target model less the loss under the background model, in
@@ -14,63 +20,75 @@ nats; the lower, the closer to the target.
 
 Defined cases: null and empty texts have no tokens and a null score; without target texts the target model is uniform over
 the vocabulary; rows that share an id are scored each by itself and are target texts together; rows without an id are
-never target texts; an empty table gives an empty table; columns named like the results, or lm_group, are replaced.
+never target texts; an empty table gives an empty table; columns named like the results, or lm_digest, are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from framelake.llm.common import U, WORD_BASE, find_words, hash_words, mix, slices, table
+from framelake.llm.common import U, WORD_BASE, column, hash_words, mix, table, word_slices
 
 GROUP_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 #: Weights of the pair, the word and the uniform distribution.
 WEIGHTS = (0.6, 0.35, 0.05)
 #: Keys of words are odd, those of pairs even. Two odd ones are set aside: the begin of a text, and the number of tokens.
 BEGIN, TOKENS = U(1), U(3)
-#: A block holds `m` keys and counts; rows with range -1 name a target text, its hashed id in m.
+#: Rows of a group: a text with its rows so far (null: it has come before in its task), or a number of target rows of a text.
+TEXTS = "lm_group long, digest binary, text string, n long, t long"
+#: A block holds `m` keys and counts.
 BLOCKS = "lm_group long, lm_range long, m long, block binary"
+SCORES = "digest binary, n_tokens long, loss_target double, loss_background double, score double"
 RESULTS = ("n_tokens", "loss_target", "loss_background", "score")
 
 
 class Group:
-    """The words and pairs of a group's documents: sorted keys, their counts here (n in all texts, t in target texts), and each token's places."""
+    """The words and pairs of a group's texts: sorted keys, their counts here (n in all rows, t in target rows), and each token's places."""
 
-    def __init__(self, texts: pa.Array, is_target: np.ndarray):
-        words, pairs, self.lengths = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for _, _, data, offsets in slices(texts):
-            starts, ends, first = find_words(data, offsets)
+    def __init__(self, texts: pa.Array, n_rows: np.ndarray, n_target: np.ndarray):
+        words, pairs = [np.zeros(0, U)], [np.zeros(0, U)]
+        self.lengths = np.zeros(len(texts), np.int64)
+        for rows, numbers, data, _, starts, ends, first in word_slices(texts, 1):
             word = hash_words(data, starts, ends) | U(1)
             before = np.empty_like(word)
             before[1:] = word[:-1]
             before[first[:-1][first[:-1] < first[1:]]] = BEGIN
-            words.append(word)
-            pairs.append(mix(before * U(WORD_BASE) + word) & ~U(1))
-            self.lengths.append(np.diff(first))
-        self.lengths = np.concatenate(self.lengths)
+            pair = mix(before * U(WORD_BASE) + word) & ~U(1)
+            again = int(numbers[0] > 0)
+            # A further piece of a long text begins with the last word of the piece before, which is counted there.
+            words.append(word[again:])
+            pairs.append(pair[again:])
+            np.add.at(self.lengths, rows, np.diff(first))
+            self.lengths[rows[0]] -= again
         self.ends = np.cumsum(self.lengths)
         self.heads = (self.ends - self.lengths)[self.lengths > 0]
         word, pair = np.concatenate(words), np.concatenate(pairs)
-        mine = np.repeat(is_target, self.lengths)
-        n_texts, n_target = len(self.heads), int((is_target & (self.lengths > 0)).sum())
+        some = self.lengths > 0
         self.keys, at = np.unique(np.concatenate([word, pair, [BEGIN, TOKENS]]), return_inverse=True)
         self.word, self.pair, (self.begin, self.tokens) = at[: len(word)], at[len(word) : -2], at[-2:]
-        self.n = np.bincount(at[:-2], minlength=len(self.keys))
-        self.t = np.bincount(at[:-2][np.concatenate([mine, mine])], minlength=len(self.keys))
-        self.n[[self.begin, self.tokens]] = n_texts, len(word)
-        self.t[[self.begin, self.tokens]] = n_target, int(mine.sum())
+
+        def counted(weights: np.ndarray) -> np.ndarray:
+            each = np.repeat(weights, self.lengths)
+            found = np.zeros(len(self.keys), np.int64)
+            found += np.bincount(at[: len(word)], weights=each, minlength=len(self.keys)).astype(np.int64)
+            found += np.bincount(at[len(word) : -2], weights=each, minlength=len(self.keys)).astype(np.int64)
+            found[[self.begin, self.tokens]] = int(weights[some].sum()), int(each.sum())
+            return found
+
+        self.n, self.t = counted(n_rows), counted(n_target)
 
     def add(self, n: np.ndarray, t: np.ndarray) -> None:
         """Add what other groups have counted, a number for each key in order."""
         self.n, self.t = self.n + n, self.t + t
 
     def losses(self, counts: np.ndarray, weights: tuple[float, float, float]) -> np.ndarray:
-        """Mean loss of each document under the model of these counts; not a number for those without tokens."""
+        """Mean loss of each text under the model of these counts; not a number for those without tokens."""
         before = np.empty_like(self.word)
         before[1:] = self.word[:-1]
         before[self.heads] = self.begin
@@ -131,45 +149,81 @@ def _answer(sent: pa.Table) -> pa.Table:
     return _blocks(sent.column("lm_group"), sent.column("lm_range"), sent.column("m"), answers)
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = WEIGHTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def _once(n_groups: int):
+    """Each text of a task once, later rows of it as a number at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again: dict[bytes, int] = {}
+        group = lambda d: int.from_bytes(d[:7], "big") % n_groups
+        for batch in batches:
+            digests, new = column(batch, "digest").to_pylist(), []
+            for k, d in enumerate(digests):
+                if d in again:
+                    again[d] += 1
+                else:
+                    again[d] = 0
+                    new.append(k)
+            mine = [digests[k] for k in new]
+            yield _text_rows([group(d) for d in mine], mine, column(batch, "text").take(pa.array(new, pa.int64())), [1] * len(new))
+        rest = [(d, n) for d, n in again.items() if n]
+        for at in range(0, len(rest), 10_000):
+            mine = [d for d, _ in rest[at : at + 10_000]]
+            yield _text_rows([group(d) for d in mine], mine, pa.nulls(len(mine), pa.string()), [n for _, n in rest[at : at + 10_000]])
+
+    return run
+
+
+def _text_rows(groups: list[int], digests: list[bytes], texts: pa.Array, n: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(digests, pa.binary()), texts.cast(pa.string()), pa.array(n, pa.int64()), pa.array([0] * len(groups), pa.int64())], ["lm_group", "digest", "text", "n", "t"])
+
+
+def _gathered(rows: pa.Table) -> tuple[list[bytes], Group]:
+    """The distinct texts of a group, in the order of their digests, and their counts."""
+    digests = rows.column("digest").to_pylist()
+    known = {d: k for k, d in enumerate(sorted(set(digests)))}
+    at = np.array([known[d] for d in digests], np.int64)
+    n, t, place = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    np.add.at(n, at, rows.column("n").to_numpy())
+    np.add.at(t, at, rows.column("t").to_numpy())
+    has = np.flatnonzero(rows.column("text").is_valid().to_numpy())
+    place[at[has]] = has
+    texts = rows.column("text").cast(pa.large_string()).combine_chunks()
+    return list(known), Group(texts.take(pa.array(place)), n, t)
+
+
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = WEIGHTS, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs with n_tokens, loss_target, loss_background (means, in nats) and score, their difference. `target` holds the ids of the target texts."""
-    docs = docs.drop(*RESULTS, "lm_group")
+    docs = docs.drop(*RESULTS, "lm_digest")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_groups = -(-size // group_bytes) or 1
-    schema = T.StructType([*docs.schema.fields, T.StructField(RESULTS[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in RESULTS[1:])])
-    columns, names = docs.columns, schema.names
-    empty = to_arrow_schema(schema).empty_table()
-    ident = F.xxhash64(F.col(id_col).cast("string"))
-    grouped = docs.withColumn("lm_group", F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(ident), F.lit(n_groups))).withColumn("lm_ident", F.when(F.col(id_col).isNotNull(), ident))
-    wanted = target.where(F.col(id_col).isNotNull()).select(F.pmod(ident, F.lit(n_groups)).alias("lm_group"), F.lit(-1).cast("long").alias("lm_range"), ident.alias("m"), F.lit(None).cast("binary").alias("block")).distinct()
-
-    def gather(left: pa.Table, right: pa.Table) -> Group:
-        marks = right.column("lm_range").to_numpy() < 0
-        idents = left.column("lm_ident")
-        is_target = np.isin(idents.fill_null(0).to_numpy(), right.column("m").to_numpy()[marks]) & idents.is_valid().to_numpy()
-        group = Group(pa.concat_arrays(left.column(text_col).cast(pa.large_string()).chunks), is_target)
-        back = right.filter(pa.array(~marks)).sort_by("lm_range")
-        if back.num_rows:
-            others = np.concatenate([unpack(b.as_py(), m.as_py()) for b, m in zip(back.column("block"), back.column("m"), strict=True)], axis=1)
-            group.add(*others.astype(np.int64))
-        return group
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _blocks([], [], [], [])
-        return _send(left.column("lm_group")[0].as_py(), gather(left, right), n_groups)
-
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return empty
-        group = gather(left, right)
-        a, b, none = group.losses(group.t, weights), group.losses(group.n, weights), group.lengths == 0
-        found = [pa.array(group.lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))]
-        return pa.table([*(left.column(c) for c in columns), *found], names=names)
-
-    counted = grouped.groupBy("lm_group").cogroup(wanted.groupBy("lm_group")).applyInArrow(count, BLOCKS)
-    answered = counted.groupBy("lm_range").applyInArrow(_answer, BLOCKS)
-    return grouped.groupBy("lm_group").cogroup(answered.unionByName(wanted).groupBy("lm_group")).applyInArrow(judge, schema)
+    n_groups, n_ranges = -(-size // group_bytes) or 1, -(-size // range_bytes) or 1
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    digest = F.unhex(F.sha2(text, 256))
+    named = docs.select(*own, digest.alias("lm_digest"))
+    found = docs.where(text != "").select(digest.alias("digest"), text.alias("text")).mapInArrow(_once(n_groups), TEXTS)
+    # Ids meet rows of a few bytes; the counts are added before they are dealt to groups.
+    wanted = target.where(ident.isNotNull()).select(ident.alias("lm_id")).distinct()
+    chosen = docs.where(text != "").select(ident.alias("lm_id"), digest.alias("digest")).join(wanted, "lm_id", "left_semi").groupBy("digest").agg(F.count("*").alias("t"))
+    group = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 14), 16, 10).cast("long"), F.lit(n_groups))
+    marks = chosen.select(group.alias("lm_group"), "digest", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"), "t")
+    grouped = found.unionByName(marks)
+
+    def count(rows: pa.Table) -> pa.Table:
+        return _send(rows.column("lm_group")[0].as_py(), _gathered(rows)[1], n_ranges)
+
+    def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        digests, group = _gathered(rows)
+        back = answers.sort_by("lm_range")
+        others = np.concatenate([unpack(b.as_py(), m.as_py()) for b, m in zip(back.column("block"), back.column("m"), strict=True)], axis=1)
+        group.add(*others.astype(np.int64))
+        a, b = group.losses(group.t, weights), group.losses(group.n, weights)
+        none = group.lengths == 0
+        return pa.table([pa.array(digests, pa.binary()), pa.array(group.lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))], names=["digest", *RESULTS])
+
+    answered = grouped.groupBy("lm_group").applyInArrow(count, BLOCKS).groupBy("lm_range").applyInArrow(_answer, BLOCKS)
+    scores = grouped.groupBy("lm_group").cogroup(answered.groupBy("lm_group")).applyInArrow(judge, SCORES)
+    joined = named.join(scores, F.col("lm_digest") == F.col("digest"), "left")
+    return joined.select(*own, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), *RESULTS[1:])
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
