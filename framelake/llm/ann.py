@@ -2,19 +2,27 @@
 
 From a bounded sample a nearest-neighbour graph is built and cut into balanced parts (recursive bisection, started along
 the main direction and refined by swaps that lower the cut). A small network learns to tell the part of a vector. It
-puts every row of the table into its most probable part, and sends a query to several: so many that the sample's own
-neighbours are covered to `cover`, and more where the parts hold too few rows. Every row is indexed; there is no other cut.
+puts every row of the table into its most probable part, and sends a query to several, the most probable ones, where its
+neighbours are found by exact inner product in double precision. Every row is indexed; there is no other cut.
 
-Parts are searched in blocks of at most about `block_rows` rows against blocks of queries, so a part of any size, or a third of the
-table in one point, is many even tasks. A block keeps the best of each query by exact inner product in double precision, summed
-in one order for all, and these are merged by query. Up to `small` rows there is one part and the search is exact.
+There are `least_parts` parts, and one for `part_rows` rows where those are more, so that a part does not grow with the table. Beyond
+`fan` parts the partition is one of partitions: each part is cut again, by a graph and a network of its own, learned where its
+rows are, and a query's probability of a part is the product of the two. How many parts a query visits is set on rows that the
+networks have not seen: so many that `cover` of their neighbours among such rows are in them, and more where the parts hold too few rows.
+
+Equal vectors count once: each stands with its top + 1 smallest ids, which is all that any query can see of them, and equal
+queries are searched once. So a third of the table in one point is one vector. Where a part gets many queries or rows (a
+network that puts all into one part) it is searched in blocks of at most `block_rows` rows and queries.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, or differ in length from the sample's most
-common length, take no part; rows with a query's own id are no candidates of it; ties go to the smaller id.
+common length, take no part; neither do rows without id; rows with a query's own id are no candidates of it; rows that share an id and a
+vector are one candidate, those that share an id alone each one; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Iterator
 from math import ceil
 
@@ -27,13 +35,13 @@ from pyspark.sql import functions as F
 from framelake.llm.common import column, keep, table
 
 TOP = 20
-SAMPLE = 4096
-SMALL = 2048
-#: Parts for each square root of rows, and at most.
-PARTS = 1 / 14
-MOST_PARTS = 128
+#: Rows of the sample: half of it teaches the networks, half sets the number of parts to visit.
+SAMPLE = 8192
+PART_ROWS = 8192
+LEAST_PARTS = 32
+FAN = 128
 BLOCK_ROWS = 8192
-COVER = 0.95
+COVER = 0.93
 NEIGHBOURS = 10
 
 
@@ -124,101 +132,163 @@ class Router:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """Logarithms of the parts' probabilities."""
+        z = np.maximum(self._unit(x) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+class Tree:
+    """One router, or one for the parts and one within each of them. Part p of a tree of two levels is part p % inner of part p // inner."""
+
+    def __init__(self, root: Router, children: dict[int, Router] | None = None, outer: int = 1, inner: int = 1):
+        self.root, self.children, self.parts, self.inner = root, children, outer * inner, inner
+
     def ranked(self, x: np.ndarray) -> np.ndarray:
         """Parts of each vector, the most probable first."""
-        return np.argsort(-(np.maximum(self._unit(x) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]), axis=1, kind="stable")
+        logs = self.root.logs(x)
+        if self.children is not None:
+            even = np.full((len(x), self.inner), -np.log(self.inner))
+            logs = np.concatenate([logs[:, [k]] + (self.children[k].logs(x) if k in self.children else even) for k in range(logs.shape[1])], axis=1)
+        return np.argsort(-logs, axis=1, kind="stable")
+
+
+def learned(x: np.ndarray, parts: int) -> Router:
+    parts = min(parts, max(1, len(x)))
+    return Router(x, partition(x, graph(x, NEIGHBOURS), parts), parts)
 
 
 def matrix(values: pa.Array, d: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query its nearest rows, ties to the smaller id; rough scores choose, sums in one order decide."""
-    order = np.argsort(row_ids, kind="stable")
-    rows, row_ids = rows[order], row_ids[order]
+def best(queries: np.ndarray, rows: np.ndarray, ids: list[list[int]], top: int) -> Iterator[tuple[int, list[int], list[float]]]:
+    """Of each query the ids of its nearest rows, top at most, ties to the smaller id; rough scores choose, sums in one order decide."""
+    least_ids = np.array([i[0] for i in ids], np.int64)
     for at in range(0, len(queries), 256):
         rough = queries[at : at + 256] @ rows.T
         for i, line in enumerate(rough):
             k = at + i
-            line[row_ids == query_ids[k]] = -np.inf
+            pick = np.arange(len(line))
             if len(line) > top:
                 least = np.partition(line, len(line) - top)[len(line) - top]
-                pick = np.flatnonzero(line >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else np.isfinite(line))
-            else:
-                pick = np.flatnonzero(np.isfinite(line))
+                pick = np.flatnonzero(line >= least - 1e-9 * max(1.0, abs(least)))
             exact = (rows[pick] * queries[k]).sum(axis=1)
-            chosen = np.argsort(-exact, kind="stable")[:top]
-            yield k, row_ids[pick[chosen]], exact[chosen]
-
-
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, sample: int = SAMPLE, small: int = SMALL, part_share: float = PARTS, most_parts: int = MOST_PARTS, block_rows: int = BLOCK_ROWS, cover: float = COVER) -> DataFrame:
+            order = np.lexsort((least_ids[pick], -exact))[:top]
+            found = sorted((-s, x) for p, s in zip(pick[order].tolist(), exact[order].tolist(), strict=True) for x in ids[p])[:top]
+            yield k, [x for _, x in found], [-s for s, _ in found]
+
+
+def _children(outer: int, inner: int, sample: int, d: int):
+    """A router for each part, learned from its drawn rows, as bytes."""
+    def run(group: pa.Table) -> pa.Table:
+        x = matrix(group.column("v").combine_chunks(), d)[:sample]
+        return pa.table({"part": group.column("part")[:1], "router": pa.array([pickle.dumps(learned(x, inner))], pa.binary())})
+
+    return run
+
+
+def learn(rows: DataFrame, n: int, parts: int, fan: int, sample: int, cover: float) -> tuple[Tree | None, int, int]:
+    """The tree, the length of vectors, and how many parts a query visits, from a bounded sample of rows (vec_id, v)."""
+    draw = F.pmod(F.xxhash64("v", F.lit("ann")), F.lit(1 << 40))
+    # The first by hash: the same rows in every run.
+    drawn = rows.where(draw < int(min(1.0, 1.5 * sample / max(n, 1)) * (1 << 40))).select("v", draw.alias("drawn")).orderBy("drawn", "v").limit(sample).toArrow()
+    if not drawn.num_rows:
+        return None, 1, 1
+    values = drawn.column("v").combine_chunks()
+    lengths = values.value_lengths().to_numpy()
+    d = int(np.bincount(lengths).argmax())
+    x = matrix(values.filter(pa.array(lengths == d)), d)
+    taught, unseen = x[: max(1, len(x) // 2)], x[len(x) // 2 :]
+    outer, inner = (parts, 1) if parts <= fan else (-(-parts // fan) if parts <= fan * fan else fan, fan)
+    outer = min(outer, len(taught))
+    tree = Tree(learned(taught, outer), None, outer)
+    if inner > 1:
+        shared = rows.sparkSession.sparkContext.broadcast(tree)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = matrix(column(batch, "v"), d)
+                part = shared.value.ranked(v)[:, 0] if len(v) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([column(batch, "v"), pa.array(part.astype(np.int32))], ["v", "part"])
+
+        some = rows.where((F.size("v") == d) & (F.pmod(F.xxhash64("v", F.lit("child")), F.lit(1 << 40)) < int(min(1.0, outer * sample / max(n, 1)) * (1 << 40))))
+        # No part's group grows beyond twice the sample, however uneven the parts are.
+        rank = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("v", F.lit("child")), "v"))
+        bounded = some.select("v").mapInArrow(place, "v array<double>, part int").select("*", rank.alias("rank")).where(F.col("rank") <= 2 * sample).drop("rank")
+        found = bounded.groupBy("part").applyInArrow(_children(outer, inner, sample, d), "part int, router binary").collect()
+        tree = Tree(tree.root, {r[0]: pickle.loads(r[1]) for r in found}, outer, inner)
+    ranked = tree.ranked(unseen)
+    near, at = graph(unseen, NEIGHBOURS), np.argsort(ranked, axis=1)
+    reach = np.concatenate([at[i, ranked[j, 0]] for i, j in enumerate(near)]) if len(unseen) > 1 else np.zeros(1, np.int64)
+    share = np.cumsum(np.bincount(reach, minlength=tree.parts)) / max(len(reach), 1)
+    return tree, d, min(tree.parts, int(np.searchsorted(share, cover)) + 1)
+
+
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, sample: int = SAMPLE, part_rows: int = PART_ROWS, least_parts: int = LEAST_PARTS, fan: int = FAN, block_rows: int = BLOCK_ROWS, cover: float = COVER) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where is_query holds, their nearest among all rows but their own."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable("v"))
-    n = rows.count()
-    share = min(1.0, 1.2 * sample / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 40)) < int(share * (1 << 40))).select("v").limit(2 * sample).toArrow()
-    lengths = drawn.column("v").combine_chunks().value_lengths().to_numpy() if drawn.num_rows else np.zeros(0, np.int64)
-    d = int(np.bincount(lengths).argmax()) if len(lengths) else 1
-    rows = rows.where(F.size("v") == d)
-    parts = 1 if n <= small else max(2, min(most_parts, ceil(n**0.5 * part_share)))
-    router, probes = None, 1
-    if parts > 1:
-        x = matrix(drawn.column("v").combine_chunks().filter(pa.array(lengths == d)), d)[:sample]
-        near = graph(x, NEIGHBOURS)
-        router = Router(x, partition(x, near, parts), parts)
-        ranked = router.ranked(x)
-        at = np.argsort(ranked, axis=1)
-        reach = np.concatenate([at[i, ranked[j, 0]] for i, j in enumerate(near) if len(j)])
-        probes = int(np.searchsorted(np.cumsum(np.bincount(reach, minlength=parts)) / len(reach), cover)) + 1
-    shared = rows.sparkSession.sparkContext.broadcast(router)
+    named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable("v"))
+    # Each distinct vector with its smallest ids; the window is cut in each task before anything is exchanged.
+    firsts = named.select("v", "vec_id").distinct().select("*", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")).alias("nth")).where(F.col("nth") <= top + 1)
+    points = keep(firsts.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    n = points.count()
+    tree, d, probes = learn(points, n, max(least_parts, -(-n // part_rows)), fan, sample, cover)
+    if tree is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(column(batch, "v"), d)
-            part = shared.value.ranked(v)[:, 0] if shared.value is not None and len(v) else np.zeros(len(v))
+            part = shared.value.ranked(v)[:, 0] if len(v) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], [*batch.schema.names, "part"])
 
-    placed = keep(rows.mapInArrow(place, "vec_id long, v array<double>, asks boolean, part int"))
-    counts = {r[0]: (r[1], r[2]) for r in placed.groupBy("part").agg(F.count("*"), F.count_if("asks")).collect()}
-    sizes = np.array([counts.get(p, (0, 0))[0] for p in range(parts)])
-    asked = sum(c[1] for c in counts.values())
+    placed = keep(points.where(F.size("v") == d).mapInArrow(place, "v array<double>, ids array<long>, part int"))
+    sizes = np.zeros(tree.parts, np.int64)
+    for part, count in placed.groupBy("part").count().collect():
+        sizes[part] = count
+    asking = keep(named.where("asks").select("v").distinct().where(F.size("v") == d))
     row_blocks = np.maximum(1, -(-sizes // block_rows))
-    query_blocks = max(1, ceil(asked * probes / parts / block_rows))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(column(batch, "v"), d)
-            ranked = shared.value.ranked(v) if shared.value is not None and len(v) else np.zeros((len(v), 1), np.int64)
             who, part = [], []
-            for i, line in enumerate(ranked):
+            for i, line in enumerate(shared.value.ranked(v) if len(v) else ()):
                 enough = int(np.searchsorted(np.cumsum(sizes[line]), 2 * top + 1)) + 1
-                for p in line[: max(probes, enough)]:
-                    if sizes[p]:
-                        who.append(i)
-                        part.append(p)
-            rows_of = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id").take(rows_of), column(batch, "v").take(rows_of), pa.array(part, pa.int32())], ["vec_id", "v", "part"])
-
-    blocks_of = F.element_at(F.array(*(F.lit(int(b)) for b in row_blocks)), F.col("part") + 1)
-    right = placed.select("part", F.pmod(F.xxhash64("vec_id"), blocks_of).cast("int").alias("row_block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "vec_id", "v")
-    asks = placed.where("asks").select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, part int")
-    left = asks.select("part", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("row_block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), "vec_id", "v")
+                mine = line[: max(probes, enough)]
+                mine = mine[sizes[mine] > 0]
+                who.append(np.full(len(mine), i))
+                part.append(mine)
+            rows_of = pa.array(np.concatenate(who) if who else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([column(batch, "v").take(rows_of), pa.array(np.concatenate(part) if part else [], pa.int32())], ["v", "part"])
+
+    routed = asking.mapInArrow(route, "v array<double>, part int")
+    # Queries of a part are at most asking rows a part times the parts visited; only beyond a block's size are a part's rows sent twice.
+    asked = asking.count()
+    query_blocks = max(1, ceil(asked * probes / tree.parts / block_rows))
+    blocks_of = F.element_at(F.from_json(F.lit(json.dumps(row_blocks.tolist())), "array<int>"), F.col("part") + 1)
+    right = placed.select("part", F.pmod(F.xxhash64("v"), blocks_of).cast("int").alias("row_block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "ids", "v")
+    left = routed.select("part", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("row_block"), F.pmod(F.xxhash64("v", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), "v")
 
     def rerank(key, queries: pa.Table, block: pa.Table) -> pa.Table:
-        ids, near, scores = [], [], []
+        ids, scores = [], []
         if queries.num_rows and block.num_rows:
-            asking = queries.column("vec_id").to_numpy()
-            for k, found, exact in best(matrix(queries.column("v").combine_chunks(), d), asking, matrix(block.column("v").combine_chunks(), d), block.column("vec_id").to_numpy(), top):
-                ids += [asking[k]] * len(found)
-                near += found.tolist()
-                scores += exact.tolist()
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(scores, pa.float64())})
+            for _, near, exact in best(matrix(queries.column("v").combine_chunks(), d), matrix(block.column("v").combine_chunks(), d), block.column("ids").to_pylist(), top + 1):
+                ids.append(near)
+                scores.append(exact)
+        asked_v = queries.column("v").combine_chunks() if ids else pa.array([], pa.list_(pa.float64()))
+        return pa.table({"v": asked_v, "ids": pa.array(ids, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
 
     on = ["part", "row_block", "query_block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rerank, "v array<double>, ids array<long>, scores array<double>")
+    # A query's lists are as many as the parts and blocks it visits.
+    pairs = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "scores"), lambda z: F.struct((-z["scores"]).alias("far"), z["ids"].alias("id"))))))
+    lists = found.groupBy("v").agg(pairs.alias("near"))
+    asks = named.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct()
+    mine = asks.join(lists, "v").select("query_id", F.posexplode(F.slice(F.filter("near", lambda z: z["id"] != F.col("query_id")), 1, top)).alias("at", "z"))
+    return mine.select("query_id", (F.col("at") + 1).alias("rank"), F.col("z.id").alias("vec_id"), (-F.col("z.far")).alias("score"))
 
 
 def op5_neighbours(spark, sf_dir: str) -> DataFrame:

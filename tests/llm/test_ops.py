@@ -146,29 +146,58 @@ def test_mixing_splits_high_rates(spark):
     assert 3700 < n < 4300
 
 
-def test_neighbours(spark):
+def neighbours_by_hand(ids, x):
+    """The scores and ids of the nearest of each query, from all rows."""
+    x, ids = np.asarray(x, dtype=np.float64), np.asarray(ids)
+    out = {}
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[k]).sum(axis=1)
+        others = np.flatnonzero(ids != ids[k])
+        out[int(ids[k])] = [(float(s[j]), int(ids[j])) for j in others[np.lexsort((ids[others], -s[others]))][:20]]
+    return out
+
+
+@pytest.mark.parametrize("settings, least", [({"cover": 1.1}, 1.0), ({}, 0.9), ({"part_rows": 100, "least_parts": 4, "fan": 6, "block_rows": 40}, 0.9)])
+def test_neighbours(spark, settings, least):
     draw = np.random.default_rng(3)
     x = draw.normal(size=(3000, 16)).astype(np.float32)
-    x[100:400] = x[100]
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (5003, [1.0]), (5020, [None] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    y = x.astype(np.float64)
-    for small, least in ((10_000, 1.0), (500, 0.9)):
-        found = ann.search(df, F.col("vec_id") % 20 == 0, small=small, sample=1500, part_share=1 / 5, block_rows=700).collect()
-        got = {}
-        for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
-            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert set(got) == set(range(0, 3000, 20)) and all(len(v) == 20 for v in got.values())
-        hit = 0
-        for q, mine in got.items():
-            s = (y * y[q]).sum(axis=1)
-            s[q] = -np.inf
-            want = np.lexsort((np.arange(len(s)), -s))[:20]
-            assert all(abs(s[v] - z) < 1e-12 for v, z in mine) and [z for _, z in mine] == sorted((z for _, z in mine), reverse=True)
-            hit += sum(z >= s[want[-1]] - 1e-12 for _, z in mine)
-            if least == 1.0:
-                assert [v for v, _ in mine] == want.tolist()
-        assert hit / (20 * len(got)) >= least
+    x[100:1100] = x[100]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (5003, [1.0]), (5020, [None] * 16), (None, [1.0] * 16), (40, x[40].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, **settings).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        assert r.rank == len(got[r.query_id])
+    wanted = neighbours_by_hand(np.arange(3000), x)
+    assert set(got) == set(wanted)
+    hit = 0
+    for q, mine in got.items():
+        assert len(mine) == 20 and mine == sorted(mine, key=lambda z: (-z[0], z[1])) and q not in {v for _, v in mine}
+        assert all(s == pytest.approx(float((x[v].astype(np.float64) * x[q].astype(np.float64)).sum()), abs=1e-12) for s, v in mine)
+        hit += len({v for _, v in mine} & {v for _, v in wanted[q]})
+        if least == 1.0 or 100 <= q < 1100:
+            assert [v for _, v in mine] == [v for _, v in wanted[q]]
+    assert hit / (20 * len(got)) >= least
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_neighbours_recall(spark, sf):
+    where = f"/root/testdata/sf{sf}"
+    rows = spark.read.parquet(f"{where}/embeddings.parquet").collect()
+    wanted = neighbours_by_hand([r.vec_id for r in rows], [r.embedding for r in rows])
+    got = {}
+    for r in registry.QUERIES["op5_neighbours"](spark, where).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {v for _, v in near}) for q, near in wanted.items()) / sum(map(len, wanted.values())) >= 0.9
+
+
+def test_neighbours_few_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert found == [(0, 1, 4, 1.0), (0, 2, 20, 1.0), (0, 3, 3, 0.0), (20, 1, 0, 1.0), (20, 2, 4, 1.0), (20, 3, 3, 0.0)]
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")
+    assert ann.search(one, F.col("vec_id") % 20 == 0).count() == 0
 
 
 @pytest.mark.parametrize("group_bytes", [40, 3000, 1 << 24])
