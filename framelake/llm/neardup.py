@@ -1,16 +1,19 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A document is its sequence of five-word shingles, each labelled with its occurrence number. Each of `tables` hash functions
-picks the `picks` least labelled shingles, kept in text order; their hash is a key. Documents that share a
-key are candidates. Short documents (under SMALL shingles) also give the keys of a prefix filter, which is exact for them.
+A document is its sequence of five-word shingles, each labelled with its occurrence number. Each hash function of a family
+picks the least few labelled shingles, kept in text order; their hash is a key. Documents that share a
+key are candidates. `picks` shingles by each of `tables` functions serve documents of LONG or more shingles; documents of under
+SHORT shingles are picked from `short_picks` at a time, as six of few seldom agree. Both families serve the lengths in between, which are so many that any two
+similar documents are in one family together. Two documents at exactly the wanted similarity share no key with a probability of 1e-4
+at 24 shingles, 5e-6 at 4 and at hundreds. Texts so short that one shingle more or less is too much have only equal ones.
 
 Candidates are verified by aligning the shingle sequences: with L the longest common subsequence, L / (a + b - L) must
-reach `similarity`. No pair that reaches it has a match further off the diagonal than max(a, b) less the L needed, so the
-alignment is kept to that band (bit-parallel, a machine word for 64 cells).
+reach `similarity`. No pair that reaches it has a match further off the diagonal than max(a, b) less the L needed, so only
+that band is computed, bit-parallel, a machine word for 64 of its cells.
 
-Exact copies meet first, by a 128-bit hash of their words; only one of them gives keys. Within a key no pairs of all members
+Equal documents meet first, by the SHA-256 digest of their words; only one of them gives keys. Within a key no pairs of all members
 are made: each member is compared with a hub, the member with the most company. The members of keys that this leaves in
-several classes are keyed anew by an exact prefix filter over their shingles, rarest first, with positions: two of them meet
+several classes are the rest, and have an exact way: a prefix filter over their shingles, rarest first, with positions: two of them meet
 where the shingles from there on could still be enough, which texts with a frequent passage alone, and far copies
 of one text, do not reach. Rounds of up to HUBS members a key outside its largest class are compared with the members of
 other classes and leave the key, until no key is open.
@@ -22,6 +25,8 @@ rows that share an id are told apart by their texts; ties go to the smaller id.
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from math import ceil
 
@@ -31,18 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import MASK, U, WORD_BASE, WORD_BASE_2, Rolling, column, cut, find_words, hash_words, keep, mix, signed, slices, table, text_key
+from framelake.llm.common import SPACED, U, WORD_BASE, WORD_BASE_2, Rolling, column, cut, find_words, hash_words, keep, mix, signed, slices, table, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 40
 PICKS = 6
-#: Shingles below which the prefix filter's keys are given, and from which Order MinHash's are: pairs of either side meet.
-SMALL, LARGE = 32, 24
+SHORT_TABLES, SHORT_PICKS = 24, 3
+#: Shingles below which the family of fewer picks serves, and from which the other one does.
+SHORT, LONG = 32, 24
 #: Members of a key that are compared with its other classes in one round.
 HUBS = 512
 
-SKETCH = "doc_id long, text_key long, words_a long, words_b long, n int, keys array<long>"
+SKETCH = "doc_id long, text_key long, words binary, n int, keys array<long>"
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -91,10 +97,23 @@ def order_minhash(h: np.ndarray, tables: int = TABLES, picks: int = PICKS) -> np
     return mix(keys)
 
 
-def prefix_keys(h: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The least labelled shingles, one more than a document may miss of those that a similar one shares."""
-    need = ceil(similarity * len(h) - 1e-9)
-    return mix(np.sort(h)[: len(h) - need + 1] ^ U(WORD_BASE_2))
+def sketch_keys(h: np.ndarray, similarity: float, tables: int, picks: int) -> np.ndarray:
+    """The keys of a document's labelled shingles. Below similarity / (1 - similarity) shingles only equal documents are similar."""
+    if len(h) < similarity / (1 - similarity) - 1e-9:
+        return np.zeros(0, dtype=U)
+    short = mix(order_minhash(h, SHORT_TABLES, SHORT_PICKS) ^ U(WORD_BASE_2)) if len(h) < SHORT else np.zeros(0, dtype=U)
+    return np.concatenate([short, order_minhash(h, tables, picks)]) if len(h) >= LONG else short
+
+
+def words_joined(data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """The words of each text, joined by one space."""
+    inside = SPACED[data]
+    stay = inside.copy()
+    stay[1:] |= inside[:-1]
+    kept = np.where(inside, data, np.uint8(0x20))[stay].tobytes()
+    ends = np.concatenate([[0], np.cumsum(stay)])[offsets].tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield kept[a:b].strip(b" ")
 
 
 def sketch(size: int, similarity: float, tables: int, picks: int):
@@ -103,22 +122,18 @@ def sketch(size: int, similarity: float, tables: int, picks: int):
             for at, to, data, offsets in slices(column(batch, "text")):
                 starts, ends, first = find_words(data, offsets)
                 words = hash_words(data, starts, ends)
-                one, two = Rolling(words, WORD_BASE).of(first[:-1], first[1:]), Rolling(words, WORD_BASE_2).of(first[:-1], first[1:])
-                sizes = np.diff(first)
+                digests = [hashlib.sha256(x).digest() for x in words_joined(data, offsets)]
                 keys, counts, n = [], [], []
                 for i in range(to - at):
                     s = shingles(words[first[i] : first[i + 1]], size)
-                    mine = np.zeros(0, dtype=U)
-                    if len(s):
-                        h = labelled(s)
-                        mine = np.concatenate([prefix_keys(h, similarity) if len(h) < SMALL else mine, order_minhash(h, tables, picks) if len(h) >= LARGE else mine])
+                    mine = sketch_keys(labelled(s), similarity, tables, picks) if len(s) else np.zeros(0, dtype=U)
                     keys.append(mine)
                     counts.append(len(mine))
                     n.append(len(s))
                 flat = pa.array(signed(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").slice(at, to - at), column(batch, "text_key").slice(at, to - at), pa.array(signed(mix(one + sizes.astype(U)))), pa.array(signed(mix(two))), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat)],
-                    ["doc_id", "text_key", "words_a", "words_b", "n", "keys"],
+                    [column(batch, "doc_id").slice(at, to - at), column(batch, "text_key").slice(at, to - at), pa.array(digests, pa.binary()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat)],
+                    ["doc_id", "text_key", "words", "n", "keys"],
                 )
 
     return run
@@ -139,23 +154,30 @@ def common_length(a: list[int], b: list[int], need: int) -> int:
     done = head + tail
     if done + min(len(a), len(b)) < need or not a or not b:
         return done
-    where: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    width = (1 << (2 * band + 1)) - 1
+        places.setdefault(x, []).append(i)
+    # Bits of the places from j - band to j + band of a. What leaves below is final; above, nothing has matched yet.
+    width = 2 * band + 1
+    top, full = 1 << (width - 1), (1 << width) - 1
     row, misses = full, 0
     for j, y in enumerate(b):
-        match = where.get(y)
-        if match is None:
+        if j:
+            done += not row & 1
+            row = (row >> 1) | top
+        found = places.get(y)
+        if found is None:
             misses += 1
             if misses > band:
                 return 0
             continue
-        match &= width << (j - band) if j >= band else width >> (band - j)
+        match, low = 0, j - band
+        for p in found if len(found) == 1 else found[bisect_left(found, low) : bisect_right(found, j + band)]:
+            if 0 <= p - low < width:
+                match |= 1 << (p - low)
         match &= row
         row = ((row + match) | (row - match)) & full
-    return done + len(a) - row.bit_count()
+    return done + width - row.bit_count()
 
 
 def alike(a: list[int], b: list[int], similarity: float = SIMILARITY) -> bool:
@@ -251,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     sketched = keep(rows.mapInArrow(sketch(size, similarity, tables, picks), SKETCH))
     known = sketched.where("doc_id IS NOT NULL AND n > 0")
-    classes = keep(known.groupBy("words_a", "words_b").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), F.first("keys").alias("keys")))
+    classes = keep(known.groupBy("words").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), F.first("keys").alias("keys")))
     keyed = classes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
     members = keep(keyed.join(keep(shared), "key").distinct())
@@ -290,8 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tested = tested.union(pairs)
             labels = merged(labels, verified(pairs))
         left = _open(members, labels)
-    named = classes.join(labels, "node", "left").select("words_a", "words_b", F.coalesce("comp.doc_id", "node.doc_id").alias("class_id"))
-    found = known.select("doc_id", "text_key", "words_a", "words_b").join(named, ["words_a", "words_b"]).select("doc_id", "text_key", "class_id")
+    named = classes.join(labels, "node", "left").select("words", F.coalesce("comp.doc_id", "node.doc_id").alias("class_id"))
+    found = known.select("doc_id", "text_key", "words").join(named, "words").select("doc_id", "text_key", "class_id")
     rest = sketched.where("doc_id IS NULL OR n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"))
     return found.union(rest)
 
