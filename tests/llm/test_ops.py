@@ -231,8 +231,20 @@ def test_lm_score_without_targets_or_rows(spark):
     assert [r.n_tokens for r in lm_score.score(twice, none).orderBy("n_tokens").collect()] == [0, 1, 2, 2]
 
 
+def common_by_hand(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = list(row)
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+    return row[-1]
+
+
 def classes_by_hand(rows):
-    seqs = [neardup._sequence(t or "", 5) for t in rows]
+    """Connected components of the pairs whose five-word shingles, as words, share a subsequence of 0.8 of their union."""
+    words = [(t or "").split() for t in rows]
+    seqs = [[tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else [] for w in words]
+    counts = [Counter(x) for x in seqs]
     label = list(range(len(rows)))
 
     def root(k):
@@ -242,7 +254,8 @@ def classes_by_hand(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if seqs[a] and neardup.alike(seqs[a], seqs[b]):
+            need = 0.8 * (len(seqs[a]) + len(seqs[b])) / 1.8 - 1e-9
+            if seqs[a] and seqs[b] and sum((counts[a] & counts[b]).values()) >= need and (seqs[a] == seqs[b] or common_by_hand(seqs[a], seqs[b]) >= need):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     return {k: root(k) for k in range(len(rows))}
@@ -270,20 +283,30 @@ def test_near_duplicates_empty(spark):
 
 
 def test_alignment():
-    def plain(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = list(row)
-            for j, y in enumerate(b):
-                row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
-        return row[-1]
-
     draw = random.Random(5)
-    for _ in range(400):
-        a = [draw.randrange(30) for _ in range(draw.randrange(1, 60))]
+    for k in range(600):
+        a = [draw.randrange(3 if k % 5 == 0 else 30) for _ in range(draw.randrange(1, 60))]
         b = [x for x in a if draw.random() > 0.1] + [draw.randrange(30) for _ in range(draw.randrange(3))] or [1]
-        best = plain(a, b)
+        best = common_by_hand(a, b)
         assert neardup.alike(a, b) == (best / (len(a) + len(b) - best) >= 0.8 - 1e-12)
+    long = list(range(200_000))
+    assert neardup.alike(long, long[:100_000] + [-1, -2] + long[100_003:])
+
+
+def test_short_texts_by_order_minhash():
+    """Similar texts of all small lengths share a key, and no text gives keys by other means."""
+    draw = random.Random(9)
+    for n in range(4, 40):
+        for _ in range(40):
+            a = [f"w{draw.randrange(10**6)}" for _ in range(n + 4)]
+            b = a[1:] if draw.random() < 0.5 else a[:-1]
+            keys = []
+            for w in (a, b):
+                h = neardup.labelled(np.array(neardup._sequence(" ".join(w), 5), dtype=np.uint64))
+                keys.append(set(neardup.sketch_keys(h, 0.8, neardup.TABLES, neardup.PICKS).tolist()))
+            similar = (len(a) - 5) / (len(a) - 4) >= 0.8
+            assert bool(keys[0] & keys[1]) or not similar
+            assert len(keys[0]) in (24, 40, 64)
 
 
 def test_warc(spark):
