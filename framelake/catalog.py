@@ -40,9 +40,13 @@ TOP = 10
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     rows = _table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    asked = rows.orderBy("vec_id").select("embedding").first()
-    sources = rows.select("label").distinct().count()
-    return search.ranked(rows, asked[0] if asked else [0.0], "label", "vec_id"), sources
+    # The query vector and the number of collections are what a caller knows before a search; here they come from the table, in one pass.
+    asked = rows.agg(F.min_by("embedding", "vec_id"), F.count_distinct("label")).first()
+    sources = asked[1]
+    found = search.ranked(rows, asked[0] if asked else [0.0], "label", "vec_id")
+    # Rounded for comparison with other engines, whose sums differ in the last digits.
+    rounded = found.withColumn("distance", F.round("distance", 9)).withColumn("score", F.round(vectors.score(F.col("distance")), 9))
+    return rounded, sources
 
 
 _RANKED = """ranked AS (
@@ -197,10 +201,13 @@ def completed_captions(spark, sf_dir):
     return cache.completed(rows, held, ["conv_id", "turn"], "caption", make).select("conv_id", "turn", "caption")
 
 
-@query("SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id")
+@query("""WITH held AS (SELECT conv_id AS doc_id, text AS ocr FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS r FROM conversations WHERE text IS NOT NULL) WHERE r = 1)
+SELECT d.doc_id, h.ocr FROM documents d LEFT JOIN held h ON d.doc_id = h.doc_id""")
 def cached_ocr_join(spark, sf_dir):
-    held = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("hit", F.lit(True))
-    return _table(spark, sf_dir, "documents").select("doc_id").join(held, "doc_id", "left").select("doc_id", "quality", "toxic", F.coalesce("hit", F.lit(False)).alias("cached"))
+    """Documents are frames, the turns of a conversation the readings of one, of which the last record counts."""
+    readings = _table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("ocr"), F.struct("turn", "role", "text").alias("pos"))
+    held = cache.last_record(readings, ["doc_id"], "pos")
+    return cache.attached(_table(spark, sf_dir, "documents").select("doc_id"), held, ["doc_id"], "ocr")
 
 
 @query("SELECT conv_id, turn, 'caption:' || sha1(conv_id::VARCHAR || chr(0) || turn::VARCHAR || chr(0) || coalesce(text, '')) AS key FROM conversations")
@@ -239,7 +246,7 @@ def caption_token_estimate(spark, sf_dir):
 
 @query(f"WITH {_UNITS} SELECT conv_id, sum(tokens)::BIGINT AS total, round(avg(tokens), 6) AS mean, max(tokens)::BIGINT AS largest, count(*) AS n FROM sized GROUP BY 1")
 def token_stats(spark, sf_dir):
-    return packing.statistics(_units(spark, sf_dir), "conv_id", "tokens")
+    return packing.statistics(_units(spark, sf_dir), "conv_id", "tokens").withColumn("mean", F.round("mean", 6))
 
 
 @query("""SELECT doc_id, piece::INT AS piece, substr(text, (piece * 1000 + 1)::BIGINT, 1000) AS part
@@ -321,16 +328,28 @@ def batches_of_ten(spark, sf_dir):
 
 
 @query("SELECT conv_id, role, max(turn) AS turn, max(length(text)) FILTER (turn = m) AS chars FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id, role) AS m FROM conversations) GROUP BY 1, 2")
-def latest_iteration(spark, sf_dir):
+def last_writer_values(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").groupBy("conv_id", "role", "turn").agg(F.max(F.length("text")).cast("long").alias("chars"))
     return packing.latest(rows, ["conv_id", "role"], "turn", "chars")
 
 
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE turn = 1")
+def latest_iteration(spark, sf_dir):
+    return packing.latest_iteration(_table(spark, sf_dir, "conversations"), 1, 5, "conv_id", "turn").select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 7")
+def latest_iteration_fallback(spark, sf_dir):
+    """No event has this number, so the last ones stand in."""
+    return packing.latest_iteration(_table(spark, sf_dir, "events"), -1, 7, "event_id", "event_id").select("event_id", "event_type")
+
+
 # Lines of documents; a source is a recording and its documents the frames.
 
 _WS = r"'^\s+|\s+$', '', 'g'"
 _NORM = r"lower(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'))"
-_LINES = """lined AS (SELECT doc_id, source, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT doc_id, source, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS p FROM documents WHERE text IS NOT NULL)),
+_ENDS = r"'\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'"
+_LINES = f"""lined AS (SELECT doc_id, source, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT doc_id, source, regexp_split_to_array(text, {_ENDS}) AS p FROM documents WHERE text IS NOT NULL)),
 rows AS (SELECT doc_id, source, generate_subscripts(p, 1) - 1 AS line_no, unnest(p) AS line FROM lined)"""
 
 
@@ -367,45 +386,31 @@ def collapse_blank_runs(spark, sf_dir):
     return stitching.blank_runs_collapsed(_lines(spark, sf_dir), ["doc_id"]).select("doc_id", "line_no", "line")
 
 
-@query(f"""WITH {_LINES}, c AS (SELECT source, line_no, line, count(*) AS c, min(doc_id) AS first FROM rows WHERE line_no < 3 GROUP BY 1, 2, 3)
-SELECT source, line_no::INT AS line_no, line, votes::BIGINT AS votes FROM (SELECT *, sum(c) OVER (PARTITION BY source, line_no) AS votes, row_number() OVER (PARTITION BY source, line_no ORDER BY c DESC, length(line) DESC, first) AS r FROM c) WHERE r = 1""")
-def majority_line(spark, sf_dir):
-    """The first three lines of all documents of a source, as its SQL has it; majority_line_whole votes on every line."""
-    return stitching.majority(_lines(spark, sf_dir).where("line_no < 3"), ["source", "line_no"], "line", "doc_id")
-
-
 @query(f"""WITH {_LINES}, c AS (SELECT source, line_no, line, count(*) AS c, min(doc_id) AS first FROM rows GROUP BY 1, 2, 3)
 SELECT source, line_no::INT AS line_no, line, votes::BIGINT AS votes FROM (SELECT *, sum(c) OVER (PARTITION BY source, line_no) AS votes, row_number() OVER (PARTITION BY source, line_no ORDER BY c DESC, length(line) DESC, first) AS r FROM c) WHERE r = 1""")
-def majority_line_whole(spark, sf_dir):
+def majority_line(spark, sf_dir):
     """Every line of all documents of a source."""
     return stitching.majority(_lines(spark, sf_dir), ["source", "line_no"], "line", "doc_id")
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_distinct(list_transform(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: NOT regexp_full_match(x, '\s*')), lambda x: regexp_replace(x, '\s+', '', 'g'))) AS a,
-    list_distinct(list_transform(list_filter(regexp_split_to_array(replace(text, 'e ', 'e'), '\r\n|\n|\r'), lambda x: NOT regexp_full_match(x, '\s*')), lambda x: regexp_replace(x, '\s+', '', 'g'))) AS b,
-    list_distinct(list_transform(list_filter(regexp_split_to_array(left(text, 1000), '\r\n|\n|\r'), lambda x: NOT regexp_full_match(x, '\s*')), lambda x: regexp_replace(x, '\s+', '', 'g'))) AS c FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a, b)) / len(a), 9) END AS respaced, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a, c)) / len(a), 9) END AS cut FROM l""")
+_HAVE = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace({0}, '[ \t]+', '', 'g'), " + _ENDS.replace("{", "{{").replace("}", "}}") + r"), lambda x: x <> ''))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_HAVE.format("text")} AS a, {_HAVE.format("replace(text, 'e ', 'e')")} AS b, {_HAVE.format("replace(text, 'an', 'na')")} AS c FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a, b)) / len(a), 9) END AS respaced, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a, c)) / len(a), 9) END AS changed FROM l""")
 def line_coverage(spark, sf_dir):
-    """Of each text against itself with other blanks, and against its first 1000 characters, as repairs might leave it."""
+    """Of each whole text against itself with other blanks, and with some letters changed, as repairs might leave it."""
     t = F.col("text")
     rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return rows.select("doc_id", F.round(text.coverage(t, F.replace(t, F.lit("e "), F.lit("e"))), 9).alias("respaced"), F.round(text.coverage(t, F.substring(t, 1, 1000)), 9).alias("cut"))
+    return rows.select("doc_id", F.round(text.coverage(t, F.replace(t, F.lit("e "), F.lit("e"))), 9).alias("respaced"), F.round(text.coverage(t, F.replace(t, F.lit("an"), F.lit("na"))), 9).alias("changed"))
 
 
 _STUCK = r"""list_filter(range(1, 25), lambda u: ends_with(t, repeat(right(t, u::BIGINT), greatest(6, ceil(length(t) * 3 / (u * 5))::BIGINT))) AND NOT regexp_full_match(right(t, u::BIGINT), '\s*'))[1]"""
 
 
-@query(rf"""SELECT doc_id, CASE WHEN length(t) >= 200 THEN right(t, ({_STUCK})::BIGINT) END AS unit
-FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN left(text, 100) || repeat('E0', 200) ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
-def degenerate_text(spark, sf_dir):
-    """A third of the texts get an end as a stuck decoder leaves it, as its SQL has it; degenerate_text_whole takes texts as they are."""
-    stuck = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 100), F.lit("E0" * 200))).otherwise(F.col("text"))
-    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.stuck_unit(stuck).alias("unit"))
-
-
 @query(rf"""SELECT doc_id, CASE WHEN length(t) >= 200 THEN right(t, ({_STUCK})::BIGINT) END AS unit
 FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
-def degenerate_text_whole(spark, sf_dir):
+def degenerate_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.stuck_unit(F.col("text")).alias("unit"))
 
 
@@ -420,22 +425,10 @@ def strip_thinking(spark, sf_dir):
     return rows.select("conv_id", "turn", "role", text.without_thinking(F.expr(_ANSWER)).alias("answer"))
 
 
-_MARKED = "CASE event_id % 4 WHEN 0 THEN ' [No Text] ' WHEN 1 THEN 'Please attach ' || event_type || ' image' WHEN 2 THEN 'I cannot see the image' ELSE coalesce(props, '') END"
-
-
-@query(rf"""SELECT event_id, CASE WHEN lower(s) IN ('[no text]', '[notext]', 'no text', '') THEN '' ELSE s END AS reading,
-regexp_matches(x, '\b(no (image|video frame|picture)\b.*(provided|attached|been))|(please (attach|provide|upload).{{0,40}}(image|frame))|(i (cannot|can''t|am unable to) see (an|the|any) image)', 'is') AS refused
-FROM (SELECT event_id, x, regexp_replace(x, '^\s+|\s+$', '', 'g') AS s FROM (SELECT event_id, {_MARKED} AS x FROM events))""")
-def empty_markers_and_refusals(spark, sf_dir):
-    """Three quarters of the events get an answer of a model, as its SQL has it; markers_and_refusals_whole takes texts as they are."""
-    x = F.expr(_MARKED)
-    return _table(spark, sf_dir, "events").select("event_id", text.reading(x).alias("reading"), text.refuses(x).alias("refused"))
-
-
 @query(r"""SELECT doc_id, CASE WHEN lower(s) IN ('[no text]', '[notext]', 'no text', '') THEN '' ELSE s END AS reading,
 regexp_matches(x, '\b(no (image|video frame|picture)\b.*(provided|attached|been))|(please (attach|provide|upload).{0,40}(image|frame))|(i (cannot|can''t|am unable to) see (an|the|any) image)', 'is') AS refused
 FROM (SELECT doc_id, text AS x, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL)""")
-def markers_and_refusals_whole(spark, sf_dir):
+def empty_markers_and_refusals(spark, sf_dir):
     x = F.col("text")
     return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.reading(x).alias("reading"), text.refuses(x).alias("refused"))
 
@@ -460,7 +453,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", part(r"^[a-z]+://([^/?#]*)").alias("folder"), part(r"^[a-z]+://[^/?#]*/?([^?#]*)").alias("path"), "url")
 
 
-@query(rf"WITH {_FILES} SELECT CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) ELSE '' END AS root, count(*) AS files FROM (SELECT regexp_replace(path, '^/+', '') AS p FROM files) GROUP BY 1")
+@query(rf"WITH {_FILES} SELECT CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) ELSE '' END AS root, count(*) AS files, list_sort(list(path)) AS paths FROM (SELECT path, regexp_replace(path, '^/+', '') AS p FROM files) GROUP BY 1")
 def root_clusters(spark, sf_dir):
     return tree.clusters(_files(spark, sf_dir), "path")
 
@@ -470,7 +463,7 @@ def root_distribution(spark, sf_dir):
     return tree.root_distribution(_files(spark, sf_dir), "path")
 
 
-@query(rf"WITH {_FILES} SELECT path, count(*) AS mappings, min(folder) AS first_folder, max(folder) AS last_folder FROM files GROUP BY 1 HAVING count(*) > 1")
+@query(rf"WITH {_FILES} SELECT path, count(*) AS mappings, list_sort(list(folder)) AS folders FROM files GROUP BY 1 HAVING count(*) > 1")
 def path_collisions(spark, sf_dir):
     return tree.collisions(_files(spark, sf_dir), "path")
 
@@ -518,43 +511,55 @@ def basename_slug(spark, sf_dir):
     return rows.select("page_id", "base", text.base_slug(run).alias("stem"))
 
 
-_TREE = (("src/app.py", "src.util.text"), ("src/util/text.py", "os"), ("src/util/text.py", "src.util.missing"), ("src/util/loose.py", "numpy"), ("src/util/__init__.py", "src.util.text"), ("tools/run_all.py", "src.app"), ("tools/used.py", "tools.lost"), ("tools/other.py", "tools.used"))
-_TREE_SQL = "imports(dst_rel, module) AS (VALUES " + ", ".join(str(x) for x in _TREE) + r"""),
-names AS (SELECT DISTINCT array_to_string(p[1:i], '.') AS name FROM (SELECT string_split(replace(regexp_replace(dst_rel, '\.py$', ''), '/', '.'), '.') AS p FROM imports), range(1, 9) r(i) WHERE i <= len(p)),
-own AS (SELECT * FROM imports WHERE split_part(module, '.', 1) NOT IN ('os')),
-loose AS (SELECT DISTINCT dst_rel FROM imports WHERE NOT regexp_matches(dst_rel, '(^|/)(app|main|cli|run)\.py$|(^|/)(test_|run_)[^/]*$|__init__\.py$'))"""
+_MODULE = r"regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '(/|\.html)$', '')"
+_TREE_SQL = rf"""tree AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, {_MODULE} AS m, html FROM pages WHERE url IS NOT NULL),
+files AS (SELECT DISTINCT m || '.py' AS dst_rel FROM tree),
+imports AS (SELECT DISTINCT dst_rel, module FROM (
+    SELECT m || '.py' AS dst_rel, replace(lead(m) OVER (PARTITION BY host ORDER BY page_id), '/', '.') AS module FROM tree
+    UNION ALL SELECT m || '.py', split_part(m, '/', 1) || '.' || unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)) FROM tree) WHERE module IS NOT NULL),
+names AS (SELECT DISTINCT array_to_string(p[1:i], '.') AS name FROM (SELECT string_split(replace(regexp_replace(dst_rel, '\.py$', ''), '/', '.'), '.') AS p FROM files), range(1, 20) r(i) WHERE i <= len(p)),
+own AS (SELECT * FROM imports),
+loose AS (SELECT dst_rel FROM files WHERE NOT regexp_matches(dst_rel, '(^|/)(main|__main__|app|cli|conftest|run|manage|setup|wsgi|asgi)\.py$|(^|/)(test_|run_)[^/]*$|__init__\.py$'))"""
+
 
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages are the files of a tree. A file imports the next page of its host, and by its links names below its own root."""
+    from pyspark.sql import Window
 
-def _tree(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    imports = spark.createDataFrame(list(_TREE), "dst_rel string, module string")
-    files = imports.select("dst_rel").distinct()
+    m = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*/?([^?#]*)", 1), r"(/|\.html)$", "")
+    pages = _table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), m.alias("m"), "html")
+    dst = F.concat("m", F.lit(".py")).alias("dst_rel")
+    after = pages.select(dst, F.replace(F.lead("m").over(Window.partitionBy("host").orderBy("page_id")), F.lit("/"), F.lit(".")).alias("module")).where("module IS NOT NULL")
+    links = pages.select(dst, F.substring_index("m", "/", 1).alias("root"), F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1))).alias("link"))
+    imports = after.union(links.select("dst_rel", F.concat("root", F.lit("."), "link"))).distinct()
+    files = pages.select(dst).distinct()
     return files, imports, tree.importable(files)
 
 
 @query(f"WITH {_TREE_SQL} SELECT name FROM names")
 def module_parents(spark, sf_dir):
-    return _tree(spark)[2]
+    return _tree(spark, sf_dir)[2]
 
 
 @query(f"WITH {_TREE_SQL} SELECT dst_rel, module FROM own WHERE module NOT IN (SELECT name FROM names) AND split_part(module, '.', 1) IN (SELECT split_part(name, '.', 1) FROM names)")
 def unresolved_imports(spark, sf_dir):
-    _, imports, names = _tree(spark)
+    _, imports, names = _tree(spark, sf_dir)
     return tree.unresolved(imports, names)
 
 
 @query(f"WITH {_TREE_SQL} SELECT dst_rel FROM loose WHERE dst_rel NOT IN (SELECT dst_rel FROM own WHERE module IN (SELECT name FROM names))")
 def orphans_compat(spark, sf_dir):
-    return tree.orphans_compat(*_tree(spark))
+    return tree.orphans_compat(*_tree(spark, sf_dir))
 
 
 @query(rf"WITH {_TREE_SQL} SELECT dst_rel FROM loose WHERE replace(regexp_replace(dst_rel, '\.py$', ''), '/', '.') NOT IN (SELECT module FROM own WHERE module IN (SELECT name FROM names))")
 def orphans(spark, sf_dir):
-    return tree.orphans(*_tree(spark))
+    return tree.orphans(*_tree(spark, sf_dir))
 
 
 @query(f"WITH {_TREE_SQL} SELECT module, list_sort(list(DISTINCT dst_rel)) AS files FROM own WHERE module IN (SELECT name FROM names) GROUP BY 1")
 def import_index(spark, sf_dir):
-    _, imports, names = _tree(spark)
+    _, imports, names = _tree(spark, sf_dir)
     return tree.importers(imports, names)
 
 
@@ -573,12 +578,10 @@ def newest_run(spark, sf_dir):
     return cache.newest(runs, "run", "captioned")
 
 
-_URLS = ("http://127.0.0.1:8000", "http://host:8000/admin/ui", "https://host/api/v1/", "http://host/v1")
-
-
-@query("SELECT * FROM (VALUES ('http://127.0.0.1:8000', 'http://127.0.0.1:8000/v1'), ('http://host:8000/admin/ui', 'http://host:8000/v1'), ('https://host/api/v1/', 'https://host/api/v1'), ('http://host/v1', 'http://host/v1')) t(url, base)")
+@query(r"""SELECT page_id, CASE WHEN path IN ('', '/') OR starts_with(path, '/admin') THEN root || '/v1' ELSE root || regexp_replace(path, '/+$', '') END AS base
+FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL)""")
 def api_addresses(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in _URLS], "url string").select("url", text.api_base(F.col("url")).alias("base"))
+    return _table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", text.api_base(F.col("url")).alias("base"))
 
 
 @query()
@@ -599,8 +602,10 @@ def stitch_scroll_frames(spark, sf_dir):
     return stitching.stitch(shown.select("video", "frame_id", F.posexplode("part").alias("line_no", "line")), "video")
 
 
-@query()
+@query(rf"""WITH {_LINES} SELECT DISTINCT doc_id, regexp_extract(line, '[A-Za-z]+') AS module FROM rows WHERE regexp_matches(line, '[A-Za-z]')""")
 def extract_imports(spark, sf_dir):
-    """Code as a recording's text might hold it: each document's source and language as modules."""
-    code = F.concat(F.lit("import "), "source", F.lit(".a\nfrom "), "lang", F.lit(".b import c\nfrom . import d\n"))
-    return _table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.explode(text.python_imports(code)).alias("module"))
+    """Each line of a whole text as an import of its first word: code that mostly does not parse, as much that is read from a screen."""
+    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    words = F.filter(F.transform(text.lines(F.col("text")), lambda x: F.regexp_extract(x, "[A-Za-z]+", 0)), lambda x: x != "")
+    code = F.array_join(F.transform(words, lambda x: F.concat(F.lit("import "), x)), "\n")
+    return rows.select("doc_id", F.explode(text.python_imports(code)).alias("module"))

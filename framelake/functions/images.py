@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(width: int, height: int, most: int) -> tuple[int, int]:
-    """Size within `most`, the longer side first to reach it, fractions dropped."""
-    if max(width, height) <= most:
+def fit(width: int, height: int, most: int, nearest: bool = False) -> tuple[int, int]:
+    """Size within `most`, the longer side first to reach it; the other one's fraction is dropped, or rounded if `nearest`."""
+    longer = max(width, height)
+    if longer <= most:
         return width, height
-    return (most, int(height * most / width)) if width >= height else (int(width * most / height), most)
+    other = (lambda x: int(round(x * (most / longer)))) if nearest else (lambda x: int(x * most / longer))
+    return (most, other(height)) if width >= height else (other(width), most)
 
 
 def shrink(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -24,7 +26,8 @@ def shrink(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def gray(bgr: np.ndarray) -> np.ndarray:
-    return bgr[..., 0] * 0.114 + bgr[..., 1] * 0.587 + bgr[..., 2] * 0.299
+    """Brightness, rounded to whole numbers."""
+    return np.rint(bgr[..., 0] * 0.114 + bgr[..., 1] * 0.587 + bgr[..., 2] * 0.299)
 
 
 def gray_small(bgr: np.ndarray, side: int = 512) -> np.ndarray:
@@ -81,5 +84,30 @@ def similarity(a: np.ndarray, b: np.ndarray, window: int = 7, span: float = 255.
     return float(s.mean()), s
 
 
+class Look:
+    """What frames are compared by: the blurred brightness and the colours of the picture within 640, and its hash."""
+
+    def __init__(self, bgr: np.ndarray, side: int = 640):
+        w, h = fit(bgr.shape[1], bgr.shape[0], side, nearest=True)
+        small = np.rint(shrink(bgr, h, w)) if (h, w) != bgr.shape[:2] else bgr.astype(np.float64)
+        self.gray = np.rint(blurred(gray(small)))
+        self.hash = perceptual_hash(self.gray) & ((1 << 64) - 1)
+        self.colours = histogram(small)
+
+
+def png(bgr: np.ndarray) -> bytes:
+    """An image file of these pixels, without loss."""
+    import struct
+    import zlib
+
+    def part(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    height, width = bgr.shape[:2]
+    lines = np.zeros((height, 1 + 3 * width), dtype=np.uint8)
+    lines[:, 1:] = bgr[..., ::-1].reshape(height, -1)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
+
+
 def changed_area(map_: np.ndarray, least: float = 0.15) -> float:
     return float((1 - map_ > least).mean())

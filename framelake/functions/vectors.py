@@ -15,7 +15,7 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
+    n = F.greatest(norm(a), F.lit(1e-12))
     return F.transform(a, lambda x: x.cast("double") / n)
 
 

@@ -56,3 +56,24 @@ def put(cache: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 def rebuild_needed(vectors: DataFrame, total: int) -> bool:
     """A store is complete or built anew."""
     return vectors.count() < total
+
+
+def reusable(videos: DataFrame, runs: DataFrame, stem: str, marker: str, same: Column, fresh: Column) -> DataFrame:
+    """videos with `path` and `reused`: the newest run of the same stem that has the marker, if `same` holds for its metadata, else a fresh path.
+
+    runs: stem, name, path, the marker and what `same` looks at.
+    """
+    rest = [c for c in runs.columns if c != stem]
+    last = runs.where(F.col(marker)).groupBy(stem).agg(F.max_by(F.struct(*rest), "name").alias("run"))
+    found = videos.join(last, stem, "left").select(*videos.columns, "run.*")
+    fits = F.col("path").isNotNull() & F.coalesce(same, F.lit(False))
+    return found.select(*videos.columns, F.when(fits, F.col("path")).otherwise(fresh).alias("path"), fits.alias("reused"))
+
+
+def transcript_is_of(video: Column, size: Column, meta_video: Column, meta_size: Column) -> Column:
+    """Whether a transcript is of this video. Missing metadata, and a size that was not noted, are accepted."""
+    return meta_video.isNull() | ((meta_video == video) & F.coalesce(meta_size == size, F.lit(True)))
+
+
+def left_over(results: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    return results.join(taken.select(*keys), keys, "left_anti")

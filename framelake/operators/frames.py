@@ -1,19 +1,21 @@
 """Selecting frames: strides, gates that look back at the last frame kept, dense ids.
 
-What is kept depends on the last frame kept, so a video is folded in order. A group is one video, and its rows are a few
-numbers (time, signals), so a fold over its sorted array stays in the JVM; `keyframes_pandas` is the same by group in Python
-for signals that need more than numbers, such as images.
+What is kept depends on the last frame kept, so a video is folded in order, in a stream (`folds`). Signals are numbers, or the
+frames' pixels, which are compared by the kernels of `functions.images`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from framelake.functions import images
 from framelake.functions.text import timestamp
+from framelake.operators.folds import folded
 
 #: Thresholds of a change, and seconds between frames.
 SSIM, PHASH, HISTOGRAM, AREA = 0.97, 8, 0.90, 0.02
@@ -45,43 +47,91 @@ def indexed(rows: DataFrame, video: str, *order: str) -> DataFrame:
     return rows.withColumn("frame_index", F.row_number().over(Window.partitionBy(video).orderBy(*order)) - 1)
 
 
-def fold(frames: DataFrame, video: str, keep: Callable[[Column, Column], Column], order: tuple[str, ...], payload: tuple[str, ...]) -> DataFrame:
-    """Rows for which keep(last kept row, row) holds, the first always, with their dense frame_id."""
-    row = F.struct(*order, *payload)
-    grouped = frames.groupBy(video).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.slice("rows", 1, 1)
-    rest = F.slice(F.col("rows"), F.lit(2), F.size("rows"))
-    kept = F.aggregate(rest, first, lambda out, r: F.when(keep(F.element_at(out, -1), r), F.array_append(out, r)).otherwise(out))
-    return grouped.select(video, F.posexplode(kept).alias("frame_id", "r")).select(video, "frame_id", "r.*")
+def _kept(frames: DataFrame, video: str, order: tuple[str, ...], payload: tuple[str, ...], keep: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """The rows for which keep(last kept row, row) holds, the first always, with their dense frame_id."""
+    names = [video, *order, *payload]
+    rows = frames.select(*names)
+    fields = [rows.schema[video], T.StructField("frame_id", T.IntegerType()), *(rows.schema[c] for c in names[1:])]
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        last, n = state
+        if last is not None and not keep(last, row):
+            return state, None
+        return (row, n + 1), (row[0], n, *row[1:])
+
+    return folded(rows, video, names[1:], lambda: (None, 0), step, T.StructType(fields))
 
 
 def keyframes(frames: DataFrame, video: str, order: tuple[str, ...], seconds: str, signal: str | None = None, change: float = 0.0, least: float = LEAST_SECONDS, most: float = MOST_SECONDS) -> DataFrame:
-    """The gate over time alone, or with a change of `signal` by at least `change`."""
-    def keep(last: Column, row: Column) -> Column:
-        moved = F.abs(row[signal] - last[signal]) >= change if signal else F.lit(True)
-        return gate(row[seconds] - last[seconds], moved, least, most)
+    """The gate over time alone, or with a change of `signal` by at least `change`. A missing signal has not changed."""
+    payload = tuple(dict.fromkeys(x for x in (seconds, signal) if x and x not in order))
+    names = [video, *order, *payload]
+    at, value = names.index(seconds), names.index(signal) if signal else None
+
+    def keep(last: tuple, row: tuple) -> bool:
+        gap = row[at] - last[at]
+        moved = value is None or (row[value] is not None and last[value] is not None and abs(row[value] - last[value]) >= change)
+        return gap >= most or (gap >= least and moved)
 
-    return fold(frames, video, keep, order, tuple(dict.fromkeys(x for x in (seconds, signal) if x and x not in order)))
+    return _kept(frames, video, order, payload, keep)
 
 
 def without_static(frames: DataFrame, video: str, order: tuple[str, ...], signal: str, least: float) -> DataFrame:
     """Drops rows whose signal differs from the last kept one's by less than `least`."""
-    return fold(frames, video, lambda last, row: F.abs(row[signal] - last[signal]) >= least, order, (signal,))
-
-
-def keyframes_pandas(frames: DataFrame, video: str, order: list[str], compare: Callable, schema: str, least: float = LEAST_SECONDS, most: float = MOST_SECONDS) -> DataFrame:
-    """By group in Python: compare(last kept row, row) says whether the picture changed; rows have `seconds`."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for row in group.sort_values(order).itertuples(index=False):
-            gap = 0.0 if last is None else row.seconds - last.seconds
-            if last is None or gap >= most or (gap >= least and compare(last, row)):
-                kept.append(row)
-                last = row
-        out = pd.DataFrame(kept, columns=group.columns)
-        return out.assign(frame_id=range(len(out)))
-
-    return frames.groupBy(video).applyInPandas(run, schema)
+    value = 1 + len(order)
+    return _kept(frames, video, order, (signal,), lambda last, row: row[value] is not None and last[value] is not None and abs(row[value] - last[value]) >= least)
+
+
+#: Columns of an image of a frame: bytes in rows of blue, green and red.
+PIXELS = ("height", "width", "channels", "data")
+
+
+def _pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    image = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+    return image[..., :3] if channels >= 3 else np.repeat(image[..., :1], 3, axis=2)
+
+
+def keyframes_of_images(frames: DataFrame, video: str = "video", index: str = "frame_index", fps: str = "fps", least: float = LEAST_SECONDS, most: float = MOST_SECONDS) -> DataFrame:
+    """Frames (video, frame_index, fps and PIXELS) that differ from the last kept one by structure, hash or colours, with frame_id, timestamp and
+    size. A fps that is missing or 0 is 30. Pixels of the frames kept are results, so that they can be written."""
+    rows = frames.select(video, index, fps, *PIXELS)
+    kind = T.StructType([rows.schema[video], T.StructField("frame_id", T.IntegerType()), T.StructField(index, T.LongType()), T.StructField("timestamp", T.DoubleType()), *(rows.schema[c] for c in PIXELS)])
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        last, emitted, n = state
+        seconds = row[1] / max(row[2] or 30.0, 1e-6)
+        look = images.Look(_pixels(*row[3:]))
+        if last is not None:
+            gap = seconds - emitted
+            if not (gap >= most or (gap >= least and _moved(last, look))):
+                return state, None
+        return (look, seconds, n + 1), (row[0], n, row[1], round(seconds, 3), *row[3:])
+
+    return folded(rows, video, [index], lambda: (None, 0.0, 0), step, kind)
+
+
+def _moved(last: images.Look, look: images.Look) -> bool:
+    if last.gray.shape != look.gray.shape:
+        ssim, area = 1.0, 0.0
+    else:
+        ssim, parts = images.similarity(last.gray, look.gray)
+        area = images.changed_area(parts)
+    return (ssim < SSIM and area >= AREA) or (last.hash ^ look.hash).bit_count() >= PHASH or images.histogram_match(last.colours, look.colours) <= HISTOGRAM
+
+
+def without_static_images(frames: DataFrame, video: str = "video", index: str = "frame_index", fps: str = "fps", step_frames: int = 1, least: float = DUPLICATE_SSIM) -> DataFrame:
+    """Every step_frames-th frame, but those of the size of the last kept one that resemble it by at least `least`."""
+    rows = strided(frames.select(video, index, fps, *PIXELS), step_frames, index)
+    kind = T.StructType([rows.schema[video], T.StructField("frame_id", T.IntegerType()), T.StructField(index, T.LongType()), T.StructField("timestamp", T.DoubleType()), *(rows.schema[c] for c in PIXELS)])
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        last, n = state
+        gray = images.gray_small(_pixels(*row[3:]))
+        if last is not None and last.shape == gray.shape and images.similarity(last, gray)[0] >= least:
+            return state, None
+        return (gray, n + 1), (row[0], n, row[1], round(row[1] / max(row[2] or 30.0, 1e-6), 3), *row[3:])
+
+    return folded(rows, video, [index], lambda: (None, 0), step, kind)
 
 
 def frame_table(kept: DataFrame, seconds: str = "seconds", kind: str = "jpg") -> DataFrame:

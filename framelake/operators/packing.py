@@ -1,14 +1,19 @@
 """Packing ordered texts into budgets: greedy chunks, batches, samples, blocks of text.
 
-A greedy sum restarts with every chunk, so no running-sum window gives it; one group's sizes are folded in the JVM.
+A greedy sum restarts with every chunk, so no running-sum window gives it; a group's sizes are folded in a stream.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.functions import text
+from framelake.operators.folds import folded
+
+#: Fixed value: the mark of a text that was cut.
+CUT_MARK = "[... additional frames truncated for context limit ...]"
 
 
 def packed(units: DataFrame, group: str, order: list[str], cost: str, budget: int, most: int | None = None, joint: int = 0) -> DataFrame:
@@ -16,20 +21,16 @@ def packed(units: DataFrame, group: str, order: list[str], cost: str, budget: in
 
     joint: added to a chunk's cost after each unit, but not to the unit's own when it is tested.
     """
-    row = F.struct(*order, F.col(cost).cast("long").alias("cost"))
-    state = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.expr("cast(array() as array<int>)").alias("out"))
+    rows = units.select(group, *order, F.col(cost).cast("long").alias(cost))
+    last = len(order) + 1
 
-    def step(s: Column, r: Column) -> Column:
-        full = (s["n"] > 0) & (s["sum"] + r["cost"] > budget)
-        if most is not None:
-            full |= s["n"] >= most
-        chunk = s["chunk"] + full.cast("int")
-        return F.struct((F.when(full, F.lit(0).cast("long")).otherwise(s["sum"]) + r["cost"] + joint).alias("sum"), (F.when(full, 0).otherwise(s["n"]) + 1).alias("n"), chunk.alias("chunk"), F.array_append(s["out"], chunk).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        spent, n, chunk = state
+        if n and (spent + row[last] > budget or (most is not None and n >= most)):
+            spent, n, chunk = 0, 0, chunk + 1
+        return (spent + row[last] + joint, n + 1, chunk), (*row, chunk)
 
-    grouped = units.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    chunks = F.aggregate("rows", state, step, lambda s: s["out"])
-    rows = grouped.select(group, F.explode(F.arrays_zip("rows", chunks.alias("chunk_id"))).alias("z"))
-    return rows.select(group, *(F.col(f"z.rows.{c}") for c in order), F.col("z.rows.cost").alias(cost), F.col("z.chunk_id").alias("chunk_id"))
+    return folded(rows, group, [*order, cost], lambda: (0, 0, 0), step, T.StructType([*rows.schema.fields, T.StructField("chunk_id", T.IntegerType())]))
 
 
 def caption_units(captions: DataFrame, keys: list[str], stamp: str, caption: str, budget: int) -> DataFrame:
@@ -71,12 +72,12 @@ def block(captions: DataFrame, group: str, order: list[str], stamp: str, caption
     else:
         rows = rows.withColumn("fits", F.lit(True))
     whole = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct(*order, "entry")))).alias("rows"), F.bool_and("fits").alias("all"))
-    mark = F.when(F.col("all"), F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("[... additional frames truncated for context limit ...]")))
+    mark = F.when(F.col("all"), F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit(CUT_MARK)))
     return whole.select(group, F.array_join(F.concat(F.transform("rows", lambda r: r["entry"]), mark), "\n\n---\n\n").alias("block"))
 
 
 def statistics(units: DataFrame, group: str, tokens: str) -> DataFrame:
-    return units.groupBy(group).agg(F.sum(tokens).alias("total"), F.round(F.avg(tokens), 6).alias("mean"), F.max(tokens).alias("largest"), F.count("*").alias("n"))
+    return units.groupBy(group).agg(F.sum(tokens).alias("total"), F.avg(tokens).alias("mean"), F.max(tokens).alias("largest"), F.count("*").alias("n"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -84,7 +85,8 @@ def latest(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFram
     return rows.groupBy(*keys).agg(F.max(order).alias(order), F.max_by(value, order).alias(value))
 
 
-def latest_iteration(rows: DataFrame, k: int, fallback: int, order: str) -> DataFrame:
-    """Rows of iteration k; the last `fallback` rows if it has none."""
-    now = rows.where(F.col("iteration") == k)
-    return now if not now.isEmpty() else rows.orderBy(F.desc(order)).limit(fallback)
+def latest_iteration(rows: DataFrame, k: int, fallback: int, order: str, iteration: str = "iteration") -> DataFrame:
+    """Rows of iteration k; the last `fallback` rows if it has none. One plan: a subquery of one value decides."""
+    now = rows.where(F.col(iteration) == k)
+    last = rows.orderBy(F.desc(order)).limit(fallback).where(~now.exists())
+    return now.unionByName(last)

@@ -12,7 +12,7 @@ def ranked(rows: DataFrame, query: list[float], collection: str = "collection",
     """Every row with distance and score to one query vector, which is a literal: nothing is joined."""
     q = F.array(*(F.lit(float(x)) for x in query))
     d = vectors.cosine_distance(F.col(vector), q)
-    return rows.select(F.col(collection).alias("collection"), F.col(ident).alias("id"), F.round(d, 9).alias("distance")).select("*", F.round(vectors.score(F.col("distance")), 9).alias("score"))
+    return rows.select(F.col(collection).alias("collection"), F.col(ident).alias("id"), d.alias("distance")).select("*", vectors.score(F.col("distance")).alias("score"))
 
 
 def top(found: DataFrame, k: int) -> DataFrame:

@@ -16,7 +16,8 @@ CONFIDENCES = ("high", "medium", "low")
 
 
 def clusters(mappings: DataFrame, path: str = "dst_rel") -> DataFrame:
-    return mappings.groupBy(text.first_segment(F.col(path)).alias("root")).agg(F.count("*").alias("files"))
+    """Files by the first part of their path, and the paths themselves, sorted. A tree's listing is made for people, and is as long as it."""
+    return mappings.groupBy(text.first_segment(F.col(path)).alias("root")).agg(F.count("*").alias("files"), F.array_sort(F.collect_list(path)).alias("paths"))
 
 
 def root_distribution(mappings: DataFrame, path: str = "dst_rel") -> DataFrame:
@@ -24,8 +25,27 @@ def root_distribution(mappings: DataFrame, path: str = "dst_rel") -> DataFrame:
 
 
 def collisions(mappings: DataFrame, path: str = "dst_rel", folder: str = "folder") -> DataFrame:
-    """Paths that more than one mapping leads to."""
-    return mappings.groupBy(path).agg(F.count("*").alias("mappings"), F.min(folder).alias("first_folder"), F.max(folder).alias("last_folder")).where("mappings > 1")
+    """Paths that more than one mapping leads to, with the folders these come from, sorted. Paths of one mapping are dropped before folders are gathered."""
+    counts = mappings.groupBy(path).agg(F.count("*").alias("mappings")).where("mappings > 1")
+    return mappings.join(counts, path).groupBy(path, "mappings").agg(F.array_sort(F.collect_list(folder)).alias("folders"))
+
+
+def described(artifacts: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
+    """Artifacts with what their run's metadata says of them; defaults where it says nothing."""
+    held = artifacts.drop("content_type", "classification_confidence", "description").join(meta.select(*keys, "content_type", "classification_confidence", "description"), keys, "left")
+    return held.withColumns({"content_type": F.coalesce("content_type", F.lit("unknown")), "classification_confidence": F.coalesce("classification_confidence", F.lit(0.0)), "description": F.coalesce("description", F.lit(""))})
+
+
+def backfilled(answers: DataFrame, batch: DataFrame, pos: str = "pos") -> DataFrame:
+    """Mappings of a model's answers; folder and source that it leaves out are those of the artifact at the same position. Answers without a target are none."""
+    held = batch.select(pos, F.col("folder").alias("own_folder"), F.col("src_rel").alias("own_src"))
+    rows = answers.join(held, pos, "left").withColumns({"folder": F.coalesce("folder", "own_folder"), "src_rel": F.coalesce("src_rel", "own_src"), "confidence": F.coalesce("confidence", F.lit("low")), "reasoning": F.coalesce("reasoning", F.lit(""))})
+    return rows.where("dst_rel IS NOT NULL").drop("own_folder", "own_src")
+
+
+def unsure(mappings: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """Mappings for people to look at."""
+    return mappings.where(F.coalesce(F.col(confidence), F.lit("low")) != "high")
 
 
 def confidence_counts(mappings: DataFrame, confidence: str = "confidence") -> DataFrame:

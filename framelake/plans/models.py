@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -81,8 +82,8 @@ def embedded(rows: DataFrame, embedder: Embedder, body: str) -> DataFrame:
     return rows.withColumn("embedding", embed(F.col(body)))
 
 
-def require_vision(model_id: str) -> None:
+def require_vision(model: str) -> None:
     """Refuses ids that are known to take no images."""
-    name = "-".join(filter(None, "".join(c if c.isalnum() else " " for c in model_id.lower()).split()))
-    if any(x in name for x in ("deepseek", "coder")) and not any(x in name for x in ("vl", "vision", "omni", "janus", "ocr")):
-        raise ValueError(f"{model_id} takes no images; choose a model with vision")
+    name = "-".join(re.findall("[a-z0-9]+", model.lower()))
+    if any(x in name for x in text.TEXT_FAMILIES) and not any(x in name for x in text.VISION_MARKS + text.VISION_FAMILIES):
+        raise ValueError(f"{model} takes no images; choose a model with vision")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake import schemas
 from framelake.functions import text
@@ -104,15 +108,81 @@ def artifacts(spark: SparkSession, data: str, snippet: int = 400) -> DataFrame:
     return rows.select(parts[0].alias("folder"), F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "/").alias("src_rel"), "size", F.substring(body, 1, snippet).alias("snippet"), body.alias("source"))
 
 
-def videos(spark: SparkSession, folder: str) -> DataFrame:
-    low = F.lower("path")
-    return files(spark, folder, content=False).where(F.element_at(F.split(low, r"\."), -1).isin(*(s[1:] for s in schemas.VIDEO_SUFFIXES)))
+def has_suffix(path: Column, suffixes: tuple[str, ...]) -> Column:
+    return F.element_at(F.split(F.lower(path), r"\."), -1).isin(*(s.lstrip(".") for s in suffixes))
+
+
+def videos(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = schemas.VIDEO_SUFFIXES) -> DataFrame:
+    return files(spark, folder, content=False).where(has_suffix(F.col("path"), suffixes))
+
+
+def recordings(spark: SparkSession, folder: str) -> DataFrame:
+    return videos(spark, folder, schemas.RECORDING_SUFFIXES)
+
+
+def frame_images(spark: SparkSession, root: str, fps: float = 30.0) -> DataFrame:
+    """Frames decoded by another program: images in a folder for each video, named by their number. video, frame_index, fps and their pixels.
+
+    There is no video decoder here; what it would yield comes as files. Images that cannot be read are left out.
+    """
+    rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)
+    parts = F.split("image.origin", "/")
+    number = F.regexp_extract(F.element_at(parts, -1), r"(\d+)\.[A-Za-z]+$", 1)
+    folder = F.when(F.element_at(parts, -2) == "frames", F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
+    pixels = [F.col(f"image.{a}").alias(b) for a, b in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))]
+    return rows.where(number != "").select(folder.alias("video"), number.cast("long").alias("frame_index"), F.lit(float(fps or 30.0)).alias("fps"), *pixels)
+
+
+def video_metadata(paths: DataFrame, probe, path: str = "path") -> DataFrame:
+    """paths with `meta`, a struct of schemas.VIDEO_META: what probe(path) says, a dictionary as ffprobe's; null where it fails or knows nothing."""
+    kind = T.StructType([*paths.schema.fields, T.StructField("meta", schemas.VIDEO_META)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(meta=[_described(probe, p) for p in batch[path]])
+
+    return paths.mapInPandas(run, kind)
+
+
+def _described(probe, path: str) -> dict | None:
+    try:
+        found = probe(path) or {}
+    except Exception:  # noqa: BLE001  a program that is missing or fails: nothing is known
+        return None
+    stream = next((s for s in found.get("streams", ()) if s.get("codec_type") == "video"), None)
+    if stream is None:
+        return None
+    above, _, below = str(stream.get("r_frame_rate", "30/1")).partition("/")
+    rate = float(above) / float(below or 1) if float(below or 1) else 30.0
+    return {"duration": float(found.get("format", {}).get("duration", 0.0)), "fps": rate, "width": stream.get("width"), "height": stream.get("height"), "codec": stream.get("codec_name"), "total_frames": int(stream["nb_frames"]) if str(stream.get("nb_frames", "")).isdigit() else None}
+
+
+def transcript_meta(spark: SparkSession, run: str) -> DataFrame:
+    """The metadata of a finished transcript; no row if there is none."""
+    return json_array(spark, f"{run}/output/transcribe_meta.json", schemas.TRANSCRIPT_META)
+
+
+def frame_bytes(spark: SparkSession, run: str, name: str) -> DataFrame:
+    """The content of one frame's file; none for names that lead elsewhere."""
+    if "/" in name or ".." in name or not name:
+        return files(spark, run).limit(0)
+    return files(spark, f"{run}/frames").where(F.col("path") == name)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Mappings as sinks.manifest writes them, or a merge script's file: one JSON object a line."""
+    return spark.read.schema(schemas.MAPPINGS).json(path)
+
+
+def summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The cache of summaries; none if it is absent."""
+    return table(spark, path, schemas.SUMMARIES)
 
 
 def bounded_text(rows: DataFrame, suffixes: tuple[str, ...], most: int = 400_000) -> DataFrame:
     """name, text, truncated of files with allowed suffixes and names that stay within their folder."""
     name: Column = F.col("path")
-    fits = F.element_at(F.split(F.lower(name), r"\."), -1).isin(*(s.lstrip(".") for s in suffixes)) & ~name.rlike(r"(^/)|(^|/)\.\.(/|$)")
+    fits = has_suffix(name, suffixes) & ~name.rlike(r"(^/)|(^|/)\.\.(/|$)")
     return rows.where(fits).select(name.alias("name"), F.substring(F.col("content"), 1, most).cast("string").alias("text"), (F.col("size") > most).alias("truncated"))
 
 

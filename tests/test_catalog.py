@@ -1,6 +1,6 @@
 import pytest
 
-from framelake import catalog
+from framelake import catalog, catalog_records  # noqa: F401  importing adds queries
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"

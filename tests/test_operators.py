@@ -63,27 +63,27 @@ WORDS = [f"{a} {b} {c}" for a in ("amber", "violet", "copper", "silver", "indigo
 
 
 def test_clean_scroll_is_whole():
-    found, _ = stitching.stitch_lines(scroll(WORDS, 20, 3))
+    found = stitching.stitched(scroll(WORDS, 20, 3))
     assert recovered(WORDS, found, 0.9) == 1 and len(found) <= len(WORDS) + 2
 
 
 def test_repeated_frames_add_nothing():
     shown = scroll(WORDS, 12, 3)
     shown.insert(3, list(shown[2]))
-    found, _ = stitching.stitch_lines(shown)
+    found = stitching.stitched(shown)
     assert len(found) <= len(WORDS) + 2
 
 
 @pytest.mark.parametrize(("noise", "drop", "seed"), [(0.25, 0, 4), (0.15, 0.05, 11), (0.15, 0.05, 3)])
 def test_noisy_scroll(noise, drop, seed):
-    found, _ = stitching.stitch_lines(scroll(WORDS, 18, 3, noise, drop, seed), 0.8)
+    found = stitching.stitched(scroll(WORDS, 18, 3, noise, drop, seed), 0.8)
     assert recovered(WORDS, found, 0.75) >= 0.9 and len(found) <= 1.3 * len(WORDS)
 
 
-def test_canon_equals_the_plain_scan():
+def test_kinds_equal_the_plain_scan():
     draw = random.Random(2)
     lines = [w if draw.random() < 0.7 else w[:-2] + "zz" for w in WORDS * 2]
-    fast, firsts, plain = stitching.Canon(0.85), [], []
+    fast, firsts, plain = stitching.Kinds(0.85), [], []
     for x in lines:
         k = next((i for i, y in enumerate(firsts) if SequenceMatcher(None, x, y).ratio() >= 0.85), len(firsts))
         if k == len(firsts):
@@ -99,14 +99,78 @@ def test_document_drops_boilerplate(spark):
     assert "Running Title" not in found and "Page 3 of 9" not in found and recovered(WORDS, found, 0.9) == 1
 
 
-def test_fold_and_pandas_agree(spark):
+def test_keyframes_equal_a_plain_loop(spark):
     draw = random.Random(1)
-    rows = [(v, round(k * 0.3, 3), k, draw.random() * 10) for v in range(3) for k in range(60)]
+    rows = [(v, round(k * 0.3, 3), k, None if k % 17 == 5 else draw.random() * 10) for v in (0, 1, None) for k in range(60)]
     df = spark.createDataFrame(rows, "video long, seconds double, frame long, signal double")
-    fold = frames.keyframes(df, "video", ("seconds", "frame"), "seconds", "signal", 4.0)
-    by_group = frames.keyframes_pandas(df, "video", ["seconds", "frame"], lambda a, b: abs(a.signal - b.signal) >= 4.0, "video long, seconds double, frame long, signal double, frame_id long")
-    pick = lambda x: sorted((r.video, r.frame, r.frame_id) for r in x.select("video", "frame", "frame_id").collect())
-    assert pick(fold) == pick(by_group)
+    found = frames.keyframes(df, "video", ("seconds", "frame"), "seconds", "signal", 4.0)
+    wanted, last, n = [], {}, {}
+    for v, s, k, x in rows:
+        gap = s - last[v][0] if v in last else None
+        if v not in last or gap >= 4.0 or (gap >= 0.5 and x is not None and last[v][1] is not None and abs(x - last[v][1]) >= 4.0):
+            last[v], n[v] = (s, x), n.get(v, -1) + 1
+            wanted.append((v, k, n[v]))
+    assert sorted(map(repr, ((r.video, r.frame, r.frame_id) for r in found.collect()))) == sorted(map(repr, wanted))
+
+
+def test_folds_stream_a_large_group(spark):
+    """A million rows of one group pass through one task, with a state of a few numbers."""
+    rows = spark.range(1_000_000).select(F.lit(1).alias("g"), F.col("id").alias("pos"), F.lit(10).alias("cost"))
+    done = packing.packed(rows, "g", ["pos"], "cost", 100)
+    assert done.agg(F.max("chunk_id"), F.count("*"), F.max(F.col("chunk_id") - F.floor(F.col("pos") / 10))).first()[:] == (99_999, 1_000_000, 0)
+    shown = spark.range(300_000).select(F.lit(1).alias("video"), (F.col("id") / 10.0).alias("seconds"), F.col("id").alias("frame"))
+    assert frames.keyframes(shown, "video", ("seconds", "frame"), "seconds", least=1.0, most=1.0).count() == 30_000
+
+
+def picture(k, height=60, width=80):
+    """A still with a square that has moved by k pixels."""
+    image = np.full((height, width, 3), 30, np.uint8)
+    image[10:50, 5 + k : 35 + k] = (200, 120, 40)
+    return image
+
+
+def shots(spark, images_of):
+    rows = [("v", k, 10.0, *x.shape, x.tobytes()) for k, x in enumerate(images_of)]
+    return spark.createDataFrame(rows, "video string, frame_index long, fps double, height int, width int, channels int, data binary")
+
+
+def test_keyframes_of_images(spark):
+    still, moved = picture(0), picture(30)
+    found = frames.keyframes_of_images(shots(spark, [still] * 12 + [moved] * 3 + [still] * 50)).orderBy("frame_id").collect()
+    # The first; the move; the move back once half a second has passed; and one for four seconds without a change.
+    assert [(r.frame_id, r.frame_index, r.timestamp) for r in found] == [(0, 0, 0.0), (1, 12, 1.2), (2, 17, 1.7), (3, 57, 5.7)]
+    assert bytes(found[1].data) == moved.tobytes()
+
+
+def test_static_images_are_dropped(spark):
+    shown = [picture(0), picture(0), picture(20), picture(20), picture(20, 30, 40), picture(0), picture(0)]
+    found = frames.without_static_images(shots(spark, shown)).orderBy("frame_id").collect()
+    assert [(r.frame_id, r.frame_index) for r in found] == [(0, 0), (1, 2), (2, 4), (3, 5)]
+    assert [r.frame_index for r in frames.without_static_images(shots(spark, shown), step_frames=3).collect()] == [0, 3, 6]
+
+
+def test_frames_are_written_and_read(spark, tmp_path):
+    from framelake.sources import readers, sinks
+
+    kept = frames.without_static_images(shots(spark, [picture(0), picture(20)]))
+    rows = sinks.frame_images(kept, f"file://{tmp_path}/runs", 40).orderBy("frame_id").collect()
+    assert [(r.width, r.height, r.timestamp_str) for r in rows] == [(40, 30, "00:00:00.000"), (40, 30, "00:00:00.100")]
+    again = readers.frame_images(spark, f"{tmp_path}/runs").orderBy("frame_index").collect()
+    assert [(r.video, r.frame_index, r.height, r.width, r.channels) for r in again] == [("v", 0, 30, 40, 3), ("v", 1, 30, 40, 3)]
+    small = np.frombuffer(bytes(again[0].data), np.uint8).reshape(30, 40, 3)
+    assert np.abs(small.astype(int) - picture(0)[::2, ::2].astype(int)).mean() < 8
+    assert readers.frame_bytes(spark, f"{tmp_path}/runs/v", "frame_000001.png").count() == 1
+    assert readers.frame_bytes(spark, f"{tmp_path}/runs/v", "../x").count() == 0
+
+
+def test_lines_end_as_python_has_it(spark):
+    for x in ("a\x0bb\x0cc\x1cd\x1de\x1ef", "a\x85b\u2028c\u2029d", "a\r\n\r\nb\n", "\n", "", "x"):
+        assert one(spark, x, text.lines) == x.splitlines()
+
+
+def test_modules_of_code_that_does_not_parse(spark):
+    code = "import a.b, c\nfrom d.e import (\n  import g\nfrom . import h\nfrom .i import j\nfromage k\nimport\nfrom x import\nthis is prose"
+    assert one(spark, code, text.python_imports) == ["a.b", "d.e", "g"]
 
 
 def test_packing_keeps_order_and_budget(spark):

@@ -1,12 +1,10 @@
 """Queries that read whole texts, on fixtures with cases beyond any prefix."""
 
-import random
+import hashlib
 from collections import Counter
-
-from pyspark.sql import functions as F
+from difflib import SequenceMatcher
 
 from framelake import catalog
-from framelake.llm import language
 
 
 def documents(spark, tmp_path, rows):
@@ -24,41 +22,31 @@ def test_majority_votes_on_every_line(spark, tmp_path):
     for at, seen in ballots.items():
         times, first = Counter(x for x, _ in seen), {x: d for x, d in reversed(seen)}
         wanted.add((*at, max(times, key=lambda x: (times[x], len(x), -first[x])), len(seen)))
-    found = {(r.source, r.line_no, r.line, r.votes) for r in catalog.QUERIES["majority_line_whole"](spark, documents(spark, tmp_path, rows)).collect()}
+    found = {(r.source, r.line_no, r.line, r.votes) for r in catalog.QUERIES["majority_line"](spark, documents(spark, tmp_path, rows)).collect()}
     assert found == wanted and ("s", 4, "longer", 2) in found and ("u", 499, "l499", 1) in found
 
 
 def test_stuck_ends_show_in_every_text(spark, tmp_path):
     head = "Some clean words that a model wrote. "
     rows = [(3, head + "xy" * 200, "s"), (6, head * 9, "s"), (9, head * 4 + "ab c" * 300 + "  \n", "s"), (1, head + "E0" * 200, "s"), (12, "z" * 199, "s"), (15, "z" * 200, "s"), (18, head * 40 + "xy" * 20, "s"), (21, None, "s"), (24, " " * 400, "s"), (27, "q" * 100 + head * 3, "s")]
-    found = {r.doc_id: r.unit for r in catalog.QUERIES["degenerate_text_whole"](spark, documents(spark, tmp_path, rows)).collect()}
+    found = {r.doc_id: r.unit for r in catalog.QUERIES["degenerate_text"](spark, documents(spark, tmp_path, rows)).collect()}
     assert found == {3: "xy", 6: None, 9: "ab c", 1: "E0", 12: None, 15: "z", 18: None, 24: None, 27: None}
 
 
 def test_markers_and_refusals_show_in_every_text(spark, tmp_path):
     long = "A line of prose.\n" * 400
     rows = [(0, " [No Text]\n", "s"), (4, "kept", "s"), (1, " two \n", "s"), (2, long + "I cannot see the image", "s"), (3, "Please attach one more image", "s"), (5, "no text here", "s"), (6, None, "s"), (8, "No picture\nhas been sent", "s")]
-    found = {r.doc_id: (r.reading, r.refused) for r in catalog.QUERIES["markers_and_refusals_whole"](spark, documents(spark, tmp_path, rows)).collect()}
+    found = {r.doc_id: (r.reading, r.refused) for r in catalog.QUERIES["empty_markers_and_refusals"](spark, documents(spark, tmp_path, rows)).collect()}
     assert found == {0: ("", False), 4: ("kept", False), 1: ("two", False), 2: (long + "I cannot see the image", True), 3: ("Please attach one more image", True), 5: ("no text here", False), 8: ("No picture\nhas been sent", True)}
 
 
-def test_language_rejects_junk_of_any_length_and_keeps_prose(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language.learn(rows.where(~language.in_fold()))
-    draw = random.Random(3)
-    junk = [("".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)), n) for n in (40, 100, 200, 300, 512, 2000, 8000) for _ in range(40)]
-    found = language.identify(spark.createDataFrame(junk, "text string, n int"), model).groupBy("n").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()
-    assert all(r.share >= 0.75 for r in found), found
-    clean = language.identify(rows.where(language.in_fold() & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")), model)
-    assert clean.select(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.02
-
-
-def test_language_learns_from_every_sampled_document_and_from_any_place(spark):
-    draw = random.Random(4)
-    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
-    texts = [" ".join([f"mark{chr(97 + k // 26)}{chr(97 + k % 26)}"] * 30 + [word() for _ in range(30)] * 9 + [f"last{chr(97 + k // 26)}{chr(97 + k % 26)}"] * 300) for k in range(100)]
-    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
-    model = language.learn(rows, sample_docs=100, dict_bytes=20_000)["x"].decode()
-    assert 18_000 <= len(model.encode()) <= 20_000 and model.count("\n") == 99
-    assert 10 < sum(f"last{chr(97 + k // 26)}{chr(97 + k % 26)}" in model for k in range(100)) <= 100
-    assert language._shared_out([b"a" * 50, b"b", "é".encode() * 40], 41) == b"a" * 18 + b"\nb\n" + "é".encode() * 9
+def test_queries_without_sql(spark, tmp_path):
+    body = "\n".join(hashlib.sha1(str(k).encode()).hexdigest() for k in range(40))
+    rows = [(1, body, "en", "a", 1), (2, "A  b\n\na b\nzz", "en", None, 1), (3, None, None, "b", 1), (4, "", "fr", "b", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    norm = lambda x: " ".join(x.lower().split())
+    ratio = lambda a, b: float(a == b) if not a or not b else round(SequenceMatcher(None, a, b).ratio(), 9)
+    wanted = {(k, n, ratio(norm(a), norm(b))) for k, t, *_ in rows for p in [(t or "").split("\n")] for n, (a, b) in enumerate(zip(p, p[1:]))}
+    assert {tuple(r) for r in catalog.QUERIES["line_ratio"](spark, str(tmp_path)).collect()} == wanted
+    stitched = catalog.QUERIES["stitch_scroll_frames"](spark, str(tmp_path)).where("video = 1").orderBy("line_no").collect()
+    assert [r.line for r in stitched] == body.split("\n")
