@@ -342,6 +342,11 @@ def keep(df: DataFrame) -> DataFrame:
 
 def discard(kept: DataFrame) -> None:
     """Removes a table that keep() returned, once nothing will read it any more."""
-    at = next(k for k, (_, where) in enumerate(_HELD) if where == kept.kept_at)
+    remove(kept.kept_at)
+
+
+def remove(folder: str) -> None:
+    """Removes a folder that new_folder() named."""
+    at = next(k for k, (_, where) in enumerate(_HELD) if where == folder)
     _HELD.append(_HELD.pop(at))
     release(len(_HELD) - 1)
