@@ -269,7 +269,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, picks: int = PICKS, hubs_a_round: int = HUBS) -> DataFrame:
-    """One row a row of docs: doc_id, text_key (of the text) and class_id, the least id of its class."""
+    """One row a row of docs: doc_id, text_key (of the text), and class_id and class_key, those of its class's first member: of the least id, and of its texts the one of least key."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     sketched = keep(rows.mapInArrow(sketch(size, similarity, tables, picks), SKETCH))
     known = sketched.where("doc_id IS NOT NULL AND n > 0")
@@ -312,9 +312,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tested = tested.union(pairs)
             labels = merged(labels, verified(pairs))
         left = _open(members, labels)
-    named = classes.join(labels, "node", "left").select("words", F.coalesce("comp.doc_id", "node.doc_id").alias("class_id"))
-    found = known.select("doc_id", "text_key", "words").join(named, "words").select("doc_id", "text_key", "class_id")
-    rest = sketched.where("doc_id IS NULL OR n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"))
+    named = classes.join(labels, "node", "left").select("words", F.coalesce("comp", "node").alias("first"))
+    found = known.select("doc_id", "text_key", "words").join(named, "words").select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("class_key"))
+    rest = sketched.where("doc_id IS NULL OR n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"))
     return found.union(rest)
 
 
