@@ -382,3 +382,18 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hit.items", ","), 256).alias("items_sha256"),
         (F.col("hit.n_hit") > 0).alias("contaminated"),
     )
+
+
+OP10_SQL = r"""
+WITH item AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, len(w) AS size, array_to_string(w, ' ') AS win FROM item WHERE len(w) BETWEEN 1 AND 9
+    UNION SELECT item_id, 10, array_to_string(list_slice(w, s, s + 9), ' ') FROM item, unnest(range(1, greatest(len(w) - 8, 1))) r(s) WHERE len(w) >= 10),
+d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+'), []) AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM win),
+place AS (SELECT r, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS win FROM d, sizes, unnest(range(1, greatest(len(w) - size + 2, 1))) p(s)),
+hit AS (SELECT r, s, size, item_id FROM place JOIN win USING (size, win)),
+gone AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + size)) q(p) GROUP BY 1),
+ids AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN gone USING (r) LEFT JOIN ids USING (r)
+"""

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from framelake.llm.ann import op5_neighbours
-from framelake.llm.decontaminate import op10_decontaminate
+from framelake.llm.decontaminate import OP10_SQL, op10_decontaminate
 from framelake.llm.language import op9_language
 from framelake.llm.lm_score import op6_lm_score
 from framelake.llm.mixing import OP4_SQL, op4_mix
 from framelake.llm.neardup import op7_near_duplicates
 from framelake.llm.substring import OP1_SQL, op1_substring
-from framelake.llm.suffix import op2_suffix
+from framelake.llm.suffix import OP2_SQL, op2_suffix
 from framelake.llm.tokens import op3_tokens
-from framelake.llm.warc import op8_warc
+from framelake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_substring": op1_substring,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op1_substring": OP1_SQL, "op4_mix": OP4_SQL}
+SQL = {"op1_substring": OP1_SQL, "op2_suffix": OP2_SQL, "op4_mix": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL}

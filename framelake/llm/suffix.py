@@ -428,3 +428,19 @@ def remove(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, most: int
 def op2_suffix(spark, sf_dir: str) -> DataFrame:
     found = remove(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", "dedup.kept_sha256")
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, unnest(range(0, greatest(strlen(h) // 2 - 199, 0))) AS pos, h FROM d),
+k AS (SELECT r, pos, md5(substr(h, (2 * pos + 1)::BIGINT, 400)) AS key FROM s),
+hit AS (SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY key) AS n FROM k) WHERE n > 1),
+runs AS (SELECT r, pos, CASE WHEN pos <= max(pos) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 200 THEN 0 ELSE 1 END AS head FROM hit),
+numbered AS (SELECT r, pos, sum(head) OVER (PARTITION BY r ORDER BY pos) AS span FROM runs),
+spans AS (SELECT r, span, min(pos) AS a, max(pos) + 200 AS b FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT r, span, b AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS b FROM spans UNION ALL SELECT r, 0, 0, min(a) FROM spans GROUP BY 1),
+kept AS (SELECT d.r, string_agg(substr(h, (2 * g.a + 1)::BIGINT, (2 * (coalesce(g.b, strlen(h) // 2) - g.a))::BIGINT), '' ORDER BY g.a) AS h FROM d JOIN gaps g USING (r) GROUP BY 1),
+sums AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT doc_id, (strlen(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN kept k USING (r)
+"""

@@ -219,3 +219,13 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = Tru
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     chunks = read_archives(write_archives(table(spark, sf_dir, "pages")))
     return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("stated_digest") == F.col("payload_digest")).alias("digest_agrees"))
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha, size) AS first_id FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha, (k // 4 * 5 + 1)::BIGINT, 5))::INT) >> (15 - 5 * (k % 4))::INT) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+    CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id < page_id THEN first_id END AS refers_to, true AS digest_agrees
+FROM f
+"""
