@@ -2,6 +2,7 @@
 
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from framelake.llm import language
@@ -37,7 +38,6 @@ def test_near_duplicates_keep_one_of_each_class(spark):
     assert listed(found) == sorted(repr((k, t, len(t or ""))) for k, t in wanted + extra)
 
 
-@pytest.mark.xfail(strict=True, reason="a class is known by its smallest id alone, so near copies that share it look like two classes")
 def test_near_duplicates_keep_one_of_two_that_share_an_id(spark):
     words = [f"word{k}" for k in range(120)]
     found = pipeline.drop_near_duplicates(spark, frame(spark, [(4, " ".join(words)), (4, " ".join(words[:-1])), (9, " ".join(words[1:]))]), None)
@@ -75,3 +75,35 @@ def test_mix_stage_is_the_operator(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found, wanted = pipeline.mix_sources(spark, docs, None), mix(docs)
     assert found.columns == wanted.columns and sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+
+
+CLASHES = ["score", "lang_pred", "rejected", "repeats", "dedup_key", "dedup_spans", "span_id", "span_key", "decontaminated", "hit", "stay_id", "stay_key", "row_key", "row_id", "text_key", "parts", "cdf", "copies", "mix_source", "mix_salt", "row_salt", "SCORE_2", "a.b"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, name):
+    """Columns that are called as an operator's own come out as they went in; empty tables stay empty."""
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(pipeline.STAGES)[name]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(40)
+    clashing = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+    found = stage(spark, clashing, str(tmp_path))
+    assert found.columns[: len(clashing.columns)] == clashing.columns
+    rows = found.collect()
+    assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHES)
+    plain = stage(spark, docs, str(tmp_path)).select("doc_id", "text", "n_chars").collect()
+    assert sorted(map(repr, plain)) == sorted(repr(r) for r in found.select("doc_id", "text", "n_chars").collect())
+    assert stage(spark, clashing.limit(0), str(tmp_path)).count() == 0
+
+
+def test_run_leaves_only_its_result(spark):
+    import glob
+
+    from framelake.llm import common
+
+    since = common.mark()
+    done = pipeline.run(spark, "/root/testdata/sf0.001")
+    assert 100 < done.count() < 400
+    folders = [where for _, where in common._HELD[since:]]
+    assert len(folders) == 1 and glob.glob(folders[0].removeprefix("file://") + "/*.parquet")
+    common.release(since)
