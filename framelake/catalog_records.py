@@ -360,11 +360,10 @@ def frames_meta_roundtrip(spark, sf_dir):
     return meta.select("video", F.explode("frames").alias("f")).select("video", "f.frame_id", "f.path")
 
 
-@query("SELECT doc_id::VARCHAR AS video, text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AND text = trim(text) AND NOT ends_with(text, chr(10)) AND NOT starts_with(text, chr(10)) AND text <> ''")
+@query("SELECT item_id::VARCHAR AS video, trim(text) AS text FROM benchmark WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]{2,}')")
 def transcripts_roundtrip(spark, sf_dir):
-    """Transcripts written as one text a video, and read whole."""
-    plain = "NOT rlike(text, r'[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]') AND text = trim(text) AND NOT endswith(text, '\\n') AND NOT startswith(text, '\\n') AND text <> ''"
-    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL").where(plain).select(F.col("doc_id").cast("string").alias("video"), F.posexplode(text.lines(F.col("text"))).alias("line_no", "line"))
+    """Items written as the transcripts of videos, one text each, and read whole. Those with blank lines are left to the tests of lines."""
+    rows = _table(spark, sf_dir, "benchmark").where("text IS NOT NULL").where(~F.col("text").rlike(r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]{2,}"))
     where = folder(spark)
-    sinks.documents(rows, where)
+    sinks.documents(rows.select(F.col("item_id").cast("string").alias("video"), F.posexplode(text.lines(F.col("text"))).alias("line_no", "line")), where)
     return spark.read.schema("value string, video string").text(where, wholetext=True).select("video", F.regexp_replace("value", "\n+$", "").alias("text"))
