@@ -20,7 +20,7 @@ nats; the lower, the closer to the target.
 
 Defined cases: null and empty texts have no tokens and a null score; without target texts the target model is uniform over
 the vocabulary; rows that share an id are scored each by itself and are target texts together; rows without an id are
-never target texts; an empty table gives an empty table; columns named like the results, or lm_digest, are replaced.
+never target texts; an empty table gives an empty table; columns named like the results, lm_digest or lm_scored, are replaced.
 """
 
 from __future__ import annotations
@@ -193,7 +193,7 @@ def _gathered(rows: pa.Table) -> tuple[list[bytes], Group]:
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = WEIGHTS, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs with n_tokens, loss_target, loss_background (means, in nats) and score, their difference. `target` holds the ids of the target texts."""
-    docs = docs.drop(*RESULTS, "lm_digest")
+    docs = docs.drop(*RESULTS, "lm_digest", "lm_scored")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_groups, n_ranges = -(-size // group_bytes) or 1, -(-size // range_bytes) or 1
     own = [F.col(f"`{c}`") for c in docs.columns]
@@ -222,7 +222,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
     answered = grouped.groupBy("lm_group").applyInArrow(count, BLOCKS).groupBy("lm_range").applyInArrow(_answer, BLOCKS)
     scores = grouped.groupBy("lm_group").cogroup(answered.groupBy("lm_group")).applyInArrow(judge, SCORES)
-    joined = named.join(scores, F.col("lm_digest") == F.col("digest"), "left")
+    joined = named.join(scores.withColumnRenamed("digest", "lm_scored"), F.col("lm_digest") == F.col("lm_scored"), "left")
     return joined.select(*own, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), *RESULTS[1:])
 
 

@@ -120,17 +120,17 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, out: str = "dedup") -> DataFrame:
-    """docs' rows and columns (but for one named as `out`) with `out` = struct(n_words, n_removed, kept_sha256, kept_text).
+    """docs' rows and columns (but for those named as `out`, dedup_key, dedup_spans, dedup_id or dedup_text) with `out` = struct(n_words, n_removed, kept_sha256, kept_text).
 
     kept_sha256: of the kept words joined by one space; kept_text: the text without the removed words and what stands between
     them and the next word, the text itself if nothing is removed, null if not keep_text.
     """
-    docs = docs.drop(out, "dedup_key", "dedup_spans")
+    docs = docs.drop(out, "dedup_key", "dedup_spans", "dedup_id", "dedup_text")
     keyed = docs.withColumn("dedup_key", text_key(text_col))
     ids = F.col(f"`{id_col}`").cast("long")
     spans = removals(keyed.select(ids.alias("doc_id"), F.col("dedup_key").alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text")), window, gram)
-    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"), F.col("spans").alias("dedup_spans"))
-    joined = keyed.join(spans, (ids == F.col("span_id")) & (F.col("dedup_key") == F.col("span_key")), "left").drop("span_id", "span_key", "dedup_key")
+    spans = spans.select(F.col("doc_id").alias("dedup_id"), F.col("text_key").alias("dedup_text"), F.col("spans").alias("dedup_spans"))
+    joined = keyed.join(spans, (ids == F.col("dedup_id")) & (F.col("dedup_key") == F.col("dedup_text")), "left").drop("dedup_id", "dedup_text", "dedup_key")
     names = docs.columns
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, kind)])

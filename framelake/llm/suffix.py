@@ -389,7 +389,7 @@ def removals(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, most: in
 
 
 def remove(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, most: int = MOST, bucket: int = BUCKET, run_bytes: int = RUN_BYTES, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, out: str = "dedup") -> DataFrame:
-    """docs' rows and columns (but for one named as `out`) with `out` = struct(n_bytes, n_removed, n_spans, kept_sha256, kept)."""
+    """docs' rows and columns (but for those named as `out`, suffix_id, suffix_key or suffix_spans) with `out` = struct(n_bytes, n_removed, n_spans, kept_sha256, kept)."""
     docs = docs.drop(out, "suffix_id", "suffix_key", "suffix_spans")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     keyed = docs.withColumns({"suffix_id": ident, "suffix_key": text_key(text_col)})

@@ -517,3 +517,33 @@ def test_kept_tables_are_released(spark):
     assert glob.glob(f"{where}/*.parquet")
     common.release(since)
     assert not glob.glob(where)
+
+
+def test_texts_of_many_megabytes(spark):
+    """A text far over a piece's size, in the operators that take it in pieces."""
+    draw = np.random.default_rng(12)
+    words = [f"w{x}" for x in draw.integers(0, 10**9, 950_000).tolist()]
+    whole = " ".join(words)
+    assert len(whole) > 8 << 20
+    # Where the pieces of 4 MB meet, and the end of all.
+    near = [len(whole[: k << 22].split()) for k in (1, 2)]
+    parts = [words[n - 300 : n + 300] for n in near] + [words[-100:]]
+    df = spark.createDataFrame([(0, whole), *((k + 1, " ".join(p)) for k, p in enumerate(parts))], "doc_id long, text string")
+    removed = {r.doc_id: (r.dedup.n_words, r.dedup.n_removed) for r in substring.remove(df, keep_text=False).drop("text").collect()}
+    assert removed == {0: (950_000, 0), 1: (600, 600), 2: (600, 600), 3: (100, 100)}
+    sizes = [len(" ".join(p)) for p in parts]
+    found = {r.doc_id: (r.dedup.n_bytes, r.dedup.n_removed, r.dedup.n_spans) for r in suffix.remove(df, keep_text=False).drop("text").collect()}
+    # A part's neighbours in the whole may share a byte with its ends.
+    assert found[0][0] == len(whole) and found[0][2] == 3 and 0 <= found[0][1] - sum(sizes) <= 0
+    assert all(found[k + 1] == (n, n, 1) for k, n in enumerate(sizes))
+    bench = spark.createDataFrame([(k, " ".join(p[250:350])) for k, p in enumerate(parts[:2])], "item_id long, text string")
+    hit = {r.doc_id: (r.hit.n_words, r.hit.n_hit, r.hit["items"]) for r in decontaminate.scan(df, bench, keep_text=False).drop("text").collect()}
+    assert hit == {0: (950_000, 200, ["0", "1"]), 1: (600, 100, ["0"]), 2: (600, 100, ["1"]), 3: (100, 0, [])}
+    scored = {r.doc_id: (r.n_tokens, r.loss_background) for r in lm_score.score(df, df.where("doc_id = 1").select("doc_id")).drop("text").collect()}
+    ones, pairs, n = Counter(words), Counter(zip([None, *words], words)), 950_000 + sum(map(len, parts))
+    for p in parts:
+        ones.update(p)
+        pairs.update(zip([None, *p], p))
+    ones[None] = 4
+    loss = [-np.log(0.6 * pairs[a, b] / ones[a] + 0.35 * ones[b] / n + 0.05 / n) for a, b in zip([None, *words], words)]
+    assert scored[0] == (950_000, pytest.approx(np.mean(loss), rel=1e-9))
