@@ -59,7 +59,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated windows out of all but their first document; a text of which nothing is left goes. n_chars follows the text."""
-    held, moved = _aside(docs, "dedup_key", "dedup_spans", "span_id", "span_key")
+    held, moved = _aside(docs, "dedup_key", "dedup_spans", "dedup_id", "dedup_text")
     out = _free(held, "repeats")
     found = substring.remove(held, out=out)
     cut = F.col(f"{out}.n_removed") > 0
