@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -31,8 +32,11 @@ class Truncated(Exception):
     """The answer reached its ceiling."""
 
 
-def captioned(frames: DataFrame, model: VisionModel, max_tokens: int = 32_768, retry_tokens: int = 2_048, retries: int = 1) -> DataFrame:
-    """frames with caption. A frame is tried again at temperature 0 with fewer tokens; what still fails is an error marker."""
+def captioned(frames: DataFrame, model: VisionModel, max_tokens: int = 32_768, retry_tokens: int = 2_048, retries: int = 1, tasks: int | None = None, at_once: int = 1) -> DataFrame:
+    """frames with caption. A frame is tried again at temperature 0 with fewer tokens; what still fails is an error marker.
+
+    tasks: how many tasks share the frames; at_once: calls that a task has under way. Rows keep their own columns, so order is not lost.
+    """
     schema = T.StructType([*frames.schema.fields, T.StructField("caption", T.StringType())])
 
     def one(path: str) -> str:
@@ -47,11 +51,16 @@ def captioned(frames: DataFrame, model: VisionModel, max_tokens: int = 32_768, r
                 last = failed
         return f"[Error captioning frame: {last}]"
 
-    return _mapped(frames, schema, "caption", one)
+    return _mapped(frames.repartition(tasks) if tasks else frames, schema, "caption", one, at_once)
+
 
+def read(frames: DataFrame, model: VisionModel, max_tokens: int = 4_096, probe: str | None = None, at_once: int = 1) -> DataFrame:
+    """frames with ocr: fences and empty markers removed; a frame that fails reads as empty.
 
-def read(frames: DataFrame, model: VisionModel, max_tokens: int = 4_096) -> DataFrame:
-    """frames with ocr: fences and empty markers removed; a frame that fails reads as empty."""
+    probe: an image that is read first, on the driver; a model that fails on it, or has not seen it, is an error before any frame is tried.
+    """
+    if probe is not None and re.search("|".join(text.REFUSALS), said := model(probe, max_tokens, 0.0), re.IGNORECASE | re.DOTALL):
+        raise ValueError(f"the model takes no images: {said[:200]}")
     schema = T.StructType([*frames.schema.fields, T.StructField("ocr", T.StringType())])
 
     def one(path: str) -> str:
@@ -61,13 +70,14 @@ def read(frames: DataFrame, model: VisionModel, max_tokens: int = 4_096) -> Data
             return ""
 
     answer = text.reading(text.unfenced(F.col("ocr")))
-    return _mapped(frames, schema, "ocr", one).withColumn("ocr", F.when(text.refuses(answer), F.lit("")).otherwise(answer))
+    return _mapped(frames, schema, "ocr", one, at_once).withColumn("ocr", F.when(text.refuses(answer), F.lit("")).otherwise(answer))
 
 
-def _mapped(frames: DataFrame, schema: T.StructType, column: str, one: Callable[[str], str]) -> DataFrame:
+def _mapped(frames: DataFrame, schema: T.StructType, column: str, one: Callable[[str], str], at_once: int = 1) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{column: [one(p) for p in batch["path"]]})
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            for batch in batches:
+                yield batch.assign(**{column: list(pool.map(one, batch["path"]))})
 
     return frames.mapInPandas(run, schema)
 

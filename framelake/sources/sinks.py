@@ -133,6 +133,15 @@ def text_file(spark: SparkSession, body: str, path: str) -> None:
         out.close()
 
 
+def console_table(rows: DataFrame, most: int = 20, width: int = 60) -> str:
+    """The first rows as a table for a console; longer values are cut with a mark."""
+    found = rows.limit(most).collect()
+    cut = lambda x: (lambda t: t if len(t) <= width else t[: width - 3] + "...")("" if x is None else str(x).replace("\n", " "))
+    lines = [rows.columns, *([cut(x) for x in r] for r in found)]
+    wide = [max(len(line[k]) for line in lines) for k in range(len(rows.columns))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(line, wide, strict=True)).rstrip() for line in lines)
+
+
 def merged_tree(artifacts_: DataFrame, mappings: DataFrame, root: str) -> DataFrame:
     """Empties a folder and fills it with the artifacts (folder, src_rel, content), each where its mapping leads, or at its own path."""
     _removed(artifacts_.sparkSession, root)

@@ -236,3 +236,35 @@ def test_ingest_and_find_store_once(spark, tmp_path):
         assert found.count() == 3
         calls.append(log.read_text())
     assert calls[0] == calls[1]
+
+
+def test_models_are_called_at_once_and_in_their_rows(spark):
+    import time
+
+    shown = spark.createDataFrame([(k, f"p{k}") for k in range(30)], "frame_id long, path string").coalesce(1)
+
+    def slow(path, max_tokens, temperature):
+        time.sleep(0.1)
+        if path == "p7":
+            raise OSError("lost")
+        return f"of {path}"
+
+    began = time.time()
+    rows = {r.frame_id: r.caption for r in models.captioned(shown, slow, tasks=2, at_once=8).collect()}
+    assert rows == {k: f"of p{k}" if k != 7 else "[Error captioning frame: lost]" for k in range(30)} and time.time() - began < 20
+    assert [r.ocr for r in models.read(shown.limit(1), lambda *a: "```\nx\n```", probe="p").collect()] == ["x"]
+    with pytest.raises(ValueError, match="takes no images"):
+        models.read(shown, lambda *a: "I cannot see the image", probe="p")
+
+
+def test_vision_by_id():
+    for name in ("Qwen3-VL", "deepseek-ocr", "gemma-3-27b", "unknown", "nemotron-omni"):
+        models.require_vision(name)
+    for name in ("DeepSeek V3", "org/gpt-oss-20b", "GLM 5.1"):
+        with pytest.raises(ValueError):
+            models.require_vision(name)
+
+
+def test_console_table(spark):
+    rows = spark.createDataFrame([(1, "a\nb"), (2, None), (3, "x" * 20)], "n int, t string")
+    assert sinks.console_table(rows, 3, 10).split("\n") == ["n  t", "1  a b", "2", "3  xxxxxxx..."]
