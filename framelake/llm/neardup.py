@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import SPACED, U, WORD_BASE, WORD_BASE_2, Rolling, column, cut, find_words, hash_words, keep, mix, signed, slices, table, text_key
+from framelake.llm.common import SPACED, U, WORD_BASE, WORD_BASE_2, Rolling, column, cut, hash_words, keep, mix, signed, table, text_key, word_slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -116,25 +116,36 @@ def words_joined(data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         yield kept[a:b].strip(b" ")
 
 
+def documents_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Of each text its words' hashes and the digest of its words; long texts are read in pieces."""
+    row, parts, digest = 0, [np.zeros(0, dtype=U)], hashlib.sha256()
+    for rows, _, data, offsets, starts, ends, first in word_slices(texts, 0):
+        hashes = hash_words(data, starts, ends)
+        for k, (this, text) in enumerate(zip(rows.tolist(), words_joined(data, offsets), strict=True)):
+            if this != row:
+                yield np.concatenate(parts), digest.digest()
+                row, parts, digest = this, [np.zeros(0, dtype=U)], hashlib.sha256()
+            if first[k + 1] > first[k]:
+                digest.update(b" " + text if len(parts) > 1 else text)
+                parts.append(hashes[first[k] : first[k + 1]])
+    if len(texts):
+        yield np.concatenate(parts), digest.digest()
+
+
 def sketch(size: int, similarity: float, tables: int, picks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, offsets in slices(column(batch, "text")):
-                starts, ends, first = find_words(data, offsets)
-                words = hash_words(data, starts, ends)
-                digests = [hashlib.sha256(x).digest() for x in words_joined(data, offsets)]
-                keys, counts, n = [], [], []
-                for i in range(to - at):
-                    s = shingles(words[first[i] : first[i + 1]], size)
-                    mine = sketch_keys(labelled(s), similarity, tables, picks) if len(s) else np.zeros(0, dtype=U)
-                    keys.append(mine)
-                    counts.append(len(mine))
-                    n.append(len(s))
-                flat = pa.array(signed(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").slice(at, to - at), column(batch, "text_key").slice(at, to - at), pa.array(digests, pa.binary()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat)],
-                    ["doc_id", "text_key", "words", "n", "keys"],
-                )
+            digests, keys, n = [], [np.zeros(0, dtype=U)], []
+            for words, digest in documents_of(column(batch, "text")):
+                s = shingles(words, size)
+                keys.append(sketch_keys(labelled(s), similarity, tables, picks) if len(s) else np.zeros(0, dtype=U))
+                digests.append(digest)
+                n.append(len(s))
+            ends = np.cumsum([len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), column(batch, "text_key"), pa.array(digests, pa.binary()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(keys))))],
+                ["doc_id", "text_key", "words", "n", "keys"],
+            )
 
     return run
 
@@ -188,9 +199,8 @@ def alike(a: list[int], b: list[int], similarity: float = SIMILARITY) -> bool:
 
 
 def _sequence(text: str, size: int) -> list[int]:
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    starts, ends, _ = find_words(data, np.array([0, len(data)]))
-    return shingles(hash_words(data, starts, ends), size).tolist()
+    words, _ = next(documents_of(pa.array([text])))
+    return shingles(words, size).tolist()
 
 
 def _verify(size: int, similarity: float):
@@ -213,13 +223,9 @@ def _verify(size: int, similarity: float):
 def _shingle_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = column(batch, "node")
-            for at, to, data, offsets in slices(column(batch, "text")):
-                starts, ends, first = find_words(data, offsets)
-                words = hash_words(data, starts, ends)
-                found = [labelled(shingles(words[first[i] : first[i + 1]], size)) for i in range(to - at)]
-                rows = np.repeat(np.arange(at, to), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(rows)), pa.array(signed(np.concatenate(found)))], ["node", "h"])
+            found = [labelled(shingles(words, size)) for words, _ in documents_of(column(batch, "text"))]
+            rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([column(batch, "node").take(pa.array(rows)), pa.array(signed(np.concatenate([np.zeros(0, dtype=U), *found])))], ["node", "h"])
 
     return run
 
