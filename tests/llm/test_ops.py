@@ -547,3 +547,20 @@ def test_texts_of_many_megabytes(spark):
     ones[None] = 4
     loss = [-np.log(0.6 * pairs[a, b] / ones[a] + 0.35 * ones[b] / n + 0.05 / n) for a, b in zip([None, *words], words)]
     assert scored[0] == (950_000, pytest.approx(np.mean(loss), rel=1e-9))
+
+
+def test_documents_in_pieces(monkeypatch):
+    """Words and digests of long texts, read in pieces, are those of the whole."""
+    import pyarrow as pa
+
+    from framelake.llm import common
+
+    draw = random.Random(3)
+    rows = [None, "", "a b", "".join(draw.choice("abc   \n") for _ in range(5000)), " ", "z" * 900, "x y"]
+    whole = list(neardup.documents_of(pa.array(rows)))
+    plain = common.word_slices
+    monkeypatch.setattr(neardup, "word_slices", lambda texts, overlap: plain(texts, overlap, None, 50))
+    pieces = list(neardup.documents_of(pa.array(rows)))
+    assert len(whole) == len(pieces) == len(rows)
+    for t, (a, b), (c, d) in zip(rows, whole, pieces, strict=True):
+        assert (a == c).all() and b == d == hashlib.sha256(" ".join((t or "").split()).encode()).digest() and len(a) == len((t or "").split())
