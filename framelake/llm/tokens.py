@@ -17,6 +17,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,12 +80,13 @@ def count_tokens(text: Column, path: str, piece_chars: int = PIECE_CHARS, batch_
             totals = [0] * len(batch)
             waiting: list[tuple[int, str]] = []
             size = 0
-            for k, value in enumerate(batch):
+            for k, (value, n_bytes) in enumerate(zip(batch, pc.binary_length(batch).to_pylist(), strict=True)):
                 if not (whole := value.as_py()):
                     continue
-                for part in pieces(whole, piece_chars) if cuts else (whole,):
+                parts = list(pieces(whole, piece_chars)) if cuts and n_bytes > piece_chars else [whole]
+                for part in parts:
                     waiting.append((k, part))
-                    size += len(part.encode())
+                    size += n_bytes if len(parts) == 1 else len(part.encode())
                     if size >= batch_bytes:
                         for (row, _), n in zip(waiting, count([p for _, p in waiting]), strict=True):
                             totals[row] += n
