@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from framelake.llm.ann import op5_neighbours
 from framelake.llm.decontaminate import OP10_SQL, op10_decontaminate
+from framelake.llm.filter_audit import OP13_SQL, op13_filter_audit
 from framelake.llm.language import op9_language
 from framelake.llm.lm_score import op6_lm_score
 from framelake.llm.mixing import OP4_SQL, op4_mix
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
+    "op13_filter_audit": op13_filter_audit,
 }
-SQL = {"op1_substring": OP1_SQL, "op2_suffix": OP2_SQL, "op4_mix": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op1_substring": OP1_SQL, "op2_suffix": OP2_SQL, "op4_mix": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL, "op13_filter_audit": OP13_SQL}
