@@ -9,6 +9,7 @@ from framelake.llm.language import op9_language
 from framelake.llm.lm_score import op6_lm_score
 from framelake.llm.mixing import OP4_SQL, op4_mix
 from framelake.llm.neardup import op7_near_duplicates
+from framelake.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from framelake.llm.substring import OP1_SQL, op1_substring
 from framelake.llm.suffix import OP2_SQL, op2_suffix
 from framelake.llm.tokens import op3_tokens
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
-SQL = {"op1_substring": OP1_SQL, "op2_suffix": OP2_SQL, "op4_mix": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL, "op13_filter_audit": OP13_SQL}
+SQL = {"op1_substring": OP1_SQL, "op2_suffix": OP2_SQL, "op4_mix": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
