@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from framelake.llm.ann import op5_neighbours
+from framelake.llm.cover_tree import OP11_SQL, op11_cover_tree
 from framelake.llm.decontaminate import OP10_SQL, op10_decontaminate
 from framelake.llm.filter_audit import OP13_SQL, op13_filter_audit
 from framelake.llm.language import op9_language
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
+    "op11_cover_tree": op11_cover_tree,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
-SQL = {"op1_substring": OP1_SQL, "op2_suffix": OP2_SQL, "op4_mix": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
+SQL = {"op1_substring": OP1_SQL, "op2_suffix": OP2_SQL, "op4_mix": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontaminate": OP10_SQL, "op11_cover_tree": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
