@@ -49,7 +49,8 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     split = named.select("*", F.filter(F.split("text", WORD_GAPS), lambda w: w != "").alias("words"))
     narrow = keep(split.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("text_key"), *(c.alias(f) for f, c in failures(F.col("text"), F.col("words")).items())))
     copied = narrow.groupBy(F.col("text_key").alias("first_key")).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    firsts = copied.where("last_id > first_id").select("first_key", "first_id")
+    # Kept, so that the join exchanges both sides and can split a text that many rows share.
+    firsts = keep(copied.where("last_id > first_id").select("first_key", "first_id"))
     known = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     # A key for rows without id that no label has, different from text to text.
     ident = F.coalesce(F.col("doc_id").cast("string"), F.hex("text_key"))
