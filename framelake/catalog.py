@@ -346,8 +346,9 @@ def latest_iteration_fallback(spark, sf_dir):
 
 # Lines of documents; a source is a recording and its documents the frames.
 
-_WS = r"'^\s+|\s+$', '', 'g'"
-_NORM = r"lower(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'))"
+# White space as Unicode has it, spelled out here apart from the library's own class.
+_S = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NORM = rf"lower(regexp_replace(regexp_replace(line, '^{_S}+|{_S}+$', '', 'g'), '[ \t]+', ' ', 'g'))"
 _ENDS = r"'\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'"
 _LINES = f"""lined AS (SELECT doc_id, source, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT doc_id, source, regexp_split_to_array(text, {_ENDS}) AS p FROM documents WHERE text IS NOT NULL)),
 rows AS (SELECT doc_id, source, generate_subscripts(p, 1) - 1 AS line_no, unnest(p) AS line FROM lined)"""
@@ -362,7 +363,7 @@ def lines(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line_no", "line", text.line_norm(F.col("line")).alias("norm"))
 
 
-_BOILER = rf"""edges AS (SELECT DISTINCT doc_id, source, {_NORM} AS norm FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM rows) WHERE (line_no < 4 OR line_no > last - 4) AND trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''),
+_BOILER = rf"""edges AS (SELECT DISTINCT doc_id, source, {_NORM} AS norm FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM rows) WHERE (line_no < 4 OR line_no > last - 4) AND norm <> ''),
 total AS (SELECT source, count(*) AS total FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 4),
 boiler AS (SELECT source, norm, count(*) AS frames FROM edges JOIN total USING (source) GROUP BY source, norm, total HAVING count(*) >= greatest(3, floor(total * 0.05)))"""
 
@@ -380,8 +381,8 @@ def strip_boilerplate(spark, sf_dir):
     return stitching.without_boilerplate(_lines(spark, sf_dir), known, "source").select("doc_id", "line_no", "line")
 
 
-@query(rf"""WITH {_LINES}, b AS (SELECT doc_id, line_no, line, regexp_full_match(line, '\s*') AS blank FROM rows)
-SELECT doc_id, line_no::INT AS line_no, regexp_replace(line, '\s+$', '') AS line FROM (SELECT *, lag(blank, 1, false) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM b) WHERE NOT (blank AND before)""")
+@query(rf"""WITH {_LINES}, b AS (SELECT doc_id, line_no, line, regexp_full_match(line, '{_S}*') AS blank FROM rows)
+SELECT doc_id, line_no::INT AS line_no, regexp_replace(line, '{_S}+$', '') AS line FROM (SELECT *, lag(blank, 1, false) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM b) WHERE NOT (blank AND before)""")
 def collapse_blank_runs(spark, sf_dir):
     return stitching.blank_runs_collapsed(_lines(spark, sf_dir), ["doc_id"]).select("doc_id", "line_no", "line")
 
@@ -393,7 +394,7 @@ def majority_line(spark, sf_dir):
     return stitching.majority(_lines(spark, sf_dir), ["source", "line_no"], "line", "doc_id")
 
 
-_HAVE = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace({0}, '[ \t]+', '', 'g'), " + _ENDS.replace("{", "{{").replace("}", "}}") + r"), lambda x: x <> ''))"
+_HAVE = r"list_distinct(list_filter(list_transform(regexp_split_to_array({0}, " + _ENDS.replace("{", "{{").replace("}", "}}") + r"), lambda y: regexp_replace(y, '" + _S.replace("{", "{{").replace("}", "}}") + r"+', '', 'g')), lambda x: x <> ''))"
 
 
 @query(f"""WITH l AS (SELECT doc_id, {_HAVE.format("text")} AS a, {_HAVE.format("replace(text, 'e ', 'e')")} AS b, {_HAVE.format("replace(text, 'an', 'na')")} AS c FROM documents WHERE text IS NOT NULL)
@@ -405,11 +406,11 @@ def line_coverage(spark, sf_dir):
     return rows.select("doc_id", F.round(text.coverage(t, F.replace(t, F.lit("e "), F.lit("e"))), 9).alias("respaced"), F.round(text.coverage(t, F.replace(t, F.lit("an"), F.lit("na"))), 9).alias("changed"))
 
 
-_STUCK = r"""list_filter(range(1, 25), lambda u: ends_with(t, repeat(right(t, u::BIGINT), greatest(6, ceil(length(t) * 3 / (u * 5))::BIGINT))) AND NOT regexp_full_match(right(t, u::BIGINT), '\s*'))[1]"""
+_STUCK = rf"""list_filter(range(1, 25), lambda u: ends_with(t, repeat(right(t, u::BIGINT), greatest(6, ceil(length(t) * 3 / (u * 5))::BIGINT))) AND NOT regexp_full_match(right(t, u::BIGINT), '{_S}*'))[1]"""
 
 
 @query(rf"""SELECT doc_id, CASE WHEN length(t) >= 200 THEN right(t, ({_STUCK})::BIGINT) END AS unit
-FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
+FROM (SELECT doc_id, regexp_replace(text, '^{_S}+|{_S}+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
 def degenerate_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.stuck_unit(F.col("text")).alias("unit"))
 
@@ -417,17 +418,17 @@ def degenerate_text(spark, sf_dir):
 _ANSWER = "CASE conv_id % 4 WHEN 0 THEN '<think>' || left(text, 9) || '</think> ' || text WHEN 1 THEN left(text, 9) || '</think>' || text WHEN 2 THEN text || '<think>' || left(text, 9) ELSE text END"
 
 
-@query(rf"""SELECT conv_id, turn, role, regexp_replace(CASE WHEN contains(y, '</think>') THEN substr(y, (instr(y, '</think>') + 8)::BIGINT) WHEN contains(y, '<think>') THEN split_part(y, '<think>', 1) ELSE y END, '^\s+|\s+$', '', 'g') AS answer
-FROM (SELECT conv_id, turn, role, regexp_replace({_ANSWER}, '<think>.*?</think>\s*', '', 'gs') AS y FROM conversations WHERE text IS NOT NULL)""")
+@query(rf"""SELECT conv_id, turn, role, regexp_replace(CASE WHEN contains(y, '</think>') THEN substr(y, (instr(y, '</think>') + 8)::BIGINT) WHEN contains(y, '<think>') THEN split_part(y, '<think>', 1) ELSE y END, '^{_S}+|{_S}+$', '', 'g') AS answer
+FROM (SELECT conv_id, turn, role, regexp_replace({_ANSWER}, '<think>.*?</think>{_S}*', '', 'gs') AS y FROM conversations WHERE text IS NOT NULL)""")
 def strip_thinking(spark, sf_dir):
     """Turns dressed up with thinking tags, by their conversation."""
     rows = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     return rows.select("conv_id", "turn", "role", text.without_thinking(F.expr(_ANSWER)).alias("answer"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN lower(s) IN ('[no text]', '[notext]', 'no text', '') THEN '' ELSE s END AS reading,
-regexp_matches(x, '\b(no (image|video frame|picture)\b.*(provided|attached|been))|(please (attach|provide|upload).{0,40}(image|frame))|(i (cannot|can''t|am unable to) see (an|the|any) image)', 'is') AS refused
-FROM (SELECT doc_id, text AS x, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL)""")
+@query(rf"""SELECT doc_id, CASE WHEN lower(s) IN ('[no text]', '[notext]', 'no text', '') THEN '' ELSE s END AS reading,
+regexp_matches(x, '\b(no (image|video frame|picture)\b.*(provided|attached|been))|(please (attach|provide|upload).{{0,40}}(image|frame))|(i (cannot|can''t|am unable to) see (an|the|any) image)', 'is') AS refused
+FROM (SELECT doc_id, text AS x, regexp_replace(text, '^{_S}+|{_S}+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL)""")
 def empty_markers_and_refusals(spark, sf_dir):
     x = F.col("text")
     return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.reading(x).alias("reading"), text.refuses(x).alias("refused"))

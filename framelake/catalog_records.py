@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake import schemas
-from framelake.catalog import _FILES, _STAMP, _files, _found, _stamped, _table, query
+from framelake.catalog import _ENDS, _FILES, _S, _STAMP, _files, _found, _stamped, _table, query
 from framelake.functions import text, values
 from framelake.operators import cache, frames, jobs, tree
 from framelake.sources import readers, sinks
@@ -80,7 +80,7 @@ def unfenced_answers(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.unfenced(fenced).alias("body"))
 
 
-@query(r"SELECT doc_id, substr(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' '), 1, 100) AS line FROM documents WHERE text IS NOT NULL")
+@query(rf"SELECT doc_id, substr(replace(regexp_replace(text, '^{_S}+|{_S}+$', '', 'g'), chr(10), ' '), 1, 100) AS line FROM documents WHERE text IS NOT NULL")
 def summary_lines(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.summary_line(F.col("text")).alias("line"))
 
@@ -95,9 +95,15 @@ def result_previews(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text"), 120).alias("preview"))
 
 
-@query("SELECT page_id, 'data:' || CASE WHEN lower(url) LIKE '%.png' THEN 'image/png' WHEN regexp_matches(lower(url), '\\.jpe?g$') THEN 'image/jpeg' ELSE 'application/octet-stream' END || ';base64,' || to_base64(encode(html)) AS data FROM pages WHERE html IS NOT NULL")
+_IMAGE = "url || CASE page_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.webp' WHEN 3 THEN '.Jpeg' WHEN 4 THEN '.tiff' ELSE '' END"
+
+
+@query(f"""SELECT page_id, 'data:image/' || CASE WHEN regexp_matches(lower(path), '[^/]\\.png$') THEN 'png' WHEN regexp_matches(lower(path), '[^/]\\.webp$') THEN 'webp' ELSE 'jpeg' END || ';base64,' || to_base64(encode(html)) AS data
+FROM (SELECT page_id, html, {_IMAGE} AS path FROM pages WHERE html IS NOT NULL)""")
 def data_urls(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.replace(text.data_url(F.col("html").cast("binary"), F.coalesce("url", F.lit(""))), F.lit("\r\n"), F.lit("")).alias("data"))
+    """Pages as images of several suffixes."""
+    data = text.data_url(F.col("html").cast("binary"), F.coalesce(F.expr(_IMAGE), F.lit("")))
+    return _table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.replace(data, F.lit("\r\n"), F.lit("")).alias("data"))
 
 
 @query(r"""SELECT event_id, regexp_extract(line, '(\d+)/\d+', 1)::INT AS done, regexp_extract(line, '\d+/(\d+)', 1)::INT AS total, regexp_extract(line, '([\d.]+)\s*s/', 1)::DOUBLE AS seconds_each
@@ -320,7 +326,7 @@ def artifacts_roundtrip(spark, sf_dir):
     made = _table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.concat(F.lit("run"), (F.col("page_id") % 7).cast("string")).alias("folder"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.col("html").alias("content"), F.lit("gui_demo").alias("content_type"), F.lit("page").alias("description"))
     where = folder(spark)
     sinks.artifacts(made, where).count()
-    return readers.artifacts(spark, where).drop("source")
+    return readers.artifacts(spark, where)
 
 
 @query("SELECT 'run' || (page_id % 7)::VARCHAR AS run, count(*) FILTER (page_id % 2 = 0) > 0 AS has_frames, count(*) FILTER (page_id % 2 = 1) > 0 AS has_output FROM pages WHERE html IS NOT NULL GROUP BY 1")
@@ -343,12 +349,18 @@ def videos_listed(spark, sf_dir):
     return found.join(narrow, "path", "left").select("path", "size", F.coalesce("recording", F.lit(False)).alias("recording"))
 
 
-@query("SELECT page_id::VARCHAR || '.html' AS name, substr(html, 1, 3000) AS text, length(html) > 3000 AS truncated FROM pages WHERE html IS NOT NULL AND octet_length(encode(html)) = length(html)")
+# The first 3000 bytes in hexadecimal; of a character that they cut nothing is left but a sign for it.
+_HEAD = "regexp_replace(substr(hex(encode(html)), 1, 6000), '([C-F][0-9A-F]|[EF][0-9A-F][89AB][0-9A-F]|F[0-9A-F][89AB][0-9A-F][89AB][0-9A-F])$', 'EFBFBD')"
+
+
+@query(f"""SELECT page_id::VARCHAR || '.html' AS name, CASE WHEN bytes > 3000 THEN decode(unhex({_HEAD})) ELSE html END AS text, bytes > 3000 AS truncated, bytes AS size
+FROM (SELECT page_id, html, octet_length(encode(html)) AS bytes FROM pages WHERE html IS NOT NULL)""")
 def bounded_texts(spark, sf_dir):
-    """A view of text files that shows no more than so many bytes of one."""
-    rows = _table(spark, sf_dir, "pages").where("html IS NOT NULL AND octet_length(html) = length(html)")
-    files_ = rows.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"), F.octet_length("html").alias("size"))
-    return readers.bounded_text(files_, (".html",), 3000)
+    """A view of text files that shows no more than so many bytes of one, of all pages written as files."""
+    where = folder(spark)
+    rows = _table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    sinks.tree(rows.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("dst_rel"), F.col("html").alias("content")), where).count()
+    return readers.bounded_text(readers.heads(spark, where, 3000), (".html",), 3000)
 
 
 @query("SELECT user_id::VARCHAR AS video, event_id AS frame_id, event_type AS path FROM events")
@@ -360,10 +372,20 @@ def frames_meta_roundtrip(spark, sf_dir):
     return meta.select("video", F.explode("frames").alias("f")).select("video", "f.frame_id", "f.path")
 
 
-@query("SELECT item_id::VARCHAR AS video, trim(text) AS text FROM benchmark WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]{2,}')")
+@query(rf"SELECT item_id::VARCHAR AS video, trim(array_to_string(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END, chr(10)), ' ') AS text FROM (SELECT item_id, regexp_split_to_array(text, {_ENDS}) AS p FROM benchmark WHERE text IS NOT NULL)")
 def transcripts_roundtrip(spark, sf_dir):
-    """Items written as the transcripts of videos, one text each, and read whole. Those with blank lines are left to the tests of lines."""
-    rows = _table(spark, sf_dir, "benchmark").where("text IS NOT NULL").where(~F.col("text").rlike(r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]{2,}"))
+    """All items written as the transcripts of videos, one text each, and read whole."""
+    rows = _table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
     where = folder(spark)
     sinks.documents(rows.select(F.col("item_id").cast("string").alias("video"), F.posexplode(text.lines(F.col("text"))).alias("line_no", "line")), where)
-    return spark.read.schema("value string, video string").text(where, wholetext=True).select("video", F.regexp_replace("value", "\n+$", "").alias("text"))
+    return spark.read.schema("value string, video string").text(where, wholetext=True).select("video", F.regexp_replace("value", "\n$", "").alias("text"))
+
+
+@query("""SELECT user_id::VARCHAR AS video, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS frame_index, event_id % 256 AS light, 8 AS width FROM events""")
+def y4m_roundtrip(spark, sf_dir):
+    """Events as frames of one gray each, written as uncompressed videos and read by the source of videos."""
+    shades = F.unhex(F.repeat(F.lpad(F.hex(F.col("event_id") % 256), 2, "0"), F.lit(8 * 4)))
+    rows = frames.indexed(_table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select(F.col("user_id").cast("string").alias("video"), F.col("frame_index").cast("long").alias("frame_index"), F.lit(25.0).alias("fps"), F.lit(4).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), shades.alias("data"))
+    where = folder(spark)
+    sinks.y4m(rows, where).count()
+    return readers.frames_of_videos(spark, where).select("video", "frame_index", F.conv(F.hex(F.substring("data", 32, 1)), 16, 10).cast("long").alias("light"), "width")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from framelake import schemas
 from framelake.functions import text
+from framelake.sources import datasource
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -99,13 +100,38 @@ def runs(spark: SparkSession, data: str) -> DataFrame:
     return found.groupBy("run").agg(F.max("modified").alias("modified"), *flags).orderBy(F.desc("modified"), F.desc("run"))
 
 
+def heads(spark: SparkSession, root: str, most: int, begins: str = "", ends: str = "") -> DataFrame:
+    """path (below root), size, modified and the first `most` bytes of the files under a folder whose paths begin and end so: no more of them is read."""
+    return datasource.heads(spark, root, most, begins=begins, ends=ends)
+
+
+def frames_of_videos(spark: SparkSession, root: str, names: list[str] | None = None, first: int = 0, last: int | None = None, share_bytes: int = datasource.SHARE_BYTES) -> DataFrame:
+    """Frames of the uncompressed videos (Y4M) under a folder, as frame_images has them: of the videos named, from frame `first` to before `last`. No
+    other video is opened, and no other frame of a large one read."""
+    return datasource.videos(spark, root, share_bytes, names=names, low=first, high=last)
+
+
 def artifacts(spark: SparkSession, data: str, snippet: int = 400) -> DataFrame:
-    """Files of all runs' output folders but their metadata, with the first characters."""
-    rows = files(spark, data)
+    """Files of all runs' output folders but their metadata, with the first characters, for which the first bytes are read."""
+    # A character has four bytes at most; one that is cut off at the end is left out of the snippet.
+    return _outputs(heads(spark, data, 4 * snippet)).select("folder", "src_rel", "size", F.substring(F.try_validate_utf8(_whole_characters(F.col("content"))), 1, snippet).alias("snippet"))
+
+
+def sources(spark: SparkSession, data: str) -> DataFrame:
+    """The same files with all their text; null for those that are no text."""
+    return _outputs(files(spark, data)).select("folder", "src_rel", F.try_validate_utf8(F.col("content").cast("string")).alias("source"))
+
+
+def _outputs(rows: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
-    rows = rows.where((F.size(parts) > 2) & (parts[1] == "output") & (text.basename(F.col("path")) != "reconstruction_meta.json"))
-    body = F.try_validate_utf8(F.col("content").cast("string"))
-    return rows.select(parts[0].alias("folder"), F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "/").alias("src_rel"), "size", F.substring(body, 1, snippet).alias("snippet"), body.alias("source"))
+    found = rows.where((F.size(parts) > 2) & (parts[1] == "output") & (text.basename(F.col("path")) != "reconstruction_meta.json"))
+    return found.withColumns({"folder": parts[0], "src_rel": F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "/")})
+
+
+def _whole_characters(content: Column) -> Column:
+    """Bytes as text, without the beginning of a character at their end."""
+    cut = F.regexp_extract(F.hex(content), "([C-F].|[EF].[89AB].|F.[89AB].[89AB].)$", 1)
+    return F.substring(content, F.lit(1), F.length(content) - F.length(cut) / 2).cast("string")
 
 
 def has_suffix(path: Column, suffixes: tuple[str, ...]) -> Column:
@@ -180,10 +206,12 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bounded_text(rows: DataFrame, suffixes: tuple[str, ...], most: int = 400_000) -> DataFrame:
-    """name, text, truncated of files with allowed suffixes and names that stay within their folder."""
+    """name, text, truncated, size of files (path, size, content or its first `most` bytes) with allowed suffixes and names that stay within their folder.
+
+    Bytes that are no text become signs for it."""
     name: Column = F.col("path")
     fits = has_suffix(name, suffixes) & ~name.rlike(r"(^/)|(^|/)\.\.(/|$)")
-    return rows.where(fits).select(name.alias("name"), F.substring(F.col("content"), 1, most).cast("string").alias("text"), (F.col("size") > most).alias("truncated"))
+    return rows.where(fits).select(name.alias("name"), F.make_valid_utf8(F.substring(F.col("content"), 1, most).cast("string")).alias("text"), (F.col("size") > most).alias("truncated"), "size")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

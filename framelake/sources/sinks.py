@@ -174,6 +174,46 @@ def frame_images(frames: DataFrame, root: str, most: int = 1280) -> DataFrame:
     return found.withColumn("timestamp_str", text.timestamp(F.col("timestamp")))
 
 
+def y4m(frames: DataFrame, root: str) -> DataFrame:
+    """Writes frames (video, frame_index, fps, height, width, channels, data) as one uncompressed video each, in order, and returns video, frames.
+
+    A video streams through one task, a frame at a time. All its frames must be of the first one's size.
+    """
+    from framelake.sources import datasource
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        now, out, part, n, shape, done = None, None, "", 0, None, []
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                store.move(part, f"{base}/{now}.y4m")
+                done.append((now, n))
+
+        for batch in batches:
+            for video, _, fps, *pixels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None or video != now:
+                    close()
+                    now, n, shape, part = video, 0, pixels[:3], f"{base}/{video}.{uuid4().hex}.part"
+                    store.create_dir(part.rpartition("/")[0], recursive=True)
+                    out = store.open_output_stream(part)
+                    out.write(datasource.y4m_header(pixels[1], pixels[0], pixels[2], fps or 30.0))
+                if pixels[:3] != shape:
+                    raise ValueError(f"frames of {video} differ in size")
+                out.write(datasource.y4m_frame(*pixels))
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["video", "frames"])
+            done.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["video", "frames"])
+
+    rows = frames.select(F.col("video").cast("string").alias("video"), "frame_index", "fps", "height", "width", "channels", "data").where(trees.safe_path(F.col("video")).isNotNull())
+    return rows.repartition("video").sortWithinPartitions("video", "frame_index").mapInArrow(run, "video string, frames long")
+
+
 def _whole(store, path: str, body: bytes) -> None:
     """A file appears under its name only when it is whole, so that a repeated task does no harm."""
     store.create_dir(path.rpartition("/")[0], recursive=True)

@@ -47,6 +47,37 @@ def test_lines_and_slug(spark):
     assert one(spark, "import a.b\nfrom c import (", text.python_imports) == ["a.b", "c"]
 
 
+ODD_SPACES = "\xa0\u3000 \t\x85\x1f"
+
+
+def test_white_space_is_that_of_unicode(spark):
+    for ends in (ODD_SPACES, "\u2003\u202f", " \x0b", ""):
+        x = f"{ends}A\t \u3000b{ends}"
+        assert one(spark, x, text.strip) == x.strip() and one(spark, x, text.line_norm) == stitching.plain(x)
+        assert one(spark, f"<think>a</think>{ends}b{ends}", text.without_thinking) == "b"
+    rows = [(1, 0, 0, "\xa0"), (1, 0, 1, "\u3000\t"), (1, 0, 2, "x\u2009\xa0")]
+    found = stitching.blank_runs_collapsed(spark.createDataFrame(rows, "video long, frame_id int, line_no int, line string"), ["video", "frame_id"])
+    assert sorted(r.line for r in found.collect()) == ["", "x"]
+
+
+def test_coverage_by_hand(spark):
+    def plain(a, b):
+        have = lambda t: {"".join(y.split()) for y in t.splitlines() if y.strip()}
+        return sum(x in have(b) for x in have(a)) / len(have(a)) if have(a) else 1.0
+
+    draw = random.Random(5)
+    pieces = ["a", "b", " ", "\xa0", "\u3000", "\n", "\x85", "\u2028", "\t", "\x1c", "\x1f", "\r\n", "cd"]
+    for _ in range(25):
+        a, b = ("".join(draw.choice(pieces) for _ in range(30)) for _ in range(2))
+        got = spark.createDataFrame([(a, b)], "a string, b string").select(text.coverage(F.col("a"), F.col("b"))).first()[0]
+        assert got == pytest.approx(plain(a, b)), (a, b)
+
+
+@pytest.mark.parametrize(("path", "kind"), [("a/b.PNG", "png"), ("b.webp", "webp"), ("b.jpg", "jpeg"), ("b.JPEG", "jpeg"), ("b.gif", "jpeg"), ("b", "jpeg"), ("a.png/b", "jpeg"), (".png", "jpeg")])
+def test_data_url(spark, path, kind):
+    assert one(spark, path, lambda x: text.data_url(F.lit(b"abc"), x)) == f"data:image/{kind};base64,YWJj"
+
+
 def scroll(doc, view, step, noise=0.0, drop=0.0, seed=0):
     draw, out = random.Random(seed), []
     for at in range(0, max(1, len(doc) - view + step), step):
