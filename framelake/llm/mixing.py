@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions only.
 
 A source of `size` bytes and target weight w among all sources is repeated at the mean rate w * total / size. Each
-document draws a uniform number from a hash of its id, inverts the Poisson distribution of its source's rate and
-is exploded into that many copies. A rate over `split` is drawn as the sum of equal parts, each of a lower mean, which
+document draws a uniform number from a hash of its row, inverts the Poisson distribution of its source's rate and
+is exploded into that many copies. Draws follow id, text and source; rows that share all three draw by their other columns as well, and equal
+rows by their number among them, so no two rows draw alike. A rate over `split` is drawn as the sum of equal parts, each of a lower mean, which
 has the same distribution. The copies are dealt out by a second hash and sorted by it, a global shuffle.
 
 Nothing is gathered by source but one sum, aggregated before its shuffle, so a source with most of the rows is no hot
@@ -11,7 +12,8 @@ they are joined by source and one of `salts` salts, so that a source with a thir
 
 Defined cases: null is a source of its own and so is the empty name; without weights all sources present weigh the same; a
 source without a weight is left out if weights are given; null texts count 0 bytes; a source without any byte has
-rate 1; rows that share a doc_id draw alike and stand together, by a hash of the row; an empty table gives an empty table.
+rate 1; rows that share an id, or have none, are rows of their own; an empty table gives an empty table; columns of any name come
+through but n_copies, copy_id and mix_key, which the results replace.
 """
 
 from __future__ import annotations
@@ -51,26 +53,43 @@ def uniform(*parts) -> object:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def key_of(columns: list) -> object:
+    """SHA-256 of columns as text, null set apart."""
+    return F.sha2(F.concat_ws("\0", *(F.coalesce(c.cast("string"), F.lit("\1")) for c in columns)), 256)
+
+
+def named(rows: DataFrame, own: list) -> DataFrame:
+    """Rows (row, source_of, key) with `ident`, which no other row has: the key where it is the row's own; else with a key of the whole row,
+    and the number among equal rows. Equal rows are counted before their exchange and one of them is repeated: they may be a third of the table."""
+    repeats = cut(rows.groupBy("key").count().where("count > 1").select("key"))
+    if repeats.isEmpty():
+        return rows.withColumn("ident", F.col("key"))
+    single = rows.join(repeats, "key", "left_anti").withColumn("ident", F.col("key"))
+    counted = rows.join(repeats, "key", "left_semi").withColumn("row_key", key_of([F.col("row")[c] for c in own])).groupBy("key", "row_key").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("source_of").alias("source_of"))
+    many = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")).select("row", "source_of", "key", F.concat_ws(":", "key", "row_key", F.col("nth").cast("string")).alias("ident"))
+    return single.select(*many.columns).unionByName(many)
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total_bytes: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", split: float = SPLIT, most_broadcast: int = MOST_BROADCAST, salts: int = SALTS) -> DataFrame:
     """The copies, with docs' columns, n_copies, copy_id (part * 1000000 + number, from 1) and mix_key, their random order."""
-    docs = docs.drop("mix_source", "mix_salt", "parts", "cdf", "copies", "n_copies", "copy_id", "mix_key")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    by_source = rates(docs, weights, total_bytes, source_col, text_col, split)
-    known = cut(by_source)
+    own = [c for c in docs.columns if c.lower() not in ("n_copies", "copy_id", "mix_key")]
+    known = cut(rates(docs, weights, total_bytes, source_col, text_col, split))
     takes = known.agg(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 8 * F.size("cdf") + 64)).first()[0] or 0
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # The columns of docs travel in one, so that none of them meets a name used here.
+    key = key_of([F.col(f"`{c}`") for c in (id_col, text_col, source_col)])
+    rows = named(docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{source_col}`").alias("source_of"), key.alias("key")), own)
     if takes <= most_broadcast:
-        drawn = docs.join(F.broadcast(known), docs[source_col].eqNullSafe(known["mix_source"]))
+        drawn = rows.join(F.broadcast(known), F.col("source_of").eqNullSafe(F.col("mix_source")))
     else:
         salted = known.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        dealt = docs.withColumn("row_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
-        drawn = dealt.join(salted, dealt[source_col].eqNullSafe(salted["mix_source"]) & (dealt["row_salt"] == salted["mix_salt"]))
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: F.struct((p - 1).alias("part"), uniform(F.lit(seed), ident, p.cast("string")).alias("u")))
+        dealt = rows.withColumn("row_salt", F.pmod(F.xxhash64("ident"), F.lit(salts)).cast("int"))
+        drawn = dealt.join(salted, F.col("source_of").eqNullSafe(F.col("mix_source")) & (F.col("row_salt") == F.col("mix_salt")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: F.struct((p - 1).alias("part"), uniform(F.lit(seed), F.col("ident"), p.cast("string")).alias("u")))
     copies = F.flatten(F.transform(draws, lambda d: F.transform(F.filter(F.sequence(F.lit(1), F.size("cdf")), lambda k: F.get(F.col("cdf"), k - 1) <= d["u"]), lambda k: d["part"] * 1000000 + k)))
-    counted = drawn.select(*own, copies.alias("copies"))
-    rows = counted.where(F.size("copies") > 0).select(*own, F.size("copies").alias("n_copies"), F.explode(F.col("copies").cast("array<long>")).alias("copy_id"))
-    keyed = rows.select("*", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), ident, F.col("copy_id").cast("string"))).alias("mix_key"))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key", F.xxhash64(*own))
+    counted = drawn.select("row", "ident", copies.alias("copies")).where(F.size("copies") > 0)
+    each = counted.select("row", "ident", F.size("copies").alias("n_copies"), F.explode(F.col("copies").cast("array<long>")).alias("copy_id"))
+    keyed = each.select("row", "n_copies", "copy_id", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), "ident", F.col("copy_id").cast("string"))).alias("mix_key"))
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select("row.*", "n_copies", "copy_id", "mix_key")
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
@@ -87,14 +106,23 @@ pmf AS (
     FROM part, range(0, 131) r(k)
 ),
 cdf AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+keyed AS (
+    SELECT *, sha256(concat_ws(chr(0), coalesce(doc_id::VARCHAR, chr(1)), coalesce(text, chr(1)), coalesce(source, chr(1)))) AS key,
+           sha256(concat_ws(chr(0), coalesce(doc_id::VARCHAR, chr(1)), coalesce(text, chr(1)), coalesce(lang, chr(1)), coalesce(source, chr(1)), coalesce(n_chars::VARCHAR, chr(1)))) AS row_key
+    FROM documents
+),
+named AS (
+    SELECT * EXCLUDE (key, row_key), CASE WHEN count(*) OVER (PARTITION BY key) = 1 THEN key
+           ELSE key || ':' || row_key || ':' || (row_number() OVER (PARTITION BY row_key))::VARCHAR END AS ident FROM keyed
+),
 draw AS (
-    SELECT d.*, p.part, ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || (p.part + 1)::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-    FROM documents d JOIN part s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(0, s.parts)) p(part)
+    SELECT d.*, p.part, ('0x' || substr(md5('{SEED}:' || d.ident || ':' || (p.part + 1)::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+    FROM named d JOIN part s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(0, s.parts)) p(part)
 ),
 copies AS (
     SELECT d.*, d.part * 1000000 + c.k + 1 AS copy_id FROM draw d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source WHERE c.c <= d.u
 )
-SELECT doc_id, text, lang, source, n_chars, (count(*) OVER (PARTITION BY doc_id))::INT AS n_copies, copy_id::BIGINT AS copy_id,
-       md5('order:{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_id::VARCHAR) AS mix_key
+SELECT doc_id, text, lang, source, n_chars, (count(*) OVER (PARTITION BY ident))::INT AS n_copies, copy_id::BIGINT AS copy_id,
+       md5('order:{SEED}:' || ident || ':' || copy_id::VARCHAR) AS mix_key
 FROM copies
 """

@@ -140,6 +140,37 @@ def test_mixing_rates(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def within(n, mean):
+    return abs(n - mean) <= 3 * max(mean, 1) ** 0.5
+
+
+@pytest.mark.parametrize("seed", [3, 17])
+def test_mixing_draws_for_each_row(spark, seed):
+    """Two sources of equal weight: all rows of one lack an id, share an id, or are equal, and it keeps its share."""
+    for one in (lambda k: (None, f"t{k % 900:04d}"), lambda k: (7, f"t{k:04d}"), lambda k: (None, "same "), lambda k: (7, "same ")):
+        rows = [(*one(k), "a") for k in range(2000)] + [(k, f"u{k:04d}", "b") for k in range(2000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        mixed = mixing.mix(df, seed=seed)
+        n = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+        assert within(n["a"], 2000) and within(n["b"], 2000), n
+        # Copies are Poisson distributed over rows: each row's number is its own.
+        none = 2000 - mixed.where("source = 'a' AND copy_id = 1").count()
+        assert within(none, 2000 / np.e)
+        assert mixed.where("source = 'b'").select("doc_id", "copy_id").distinct().count() == n["b"]
+    shared = [(7, f"t{k:04d}", "a") for k in range(1000)]
+    assert within(mixing.mix(spark.createDataFrame(shared, "doc_id long, text string, source string"), {"a": 1.0}, total_bytes=20_000).count(), 4000)
+
+
+def test_mixing_keeps_columns(spark):
+    more = ["parts", "cdf", "copies", "row_salt", "mix_salt", "mix_source", "row", "row_key", "nth", "source_of", "ident", "one", "count", "size", "a.b", "Rate"]
+    df = spark.createDataFrame([(k, f"t{k}", "s", *(f"{c}{k}" for c in more), {"x": k}, [1.5, None], bytearray(b"\xff")) for k in range(60)], ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` string" for c in more), "m map<string,int>", "l array<double>", "raw binary"]))
+    for most in (0, 1 << 20):
+        mixed = mixing.mix(df.withColumn("n_copies", F.lit("mine")).union(df.withColumn("n_copies", F.lit("mine")).where("doc_id < 9")), most_broadcast=most)
+        assert mixed.columns == [*df.columns, "n_copies", "copy_id", "mix_key"]
+        assert all(r[c] == f"{c}{r.doc_id}" for r in mixed.collect() for c in more) and mixed.count() > 30
+        assert {n for (n,) in mixed.groupBy("doc_id", "mix_key").count().select("count").collect()} == {1}
+
+
 def test_mixing_splits_high_rates(spark):
     df = spark.createDataFrame([(1, "x", "rare")] + [(k, "x" * 40, "often") for k in range(2, 202)], "doc_id long, text string, source string")
     n = mixing.mix(df).where("source = 'rare'").count()
