@@ -15,8 +15,8 @@ queries are searched once. So a third of the table in one point is one vector. W
 network that puts all into one part) it is searched in blocks of at most `block_rows` rows and queries.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, or differ in length from the sample's most
-common length, take no part; neither do rows without id; rows with a query's own id are no candidates of it; rows that share an id and a
-vector are one candidate, those that share an id alone each one; ties go to the smaller id; an empty table gives no rows.
+common length, take no part; rows without id are no queries, and candidates after all others in ties; rows that share an id, or an
+id and a vector, are rows of their own, and a query leaves out itself alone; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -163,9 +163,14 @@ def matrix(values: pa.Array, d: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def best(queries: np.ndarray, rows: np.ndarray, ids: list[list[int]], top: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """Of each query the ids of its nearest rows, top at most, ties to the smaller id; rough scores choose, sums in one order decide."""
-    least_ids = np.array([i[0] for i in ids], np.int64)
+#: Stands for no id where ids are compared.
+UNNAMED = np.iinfo(np.int64).max
+
+
+def best(queries: np.ndarray, rows: np.ndarray, ids: list[list[int | None]], top: int) -> Iterator[tuple[int, list[int | None], list[float], list[bool]]]:
+    """Of each query the ids of its nearest rows, top at most, ties to the smaller id, their scores, and whether they are equal to the query; rough
+    scores choose, sums in one order decide."""
+    least_ids = np.array([UNNAMED if i[0] is None else i[0] for i in ids], np.int64)
     for at in range(0, len(queries), 256):
         rough = queries[at : at + 256] @ rows.T
         for i, line in enumerate(rough):
@@ -176,8 +181,8 @@ def best(queries: np.ndarray, rows: np.ndarray, ids: list[list[int]], top: int)
                 pick = np.flatnonzero(line >= least - 1e-9 * max(1.0, abs(least)))
             exact = (rows[pick] * queries[k]).sum(axis=1)
             order = np.lexsort((least_ids[pick], -exact))[:top]
-            found = sorted((-s, x) for p, s in zip(pick[order].tolist(), exact[order].tolist(), strict=True) for x in ids[p])[:top]
-            yield k, [x for _, x in found], [-s for s, _ in found]
+            found = sorted((-s, x is None, x or 0, bool((rows[p] == queries[k]).all())) for p, s in zip(pick[order].tolist(), exact[order].tolist(), strict=True) for x in ids[p])[:top]
+            yield k, [None if unnamed else x for _, unnamed, x, _ in found], [-s for s, *_ in found], [twin for *_, twin in found]
 
 
 def _children(outer: int, inner: int, sample: int, d: int):
@@ -228,10 +233,10 @@ def learn(rows: DataFrame, n: int, parts: int, fan: int, sample: int, cover: flo
 
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, sample: int = SAMPLE, part_rows: int = PART_ROWS, least_parts: int = LEAST_PARTS, fan: int = FAN, block_rows: int = BLOCK_ROWS, cover: float = COVER) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where is_query holds, their nearest among all rows but their own."""
-    named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable("v"))
+    named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), (F.coalesce(is_query, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).alias("asks")).where(usable("v"))
     # Each distinct vector with its smallest ids; the window is cut in each task before anything is exchanged.
-    firsts = named.select("v", "vec_id").distinct().select("*", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")).alias("nth")).where(F.col("nth") <= top + 1)
-    points = keep(firsts.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    firsts = named.select("v", "vec_id").select("*", F.row_number().over(Window.partitionBy("v").orderBy(F.asc_nulls_last("vec_id"))).alias("nth")).where(F.col("nth") <= top + 1)
+    points = keep(firsts.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id"))).alias("held")).select("v", F.transform("held", lambda z: z["vec_id"]).alias("ids")))
     n = points.count()
     tree, d, probes = learn(points, n, max(least_parts, -(-n // part_rows)), fan, sample, cover)
     if tree is None:
@@ -273,21 +278,25 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     left = routed.select("part", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("row_block"), F.pmod(F.xxhash64("v", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), "v")
 
     def rerank(key, queries: pa.Table, block: pa.Table) -> pa.Table:
-        ids, scores = [], []
+        ids, scores, twins = [], [], []
         if queries.num_rows and block.num_rows:
-            for _, near, exact in best(matrix(queries.column("v").combine_chunks(), d), matrix(block.column("v").combine_chunks(), d), block.column("ids").to_pylist(), top + 1):
+            for _, near, exact, equal in best(matrix(queries.column("v").combine_chunks(), d), matrix(block.column("v").combine_chunks(), d), block.column("ids").to_pylist(), top + 1):
                 ids.append(near)
                 scores.append(exact)
+                twins.append(equal)
         asked_v = queries.column("v").combine_chunks() if ids else pa.array([], pa.list_(pa.float64()))
-        return pa.table({"v": asked_v, "ids": pa.array(ids, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
+        return pa.table({"v": asked_v, "ids": pa.array(ids, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64())), "twins": pa.array(twins, pa.list_(pa.bool_()))})
 
     on = ["part", "row_block", "query_block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rerank, "v array<double>, ids array<long>, scores array<double>")
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rerank, "v array<double>, ids array<long>, scores array<double>, twins array<boolean>")
     # A query's lists are as many as the parts and blocks it visits.
-    pairs = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "scores"), lambda z: F.struct((-z["scores"]).alias("far"), z["ids"].alias("id"))))))
+    pairs = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "scores", "twins"), lambda z: F.struct((-z["scores"]).alias("far"), z["ids"].isNull().alias("unnamed"), z["ids"].alias("id"), z["twins"].alias("twin"))))))
     lists = found.groupBy("v").agg(pairs.alias("near"))
-    asks = named.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct()
-    mine = asks.join(lists, "v").select("query_id", F.posexplode(F.slice(F.filter("near", lambda z: z["id"] != F.col("query_id")), 1, top)).alias("at", "z"))
+    asks = named.where("asks").select(F.col("vec_id").alias("query_id"), "v").join(lists, "v")
+    # A query leaves itself out once, where it is among the first.
+    itself = F.array_position(F.transform("near", lambda z: F.coalesce(z["twin"] & (z["id"] == F.col("query_id")), F.lit(False))), True)
+    others = F.slice(F.filter(F.col("near"), lambda z, k: k + 1 != F.col("itself")), 1, top)
+    mine = asks.select("query_id", "near", itself.alias("itself")).select("query_id", F.posexplode(others).alias("at", "z"))
     return mine.select("query_id", (F.col("at") + 1).alias("rank"), F.col("z.id").alias("vec_id"), (-F.col("z.far")).alias("score"))
 
 
