@@ -6,11 +6,6 @@ Queries of sinks write a table and read it again, so their SQL is that of the ta
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +13,10 @@ from framelake import schemas
 from framelake.catalog import _ENDS, _FILES, _S, _STAMP, _files, _found, _stamped, _table, query
 from framelake.functions import text, values
 from framelake.operators import cache, frames, jobs, tree
+from framelake.shared import folder
 from framelake.sources import readers, sinks
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: in the session's shared one, or on this machine where the session is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/catalog-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="framelake-")
-    atexit.register(shutil.rmtree, made, True)
-    return f"file://{made}/run"
-
-
 # Models and settings.
 
 _MODEL = "CASE p_partkey % 6 WHEN 0 THEN 'Qwen3-VL/' || p_name WHEN 1 THEN 'DeepSeek V3 ' || p_name WHEN 2 THEN 'org/Nemotron-OCR ' || p_name WHEN 3 THEN 'eagle:' || p_type WHEN 4 THEN 'x-MTP ' || p_name ELSE p_brand || '.' || p_type END"

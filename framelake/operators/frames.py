@@ -1,7 +1,8 @@
 """Selecting frames: strides, gates that look back at the last frame kept, dense ids.
 
-What is kept depends on the last frame kept, so a video is folded in order, in a stream (`folds`). Signals are numbers, or the
-frames' pixels, which are compared by the kernels of `functions.images`.
+What is kept depends on the last frame kept. Where signals are numbers, the frame that would be kept next is found for every frame at once, and the
+chain of these is followed (`jumps`). Pixels are compared by the kernels of `functions.images`, pair by pair, so there a video is folded in order,
+in a stream (`folds`).
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import types as T
 
 from framelake.functions import images
 from framelake.functions.text import timestamp
+from framelake.operators import jumps
 from framelake.operators.folds import folded
+from framelake.shared import kept
 
 #: Thresholds of a change, and seconds between frames.
 SSIM, PHASH, HISTOGRAM, AREA = 0.97, 8, 0.90, 0.02
@@ -47,39 +50,67 @@ def indexed(rows: DataFrame, video: str, *order: str) -> DataFrame:
     return rows.withColumn("frame_index", F.row_number().over(Window.partitionBy(video).orderBy(*order)) - 1)
 
 
-def _kept(frames: DataFrame, video: str, order: tuple[str, ...], payload: tuple[str, ...], keep: Callable[[tuple, tuple], bool]) -> DataFrame:
-    """The rows for which keep(last kept row, row) holds, the first always, with their dense frame_id."""
-    names = [video, *order, *payload]
-    rows = frames.select(*names)
-    fields = [rows.schema[video], T.StructField("frame_id", T.IntegerType()), *(rows.schema[c] for c in names[1:])]
+def _chained(nexts: DataFrame, video: str, names: list[str]) -> DataFrame:
+    """The rows that the chain from each video's first row leads to, with their dense frame_id."""
+    nexts = kept(nexts)
+    return nexts.join(jumps.chain(nexts), ["g", "pos"]).select("row.*", F.col("nth").cast("int").alias("frame_id")).select(video, "frame_id", *names)
 
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
-        last, n = state
-        if last is not None and not keep(last, row):
-            return state, None
-        return (row, n + 1), (row[0], n, *row[1:])
 
-    return folded(rows, video, names[1:], lambda: (None, 0), step, T.StructType(fields))
+def _differs(a: Column, b: Column, least: float) -> Column:
+    """By at least so much; a signal that is missing, or no number, differs from none."""
+    number = lambda x: F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    return F.coalesce(F.abs(number(b) - number(a)) >= least, F.lit(False))
+
+
+def _gated(rows: DataFrame, video: str, names: list[str], keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """The same for videos of few frames: rows for which keep(last kept row, row) holds, the first always."""
+    row_type = T.StructType([rows.schema[c] for c in names])
+    begin = F.struct(F.lit(None).cast(row_type).alias("last"), F.lit(0).alias("n"), F.lit(-1).alias("frame_id"))
+
+    def step(now: Column, row: Column) -> Column:
+        kept_ = (now["n"] == 0) | keep(now["last"], row)
+        return F.struct(F.when(kept_, row).otherwise(now["last"]).alias("last"), (now["n"] + kept_.cast("int")).alias("n"), F.when(kept_, now["n"]).otherwise(-1).alias("frame_id"))
+
+    return jumps.walked(rows, video, names, begin, step, "frame_id").where("frame_id >= 0").select(video, "frame_id", *names)
 
 
 def keyframes(frames: DataFrame, video: str, order: tuple[str, ...], seconds: str, signal: str | None = None, change: float = 0.0, least: float = LEAST_SECONDS, most: float = MOST_SECONDS) -> DataFrame:
-    """The gate over time alone, or with a change of `signal` by at least `change`. A missing signal has not changed."""
-    payload = tuple(dict.fromkeys(x for x in (seconds, signal) if x and x not in order))
-    names = [video, *order, *payload]
-    at, value = names.index(seconds), names.index(signal) if signal else None
+    """The gate over time alone, or with a change of `signal` by at least `change`. A missing signal has not changed.
+
+    Times do not fall in `order`. They are compared by the microsecond.
+    """
+    names = [*order, *dict.fromkeys(x for x in (seconds, signal) if x and x not in order)]
+    scale = 1 if isinstance(frames.schema[seconds].dataType, T.IntegralType) else 1_000_000
+    longest, shortest = round(most * scale), round(least * scale)
+    at = lambda x: F.round(x * scale).cast("long")
+    rows = frames.select(video, *names)
+
+    def keep(last: Column, row: Column) -> Column:
+        gap = at(row[seconds]) - at(last[seconds])
+        return (gap >= longest) | ((gap >= shortest) & (F.lit(True) if signal is None else _differs(last[signal], row[signal], change)))
 
-    def keep(last: tuple, row: tuple) -> bool:
-        gap = row[at] - last[at]
-        moved = value is None or (row[value] is not None and last[value] is not None and abs(row[value] - last[value]) >= change)
-        return gap >= most or (gap >= least and moved)
+    def follow(large: DataFrame) -> DataFrame:
+        stood, now = jumps.placed(large, video, names), at(F.col("row")[seconds])
+        if signal is None:
+            reach = min(longest, shortest)
+            return _chained(jumps.beyond(stood, now, now + reach, reach, reached=True), video, names)
+        early = jumps.beyond(stood, now, now + shortest, shortest, reached=True).withColumnRenamed("next", "early")
+        both = kept(jumps.beyond(early, now, now + longest, longest, reached=True).withColumnRenamed("next", "late"))
+        return _chained(jumps.changed(both, "early", F.col("row")[signal], change).withColumn("next", F.least("late", F.coalesce("turned", "late"))), video, names)
 
-    return _kept(frames, video, order, payload, keep)
+    return jumps.by_size(rows, video, lambda small: _gated(small, video, names, keep), follow)
 
 
 def without_static(frames: DataFrame, video: str, order: tuple[str, ...], signal: str, least: float) -> DataFrame:
     """Drops rows whose signal differs from the last kept one's by less than `least`."""
-    value = 1 + len(order)
-    return _kept(frames, video, order, (signal,), lambda last, row: row[value] is not None and last[value] is not None and abs(row[value] - last[value]) >= least)
+    names = [*order, *(() if signal in order else (signal,))]
+    rows = frames.select(video, *names)
+
+    def follow(large: DataFrame) -> DataFrame:
+        stood = jumps.placed(large, video, names).withColumn("start", F.col("pos") + 1)
+        return _chained(jumps.changed(stood, "start", F.col("row")[signal], least).withColumnRenamed("turned", "next"), video, names)
+
+    return jumps.by_size(rows, video, lambda small: _gated(small, video, names, lambda last, row: _differs(last[signal], row[signal], least)), follow)
 
 
 #: Columns of an image of a frame: bytes in rows of blue, green and red.

@@ -1,16 +1,17 @@
 """Packing ordered texts into budgets: greedy chunks, batches, samples, blocks of text.
 
-A greedy sum restarts with every chunk, so no running-sum window gives it; a group's sizes are folded in a stream.
+A greedy sum restarts with every chunk, so no running-sum window gives it: where a chunk would end is searched for every unit as its first, and
+the chunks from a group's first unit are followed (`jumps`).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from framelake.functions import text
-from framelake.operators.folds import folded
+from framelake.operators import jumps
+from framelake.shared import kept
 
 #: Fixed value: the mark of a text that was cut.
 CUT_MARK = "[... additional frames truncated for context limit ...]"
@@ -22,15 +23,22 @@ def packed(units: DataFrame, group: str, order: list[str], cost: str, budget: in
     joint: added to a chunk's cost after each unit, but not to the unit's own when it is tested.
     """
     rows = units.select(group, *order, F.col(cost).cast("long").alias(cost))
-    last = len(order) + 1
-
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        spent, n, chunk = state
-        if n and (spent + row[last] > budget or (most is not None and n >= most)):
-            spent, n, chunk = 0, 0, chunk + 1
-        return (spent + row[last] + joint, n + 1, chunk), (*row, chunk)
-
-    return folded(rows, group, [*order, cost], lambda: (0, 0, 0), step, T.StructType([*rows.schema.fields, T.StructField("chunk_id", T.IntegerType())]))
+    whole = F.lit(0).cast("long")
+    begin = F.struct(whole.alias("spent"), whole.alias("n"), F.lit(0).alias("chunk_id"))
+
+    def step(now: Column, row: Column) -> Column:
+        full = (now["n"] > 0) & ((now["spent"] + row[cost] > budget) | (F.lit(False) if most is None else now["n"] >= most))
+        spent = F.when(full, whole).otherwise(now["spent"]) + row[cost] + joint
+        return F.struct(spent.alias("spent"), (F.when(full, whole).otherwise(now["n"]) + 1).alias("n"), (now["chunk_id"] + full.cast("int")).alias("chunk_id"))
+
+    def follow(large: DataFrame) -> DataFrame:
+        stood = jumps.placed(large, group, [*order, cost], cost)
+        spent = F.col("upto") + joint * F.col("pos")
+        nexts = jumps.beyond(stood, spent, spent - F.col("row")[cost] + budget, budget)
+        nexts = kept(nexts if most is None else nexts.withColumn("next", F.least("next", F.col("pos") + most)))
+        return nexts.join(jumps.stretches(nexts), ["g", "pos"]).select("row.*", F.col("nth").cast("int").alias("chunk_id"))
+
+    return jumps.by_size(rows, group, lambda small: jumps.walked(small, group, [*order, cost], begin, step, "chunk_id"), follow)
 
 
 def caption_units(captions: DataFrame, keys: list[str], stamp: str, caption: str, budget: int) -> DataFrame:
