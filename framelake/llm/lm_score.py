@@ -1,7 +1,12 @@
 """LM scoring by cross-entropy difference.
 
-Two interpolated bigram models, of the target texts and of all texts, share one vocabulary: every word and pair of words of all texts,
-each known by 63 bits of its hash. Nothing is capped or folded, so the models grow with the corpus; they are never gathered in one place.
+Two interpolated bigram models, of the target texts and of a background that is disjoint from them, share one vocabulary: every word and pair of words
+of all texts, each known by 63 bits of its hash. Nothing is capped or folded, so the models grow with the corpus; they are never gathered in one place.
+
+The models are matched: of the larger side, target or the rest, each text takes part with an even share of its rows, so that both have
+the same number of tokens. Of r rows of a text floor(r * share + u) do, u being a number from 0 up to 1 that the text's digest says. And a
+text is scored without itself: what its own rows have added to either model is taken away, so a score tells what a text is like, not
+on which list it stands.
 
 Equal texts have equal scores, so each distinct text (by SHA-256) is counted with its number of rows and of target rows. A task sends
 a text it meets again as a number only, so a text with a third of the rows arrives once a task. Texts are dealt into groups of about
@@ -14,12 +19,13 @@ range holds its even share of keys, and of a frequent word a count a group.
 Blocks are as many as groups times ranges: 5 million at 30 GB. For many terabytes raise both sizes with the memory of a task, so that
 a block still holds many keys; results stay the same.
 
-P(w | v) = a * c(v w) / c(v) + b * c(w) / n + c / N, with c() and n, the tokens, of the model's texts, and N those of all texts. A text's
+P(w | v) = a * c(v w) / c(v) + b * c(w) / n + c / N, with c() and n, the tokens, of the model's texts but the one that is scored, and N those of all
+texts; where a model has no tokens, P = 1 / N. A text's
 score is the mean over its tokens of the loss under the target model less the loss under the background model, in
 nats; the lower, the closer to the target.
 
-Defined cases: null and empty texts have no tokens and a null score; without target texts the target model is uniform over
-the vocabulary; rows that share an id are scored each by itself and are target texts together; rows without an id are
+Defined cases: null and empty texts have no tokens and a null score; without target texts, or with no others, both models are uniform over
+the vocabulary and scores are 0; rows that share an id are scored each by itself and are target texts together; rows without an id are
 never target texts; an empty table gives an empty table; columns named like the results, lm_digest or lm_scored, are replaced.
 """
 
@@ -32,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import U, WORD_BASE, column, hash_words, mix, table, word_slices
+from framelake.llm.common import U, WORD_BASE, column, hash_words, keep, mix, table, word_slices
 
 GROUP_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 #: Weights of the pair, the word and the uniform distribution.
 WEIGHTS = (0.6, 0.35, 0.05)
+WORD = r"[^\x20\x09-\x0D]+"
 #: Keys of words are odd, those of pairs even. Two odd ones are set aside: the begin of a text, and the number of tokens.
 BEGIN, TOKENS = U(1), U(3)
 #: Rows of a group: a text with its rows so far (null: it has come before in its task), or a number of target rows of a text.
@@ -49,9 +56,9 @@ RESULTS = ("n_tokens", "loss_target", "loss_background", "score")
 
 
 class Group:
-    """The words and pairs of a group's texts: sorted keys, their counts here (n in all rows, t in target rows), and each token's places."""
+    """The words and pairs of a group's texts: sorted keys, their counts here in the target and the background rows, and each token's places."""
 
-    def __init__(self, texts: pa.Array, n_rows: np.ndarray, n_target: np.ndarray):
+    def __init__(self, texts: pa.Array, in_target: np.ndarray, in_background: np.ndarray):
         words, pairs = [np.zeros(0, U)], [np.zeros(0, U)]
         self.lengths = np.zeros(len(texts), np.int64)
         for rows, numbers, data, _, starts, ends, first in word_slices(texts, 1):
@@ -69,38 +76,45 @@ class Group:
         self.ends = np.cumsum(self.lengths)
         self.heads = (self.ends - self.lengths)[self.lengths > 0]
         word, pair = np.concatenate(words), np.concatenate(pairs)
-        some = self.lengths > 0
         self.keys, at = np.unique(np.concatenate([word, pair, [BEGIN, TOKENS]]), return_inverse=True)
         self.word, self.pair, (self.begin, self.tokens) = at[: len(word)], at[len(word) : -2], at[-2:]
+        self.rows = (in_target, in_background)
+        self.counts = [self._counted(r) for r in self.rows]
 
-        def counted(weights: np.ndarray) -> np.ndarray:
-            each = np.repeat(weights, self.lengths)
-            found = np.zeros(len(self.keys), np.int64)
-            found += np.bincount(at[: len(word)], weights=each, minlength=len(self.keys)).astype(np.int64)
-            found += np.bincount(at[len(word) : -2], weights=each, minlength=len(self.keys)).astype(np.int64)
-            found[[self.begin, self.tokens]] = int(weights[some].sum()), int(each.sum())
-            return found
-
-        self.n, self.t = counted(n_rows), counted(n_target)
+    def _counted(self, rows: np.ndarray) -> np.ndarray:
+        each, m = np.repeat(rows, self.lengths), len(self.keys)
+        found = np.bincount(self.word, weights=each, minlength=m).astype(np.int64) + np.bincount(self.pair, weights=each, minlength=m).astype(np.int64)
+        found[[self.begin, self.tokens]] = int(rows[self.lengths > 0].sum()), int(each.sum())
+        return found
 
-    def add(self, n: np.ndarray, t: np.ndarray) -> None:
+    def add(self, *others: np.ndarray) -> None:
         """Add what other groups have counted, a number for each key in order."""
-        self.n, self.t = self.n + n, self.t + t
+        self.counts = [mine + other for mine, other in zip(self.counts, others, strict=True)]
+
+    def _own(self, key: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """How often each token's key comes in its own text."""
+        _, at, n = np.unique(text * len(self.keys) + key, return_inverse=True, return_counts=True)
+        return n[at] if len(key) else key
 
-    def losses(self, counts: np.ndarray, weights: tuple[float, float, float]) -> np.ndarray:
-        """Mean loss of each text under the model of these counts; not a number for those without tokens."""
+    def losses(self, weights: tuple[float, float, float], n_tokens: int) -> list[np.ndarray]:
+        """Mean loss of each text under either model without itself; not a number for texts without tokens."""
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
         before = np.empty_like(self.word)
         before[1:] = self.word[:-1]
         before[self.heads] = self.begin
-        flat, total = 1 / max(int(self.n[self.tokens]), 1), int(counts[self.tokens])
-        if total:
-            seen = counts[before]
-            loss = -np.log(weights[0] * counts[self.pair] / np.maximum(seen, 1) + weights[1] * counts[self.word] / total + weights[2] * flat)
-        else:
-            loss = np.full(len(self.word), -np.log(flat))
-        sums = np.concatenate([[0.0], np.cumsum(loss)])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return (sums[self.ends] - sums[self.ends - self.lengths]) / self.lengths
+        own_word, own_pair = self._own(self.word, text), self._own(self.pair, text)
+        own_before = np.empty_like(own_word)
+        own_before[1:] = own_word[:-1]
+        own_before[self.heads] = 1
+        flat, out = 1 / max(n_tokens, 1), []
+        for counts, rows in zip(self.counts, self.rows, strict=True):
+            r = rows[text]
+            total = counts[self.tokens] - r * self.lengths[text]
+            likely = weights[0] * (counts[self.pair] - r * own_pair) / np.maximum(counts[before] - r * own_before, 1) + weights[1] * (counts[self.word] - r * own_word) / np.maximum(total, 1) + weights[2] * flat
+            sums = np.concatenate([[0.0], np.cumsum(-np.log(np.where(total > 0, likely, flat)))])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out.append((sums[self.ends] - sums[self.ends - self.lengths]) / self.lengths)
+        return out
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -127,7 +141,7 @@ def _send(number: int, group: Group, n_ranges: int) -> pa.Table:
     """The group's counts, in a block for each range that has any."""
     of = ((group.keys >> U(32)) * U(n_ranges)) >> U(32)
     cuts = np.concatenate([np.flatnonzero(np.diff(of, prepend=of[:1] + U(1))), [len(of)]])
-    steps = [pack(np.diff(group.keys[a:b], prepend=U(0)), group.n[a:b], group.t[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    steps = [pack(np.diff(group.keys[a:b], prepend=U(0)), *(c[a:b] for c in group.counts)) for a, b in zip(cuts, cuts[1:], strict=False)]
     return _blocks(np.full(len(steps), number), of[cuts[:-1]].astype(np.int64), np.diff(cuts), steps)
 
 
@@ -177,8 +191,14 @@ def _text_rows(groups: list[int], digests: list[bytes], texts: pa.Array, n: list
     return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(digests, pa.binary()), texts.cast(pa.string()), pa.array(n, pa.int64()), pa.array([0] * len(groups), pa.int64())], ["lm_group", "digest", "text", "n", "t"])
 
 
-def _gathered(rows: pa.Table) -> tuple[list[bytes], Group]:
-    """The distinct texts of a group, in the order of their digests, and their counts."""
+def _part(rows: np.ndarray, share: float, digests: list[bytes]) -> np.ndarray:
+    """How many of each text's rows take part."""
+    u = np.array([int.from_bytes(d[-6:], "big") for d in digests], np.float64) / (1 << 48)
+    return np.floor(rows * share + u).astype(np.int64) if share < 1 else rows
+
+
+def _gathered(rows: pa.Table, shares: tuple[float, float]) -> tuple[list[bytes], Group]:
+    """The distinct texts of a group, in the order of their digests, and their counts; shares: of the target rows and of the others that take part."""
     digests = rows.column("digest").to_pylist()
     known = {d: k for k, d in enumerate(sorted(set(digests)))}
     at = np.array([known[d] for d in digests], np.int64)
@@ -188,35 +208,39 @@ def _gathered(rows: pa.Table) -> tuple[list[bytes], Group]:
     has = np.flatnonzero(rows.column("text").is_valid().to_numpy())
     place[at[has]] = has
     texts = rows.column("text").cast(pa.large_string()).combine_chunks()
-    return list(known), Group(texts.take(pa.array(place)), n, t)
+    return list(known), Group(texts.take(pa.array(place)), _part(t, shares[0], list(known)), _part(n - t, shares[1], list(known)))
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = WEIGHTS, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs with n_tokens, loss_target, loss_background (means, in nats) and score, their difference. `target` holds the ids of the target texts."""
     docs = docs.drop(*RESULTS, "lm_digest", "lm_scored")
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_groups, n_ranges = -(-size // group_bytes) or 1, -(-size // range_bytes) or 1
-    own = [F.col(f"`{c}`") for c in docs.columns]
     ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     digest = F.unhex(F.sha2(text, 256))
+    # A row of some bytes for each text, of which ids meet the target's.
+    narrow = keep(docs.select(ident.alias("lm_id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("size"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens")).where("size > 0"))
+    wanted = target.where(ident.isNotNull()).select(ident.alias("lm_id")).distinct()
+    mine = keep(narrow.join(wanted, "lm_id", "left_semi").groupBy("digest").agg(F.count("*").alias("t"), F.sum("tokens").alias("tokens")))
+    size, n_tokens = (x or 0 for x in narrow.agg(F.sum("size"), F.sum("tokens")).first())
+    n_target = mine.agg(F.sum("tokens")).first()[0] or 0
+    n_others = n_tokens - n_target
+    shares = (min(1.0, n_others / max(n_target, 1)), min(1.0, n_target / max(n_others, 1)))
+    n_groups, n_ranges = -(-size // group_bytes) or 1, -(-size // range_bytes) or 1
+    own = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(*own, digest.alias("lm_digest"))
     found = docs.where(text != "").select(digest.alias("digest"), text.alias("text")).mapInArrow(_once(n_groups), TEXTS)
-    # Ids meet rows of a few bytes; the counts are added before they are dealt to groups.
-    wanted = target.where(ident.isNotNull()).select(ident.alias("lm_id")).distinct()
-    chosen = docs.where(text != "").select(ident.alias("lm_id"), digest.alias("digest")).join(wanted, "lm_id", "left_semi").groupBy("digest").agg(F.count("*").alias("t"))
     group = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 14), 16, 10).cast("long"), F.lit(n_groups))
-    marks = chosen.select(group.alias("lm_group"), "digest", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"), "t")
+    marks = mine.select(group.alias("lm_group"), "digest", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"), "t")
     grouped = found.unionByName(marks)
 
     def count(rows: pa.Table) -> pa.Table:
-        return _send(rows.column("lm_group")[0].as_py(), _gathered(rows)[1], n_ranges)
+        return _send(rows.column("lm_group")[0].as_py(), _gathered(rows, shares)[1], n_ranges)
 
     def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        digests, group = _gathered(rows)
+        digests, group = _gathered(rows, shares)
         back = answers.sort_by("lm_range")
         others = np.concatenate([unpack(b.as_py(), m.as_py()) for b, m in zip(back.column("block"), back.column("m"), strict=True)], axis=1)
         group.add(*others.astype(np.int64))
-        a, b = group.losses(group.t, weights), group.losses(group.n, weights)
+        a, b = group.losses(weights, n_tokens)
         none = group.lengths == 0
         return pa.table([pa.array(digests, pa.binary()), pa.array(group.lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))], names=["digest", *RESULTS])
 
@@ -227,7 +251,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled quality 1. Background: all documents. The labels grow with them, so they are never broadcast."""
+    """Target: the documents labelled quality 1. Background: the others, matched. The labels grow with them, so they are never broadcast."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return score(docs, good).drop("text")

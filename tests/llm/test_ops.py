@@ -244,32 +244,76 @@ def test_neighbours_few_rows(spark):
     assert ann.search(one, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def scores_by_hand(rows, targets):
+    """(id, text) rows: tokens and losses of each, from the definition."""
+    words = [(t or "").split() for _, t in rows]
+    digest = lambda t: hashlib.sha256((t or "").encode()).digest()
+    n_all = sum(map(len, words))
+    sides = [Counter(), Counter()]
+    for (i, t), w in zip(rows, words, strict=True):
+        if w:
+            sides[i not in targets or i is None][t] += 1
+    tokens = [sum(n * len(t.split()) for t, n in side.items()) for side in sides]
+    models = []
+    for k, side in enumerate(sides):
+        share = min(1.0, tokens[1 - k] / max(tokens[k], 1))
+        models.append({t: n if share == 1 else int(np.floor(n * share + int.from_bytes(digest(t)[-6:], "big") / 2**48)) for t, n in side.items()})
+    out = []
+    for (_, text), w in zip(rows, words, strict=True):
+        losses = []
+        for model in models:
+            ones, pairs, n = Counter(), Counter(), 0
+            for t, times in model.items():
+                if t != text:
+                    ws = t.split()
+                    for x in ws:
+                        ones[x] += times
+                    for p in zip([None, *ws], ws):
+                        pairs[p] += times
+                    ones[None] += times
+                    n += times * len(ws)
+            each = [-np.log(0.6 * pairs[(a, b)] / max(ones[a], 1) + 0.35 * ones[b] / n + 0.05 / n_all) if n else np.log(n_all) for a, b in zip([None, *w], w)]
+            losses.append(float(np.mean(each)) if w else None)
+        out.append((len(w), *losses))
+    return out
+
+
 @pytest.mark.parametrize("group_bytes", [40, 3000, 1 << 24])
-def test_lm_score(spark, group_bytes):
-    rows = ["the cat sat on the mat " * 30, "zz qq xx yy " * 30, None, "", "the cat sat", "zz qq xx", "the cat sat", *texts()[:20]]
-    df = table(spark, rows)
-    targets = [0, 2, 6, 12, 999]
-    ids = spark.createDataFrame([(k,) for k in [*targets, 0, None]], "doc_id long")
-    found = {r.doc_id: r for r in lm_score.score(df.withColumn("score", F.lit("clash")), ids, group_bytes=group_bytes).collect()}
-    words = {k: (t or "").split() for k, t in enumerate(rows)}
+@pytest.mark.parametrize("targets", [[0, 2, 6, 12, 999], [*range(3, 60)]])
+def test_lm_score(spark, group_bytes, targets):
+    rows = list(enumerate(["the cat sat on the mat " * 30, "zz qq xx yy " * 30, None, "", "the cat sat", "zz qq xx", "the cat sat", *texts()[:20]]))
+    rows += [(None, "the cat sat"), (None, "zz qq"), *[(4, "a cat sat")] * 3, *[(7, "zz qq xx yy")] * 9]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    ids = spark.createDataFrame([(k,) for k in [*targets, 0 if 0 in targets else 3, None]], "doc_id long")
+    found = sorted(lm_score.score(df, ids, group_bytes=group_bytes).collect(), key=lambda r: repr((r.doc_id, r.text)))
+    wanted = sorted(zip(rows, scores_by_hand(rows, set(targets)), strict=True), key=lambda x: repr(x[0]))
     assert len(found) == len(rows)
-    n_all = sum(map(len, words.values()))
-    for chosen, name in ((targets, "loss_target"), (list(words), "loss_background")):
-        mine = [words[k] for k in chosen if k in words]
-        ones, pairs = Counter(w for t in mine for w in t), Counter(p for t in mine for p in zip([None, *t], t))
-        ones[None], n = sum(1 for t in mine if t), sum(map(len, mine))
-        for k, t in words.items():
-            loss = [-np.log(0.6 * pairs[(a, b)] / max(ones[a], 1) + 0.35 * ones[b] / n + 0.05 / n_all) for a, b in zip([None, *t], t)]
-            assert found[k].n_tokens == len(t)
-            assert found[k][name] == (pytest.approx(np.mean(loss), rel=1e-9) if t else None)
-    assert found[4].score < found[5].score and found[2].score is None
+    for r, (row, (n, target, background)) in zip(found, wanted, strict=True):
+        assert (r.doc_id, r.text, r.n_tokens) == (*row, n)
+        assert (r.loss_target, r.loss_background) == (pytest.approx(target, rel=1e-9), pytest.approx(background, rel=1e-9)) if n else r.score is None
+        assert not n or r.score == pytest.approx(target - background, abs=1e-9)
+
+
+def test_lm_score_tells_likeness_and_not_the_list(spark):
+    """Equal distributions score alike on either side of the label; another one is told by what it is like."""
+    draw = random.Random(8)
+    plain, other = [f"w{k}" for k in range(200)], [f"w{k}" for k in range(100, 400)]
+    rows = [(k, " ".join(draw.choice(plain) for _ in range(60))) for k in range(600)]
+    df, half = spark.createDataFrame(rows, "doc_id long, text string"), spark.range(0, 600, 2).withColumnRenamed("id", "doc_id")
+    mean = {r.side: r.mean for r in lm_score.score(df, half).groupBy((F.col("doc_id") % 2).alias("side")).agg(F.avg("score").alias("mean")).collect()}
+    assert abs(mean[0] - mean[1]) < 0.05 and abs(mean[0]) < 0.05
+    # Target: half of the first kind; what is not on the list scores by its kind.
+    rows += [(k, " ".join(draw.choice(other) for _ in range(60))) for k in range(600, 1200)]
+    scored = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), half)
+    by = {(r.a, r.b): r.mean for r in scored.groupBy((F.col("doc_id") < 600).alias("a"), (F.col("doc_id") % 2 == 0).alias("b")).agg(F.avg("score").alias("mean")).collect()}
+    assert abs(by[True, True] - by[True, False]) < 0.05 and by[True, False] < -0.3 < 0.3 < by[False, False]
 
 
 def test_lm_score_without_targets_or_rows(spark):
     df = table(spark, ["a b a", None, "c"])
     none = spark.createDataFrame([], "doc_id long")
-    found = {r.doc_id: r.loss_target for r in lm_score.score(df, none).collect()}
-    assert found[0] == pytest.approx(np.log(4)) and found[1] is None
+    found = {r.doc_id: r for r in lm_score.score(df, none).collect()}
+    assert found[0].loss_target == pytest.approx(np.log(4)) and found[0].score == 0 and found[1].loss_target is None
     assert lm_score.score(df.limit(0), none).count() == 0
     twice = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a b"), (None, None)], "doc_id long, text string")
     assert [r.n_tokens for r in lm_score.score(twice, none).orderBy("n_tokens").collect()] == [0, 1, 2, 2]
