@@ -22,7 +22,8 @@ def shrink(image: np.ndarray, height: int, width: int) -> np.ndarray:
         return np.clip(np.minimum(edge[1:, None], cell + 1) - np.maximum(edge[:-1, None], cell), 0, None) * (m / n)
 
     rows, cols = axis(image.shape[0], height), axis(image.shape[1], width)
-    return np.einsum("ih,hw...,jw->ij...", rows, image.astype(np.float64), cols)
+    # One side after the other: the work is that of two products of matrices.
+    return np.moveaxis(np.tensordot(cols, np.tensordot(rows, image.astype(np.float64), axes=(1, 0)), axes=(1, 1)), 0, 1)
 
 
 def gray(bgr: np.ndarray) -> np.ndarray:
@@ -94,6 +95,18 @@ class Look:
         self.hash = perceptual_hash(self.gray) & ((1 << 64) - 1)
         self.colours = histogram(small)
 
+    def stored(self) -> tuple[int, int, bytes, int, bytes]:
+        """Height, width, brightness, hash and colours, as a state or a file may hold them."""
+        return *self.gray.shape, self.gray.astype(np.uint8).tobytes(), self.hash - (1 << 64 if self.hash >> 63 else 0), self.colours.tobytes()
+
+    @classmethod
+    def restored(cls, height: int, width: int, gray: bytes, hash_: int, colours: bytes) -> Look:
+        look = cls.__new__(cls)
+        look.gray = np.frombuffer(gray, np.uint8).reshape(height, width).astype(np.float64)
+        look.hash = hash_ & ((1 << 64) - 1)
+        look.colours = np.frombuffer(colours).reshape(24, 32)
+        return look
+
 
 def png(bgr: np.ndarray) -> bytes:
     """An image file of these pixels, without loss."""

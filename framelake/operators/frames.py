@@ -117,7 +117,7 @@ def without_static(frames: DataFrame, video: str, order: tuple[str, ...], signal
 PIXELS = ("height", "width", "channels", "data")
 
 
-def _pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     image = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
     return image[..., :3] if channels >= 3 else np.repeat(image[..., :1], 3, axis=2)
 
@@ -131,17 +131,17 @@ def keyframes_of_images(frames: DataFrame, video: str = "video", index: str = "f
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
         last, emitted, n = state
         seconds = row[1] / max(row[2] or 30.0, 1e-6)
-        look = images.Look(_pixels(*row[3:]))
+        look = images.Look(pixels(*row[3:]))
         if last is not None:
             gap = seconds - emitted
-            if not (gap >= most or (gap >= least and _moved(last, look))):
+            if not (gap >= most or (gap >= least and moved(last, look))):
                 return state, None
         return (look, seconds, n + 1), (row[0], n, row[1], round(seconds, 3), *row[3:])
 
     return folded(rows, video, [index], lambda: (None, 0.0, 0), step, kind)
 
 
-def _moved(last: images.Look, look: images.Look) -> bool:
+def moved(last: images.Look, look: images.Look) -> bool:
     if last.gray.shape != look.gray.shape:
         ssim, area = 1.0, 0.0
     else:
@@ -157,7 +157,7 @@ def without_static_images(frames: DataFrame, video: str = "video", index: str =
 
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
         last, n = state
-        gray = images.gray_small(_pixels(*row[3:]))
+        gray = images.gray_small(pixels(*row[3:]))
         if last is not None and last.shape == gray.shape and images.similarity(last, gray)[0] >= least:
             return state, None
         return (gray, n + 1), (row[0], n, row[1], round(row[1] / max(row[2] or 30.0, 1e-6), 3), *row[3:])

@@ -150,7 +150,7 @@ def merged_tree(artifacts_: DataFrame, mappings: DataFrame, root: str) -> DataFr
 
 def frame_images(frames: DataFrame, root: str, most: int = 1280) -> DataFrame:
     """Writes the pixels of frames (video, frame_id, timestamp, height, width, channels, data), within `most`, as PNG files by their tasks; returns their rows of metadata."""
-    from framelake.operators.frames import _pixels
+    from framelake.operators.frames import pixels as pixels_of
 
     kind = "video string, frame_id long, timestamp double, path string, width int, height int"
 
@@ -161,7 +161,7 @@ def frame_images(frames: DataFrame, root: str, most: int = 1280) -> DataFrame:
         for batch in batches:
             rows = []
             for video, frame, at, *pixels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                image = _pixels(*pixels)
+                image = pixels_of(*pixels)
                 width, height = images.fit(image.shape[1], image.shape[0], most)
                 if (height, width) != image.shape[:2]:
                     image = images.shrink(image, height, width).round().astype("uint8")
