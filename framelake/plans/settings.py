@@ -64,18 +64,30 @@ def with_env_files(environment: Mapping[str, str], *paths: str) -> dict[str, str
 
 def value_of(environment: Mapping[str, str], *names: str, placeholders: bool = True) -> str | None:
     """The first of these that is set; `placeholders`: those of templates count too."""
-    values = (environment.get(n, "").strip() for n in names if environment.get(n))
-    return next((v for v in values if placeholders or v.lower() not in PLACEHOLDERS), None)
+    unwanted = () if placeholders else PLACEHOLDERS
+    told = [environment[n].strip() for n in names if environment.get(n)]
+    return next(iter([v for v in told if v.lower() not in unwanted]), None)
+
+
+@dataclass(frozen=True)
+class Service:
+    """Where the key of a kind of service stands: which of a role's own names are its, its common names, and what serves without any."""
+
+    own: str
+    common: tuple[str, ...]
+    default: str | None
+
+
+#: A local service of the first kind takes any key.
+SERVICES = {"vllm": Service(r"VLLM_", ("VLLM_API_KEY",), "local")}
+OTHER_SERVICE = Service(r"(?!VLLM_)", ("MLX_API_KEY", "OMLX_API_KEY"), None)
 
 
 def role_key(environment: Mapping[str, str], configured: str | None, backend: str, *preferred: str) -> str | None:
-    """The key of a role's service: the configured one, or that of its own kind of service. A local service of the first kind takes any key."""
-    if configured:
-        return configured
-    first = backend == "vllm"
-    names = [n for n in preferred if n.startswith("VLLM_") == first]
-    found = value_of(environment, *names, *(("VLLM_API_KEY",) if first else ("MLX_API_KEY", "OMLX_API_KEY")), placeholders=False)
-    return found or ("local" if first else None)
+    """The key of a role's service: as configured, or from the environment."""
+    service = SERVICES.get(backend, OTHER_SERVICE)
+    names = (*(n for n in preferred if re.match(service.own, n)), *service.common)
+    return configured or value_of(environment, *names, placeholders=False) or service.default
 
 
 def served_models(spark: SparkSession, fetch: Callable[[], dict]) -> DataFrame:

@@ -104,9 +104,9 @@ def test_judge_sees_whole_files_and_the_whole_recording(spark):
     first = asked[: len(asked) // flows.ITERATIONS]
     assert all("[t0]\nshows 0." in u and "[t119]\nshows 119." in u for u in first)
     for name in ("a.py", "b.py"):
-        shown = [x.split(" ---\n", 1)[1].split("\n[... truncated for QA")[0] for u in first for x in u.split("\n\n--- ") if x.startswith(name)]
+        shown = [x.split(" ---\n", 1)[1].split("\n[this part ends here")[0] for u in first for x in u.split("\n\n--- ") if x.startswith(name)]
         assert "".join(shown).rstrip("\n") == content.rstrip("\n")
-    assert f"{len(content)} total chars in saved artifact" in first[0]
+    assert f"the file has {len(content)} characters" in first[0]
 
 
 def test_judge_thins_captions_evenly():

@@ -77,7 +77,7 @@ def test_chat_fits_the_context_once():
     def post(payload):
         sent.append(payload.get("max_tokens"))
         if payload.get("max_tokens", 0) > 40:
-            raise client.Refused(400, "maximum context length is 100")
+            raise client.Refused(400, '{"error": {"param": "input_tokens", "message": "The maximum context length is 100"}}')
         return answer("ok")
 
     assert client.Client(post, "m", 1000, lambda p: (60, 100)).chat("s", "u", max_tokens=90) == "ok" and sent == [90, 40]
@@ -87,6 +87,16 @@ def test_chat_fits_the_context_once():
     with pytest.raises(RuntimeError, match="HTTP 400"):
         client.Client(post, "m", 1000, lambda p: (10, 100)).chat("s", "u", max_tokens=80)
 
+    for detail in ("maximum context length is 100", '{"error": {"param": "top_p", "message": "maximum context length"}}', '{"error": {"param": "input_tokens", "message": "bad"}}', "[1]", '{"error": "no"}'):
+        def other(payload, detail=detail):
+            sent.append("other")
+            raise client.Refused(400, detail)
+
+        with pytest.raises(RuntimeError, match="HTTP 400"):
+            client.Client(other, "m", 1000, lambda p: (60, 100)).chat("s", "u", max_tokens=90)
+    assert sent.count("other") == 5
+    assert client.answer_text([{"content": [{"type": "text", "text": "a"}, None]}, {"x": 1}, 2]) == "a\n2" and client.answer_text(None) == ""
+
     def refuses(payload):
         raise client.Refused(401, "who")
 
