@@ -373,3 +373,20 @@ def y4m_roundtrip(spark, sf_dir):
     where = folder(spark)
     sinks.y4m(rows, where).count()
     return readers.frames_of_videos(spark, where).select("video", "frame_index", F.conv(F.hex(F.substring("data", 32, 1)), 16, 10).cast("long").alias("light"), "width")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 30.0::DOUBLE ELSE p_size::DOUBLE / (p_partkey % 4) END AS fps, p_size::DOUBLE AS whole FROM part")
+def frame_rates(spark, sf_dir):
+    """Sizes as the rates that a probe tells, as fractions and as whole numbers."""
+    size = F.col("p_size").cast("string")
+    return _table(spark, sf_dir, "part").select("p_partkey", text.frame_rate(F.concat(size, F.lit("/"), (F.col("p_partkey") % 4).cast("string"))).alias("fps"), text.frame_rate(size).alias("whole"))
+
+
+_KIND = f"CASE WHEN doc_id % 3 = 0 THEN list_extract({list(tree.CONTENT_TYPES)!r}, doc_id % {len(tree.CONTENT_TYPES)} + 1) ELSE lang END"
+
+
+@query(f"SELECT doc_id, CASE WHEN kind IN {tree.CONTENT_TYPES!r} THEN kind ELSE 'gui_demo' END AS content_type FROM (SELECT doc_id, {_KIND} AS kind FROM documents)")
+def content_types(spark, sf_dir):
+    """Answers of a classifier, of which those that name no type count as a demonstration."""
+    kind = F.when(F.col("doc_id") % 3 == 0, F.element_at(F.array(*map(F.lit, tree.CONTENT_TYPES)), (F.col("doc_id") % len(tree.CONTENT_TYPES) + 1).cast("int"))).otherwise(F.col("lang"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tree.content_type(kind).alias("content_type"))
