@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.functions import images, text
+from framelake.functions import images, likeness, text
 from framelake.operators import cache, frames, packing, search, stitching, tree
 
 
@@ -124,6 +124,37 @@ def test_kinds_equal_the_plain_scan():
     assert fast.compared < len(lines) * len(firsts)
 
 
+def test_lines_within_reach_are_compared_once(monkeypatch):
+    """Frames show a line again and again; old ones are forgotten."""
+    draw, seen = random.Random(8), []
+    lines = ["".join(draw.choice("aeinrst ") for _ in range(draw.choice([90, 120, 260]))) for _ in range(200)]
+    lines[50:53] = [lines[10], lines[11][:-3] + "xyz", ""]
+    monkeypatch.setattr(likeness, "ratio", lambda a, b: seen.append((a, b)) or SequenceMatcher(None, a, b).ratio())
+    scroll_of = stitching.Scroll(0.85)
+    for k in range(0, 192, 4):
+        scroll_of.add(lines[k : k + 12])
+    assert [x for x, _ in scroll_of.lines()] == lines
+    assert len(seen) == len(set(seen)) > 200 and len(scroll_of.likes.near) <= 72
+
+
+def test_likeness_is_that_of_difflib(monkeypatch):
+    draw = random.Random(5)
+    letters = ["x", "ab", "abcdefgh ", "".join(map(chr, range(130))), "".join(map(chr, range(97, 300))), "\u6f22\u5b57\0\ud800\U0001f600"]
+    pairs = [("", ""), ("", "a"), ("a", ""), ("ab" * 150, "ab" * 150), ("ab" * 150 + "q", "q" + "ab" * 150)]
+    for k in range(1200):
+        some = letters[k % 6]
+        b = [draw.choice(some) for _ in range(draw.choice([1, 3, 10, 50, 150, 199, 200, 201, 450]))]
+        a = [draw.choice(some) for _ in range(draw.choice([1, 3, 10, 50, 150, 250]))]
+        if k % 4 < 2:
+            at = draw.randrange(len(b))
+            a = b[at:] + b[:at] if k % 4 else [x if draw.random() < 0.95 else draw.choice(some) for x in b]
+        pairs.append(("".join(a), "".join(b)))
+    wanted = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert [likeness.ratio(a, b) for a, b in pairs] == wanted
+    monkeypatch.setattr(likeness, "MOST_BITS", 1 << 12)
+    assert [likeness.ratio(a, b) for a, b in pairs] == wanted
+
+
 def test_document_drops_boilerplate(spark):
     rows = [(1, k, "Running Title\n" + "\n".join(part) + "\nPage 3 of 9") for k, part in enumerate(scroll(WORDS, 15, 3))]
     found = [r.line for r in stitching.document(spark.createDataFrame(rows, "video long, frame_id int, ocr string"), "video").orderBy("line_no").collect()]
