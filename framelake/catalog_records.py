@@ -134,7 +134,7 @@ def text_boxes(spark, sf_dir):
 
 @query(f"WITH {_FILES} SELECT page_id, folder, (row_number() OVER (PARTITION BY folder ORDER BY url) - 1)::INT AS place FROM files")
 def sorted_listing(spark, sf_dir):
-    return jobs.listed(_files(spark, sf_dir), "folder", "url").select("page_id", "folder", "place")
+    return jobs.listed(_files(spark, sf_dir), "folder", "url", "page_id").select("page_id", "folder", "place")
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")

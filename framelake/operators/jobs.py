@@ -44,9 +44,9 @@ def boxes_in_order(boxes: DataFrame, image: str, x: str, y: str, text: str) -> D
     return placed.withColumn("position", F.row_number().over(Window.partitionBy(image).orderBy("top", "left", text)) - 1)
 
 
-def listed(files: DataFrame, folder: str, path: str) -> DataFrame:
-    """Files with their place in the sorted listing of their folder."""
-    return files.withColumn("place", F.row_number().over(Window.partitionBy(folder).orderBy(path)) - 1)
+def listed(files: DataFrame, folder: str, path: str, *ids: str) -> DataFrame:
+    """Files with their place in the sorted listing of their folder, those of one path by their ids."""
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(folder).orderBy(path, *ids)) - 1)
 
 
 def first_of_each(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:

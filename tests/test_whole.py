@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter
 from difflib import SequenceMatcher
 
-from framelake import catalog
+from framelake import catalog, catalog_records
 
 
 def documents(spark, tmp_path, rows):
@@ -50,3 +50,10 @@ def test_queries_without_sql(spark, tmp_path):
     assert {tuple(r) for r in catalog.QUERIES["line_ratio"](spark, str(tmp_path)).collect()} == wanted
     stitched = catalog.QUERIES["stitch_scroll_frames"](spark, str(tmp_path)).where("video = 1").orderBy("line_no").collect()
     assert [r.line for r in stitched] == body.split("\n")
+
+
+def test_pages_of_one_url_are_listed_by_their_ids(spark, tmp_path):
+    rows = [(k, f"http://{'ab'[k % 2]}.org/{k // 8}", "x") for k in reversed(range(40))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    wanted = {(k, f"{'ab'[k % 2]}.org", k // 2) for k in range(40)}
+    assert {tuple(r) for r in catalog_records.sorted_listing(spark, str(tmp_path)).collect()} == wanted
