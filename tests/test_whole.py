@@ -1,10 +1,12 @@
 """Queries that read whole texts, on fixtures with cases beyond any prefix."""
 
 import hashlib
+import random
 from collections import Counter
 from difflib import SequenceMatcher
 
 from framelake import catalog, catalog_records
+from framelake.functions import text
 
 
 def documents(spark, tmp_path, rows):
@@ -57,3 +59,17 @@ def test_pages_of_one_url_are_listed_by_their_ids(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     wanted = {(k, f"{'ab'[k % 2]}.org", k // 2) for k in range(40)}
     assert {tuple(r) for r in catalog_records.sorted_listing(spark, str(tmp_path)).collect()} == wanted
+
+
+def test_line_ratios_are_of_each_row_and_without_difflib(spark, tmp_path, monkeypatch):
+    """Rows that share an id are documents of their own, and no ratio of usual lines is left to difflib."""
+    draw = random.Random(4)
+    lines = ["".join(draw.choice("aeinrst") for _ in range(n)) for n in (90, 120, 150, 240, 260, 80)]
+    rows = [(1, "\n".join(lines[:3]), "s"), (1, "\n".join(lines[3:]), "s"), (None, "a\nb", "s"), (None, "c\nc", "s"), (2, "", "s"), (3, "one", "s")]
+    ratio = lambda a, b: round(SequenceMatcher(None, a, b).ratio(), 9)
+    wanted = [(k, n, ratio(a, b)) for k, t, _ in rows for p in [t.split("\n")] for n, (a, b) in enumerate(zip(p, p[1:]))]
+    found = catalog.QUERIES["line_ratio"](spark, documents(spark, tmp_path, rows))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
+    exact = [SequenceMatcher(None, a, b).ratio() for a, b in zip(lines, lines[1:])]
+    monkeypatch.setattr(SequenceMatcher, "ratio", None)
+    assert [text._ratio(a, b) for a, b in zip(lines, lines[1:])] == exact
